@@ -21,11 +21,11 @@ _ROWS = f"""{TITLED}, recs AS (SELECT CAST(goid AS VARCHAR) AS goid, lower(publi
 _LIST = ", ".join(PROPERTY_NAMES)
 
 
-def record_texts(spark, sf):
-    """(name, xml): every document printed as a RECORD, with two enrichment tags."""
+def derived_records(spark, sf):
+    """Every document as a full article row with two enrichment tags."""
     plain = text.text_paragraphs(F.col("text"))
     has_text = F.col("goid") % 29 != 0
-    rows = spread(articles(spark, sf)).select(
+    return spread(articles(spark, sf)).select(
         F.col("goid").cast("string").alias("goid"), "publisher", "date", F.lit("News").alias("article_type"), "section",
         F.col("tag").alias("tdm_topic_tags"), "page", F.when(has_text, F.col("word_count")).alias("word_count"),
         plain[0].alias("title"), F.when(has_text, plain).alias("paragraph_text"),
@@ -33,7 +33,12 @@ def record_texts(spark, sf):
         F.when(F.col("goid") % 4 == 0, "Doe, J").alias("author"), (800 + F.col("goid") % 600).cast("int").alias("lexile_score"),
         "is_economic", F.concat(F.lit("[('"), F.col("tag"), F.lit("', 0.5), ('"), F.col("lang"), F.lit("', np.float64(0.25))]")).alias("tf_idf"),
     )
-    return rows.select(F.concat("goid", F.lit(".xml")).alias("name"), records.record_xml(["is_economic", "tf_idf"]).alias("xml"))
+
+
+def record_texts(spark, sf):
+    """(name, xml): every document printed as a RECORD."""
+    printed = records.record_xml(records.to_records(derived_records(spark, sf), ["is_economic", "tf_idf"]))
+    return printed.select(F.concat("goid", F.lit(".xml")).alias("name"), "xml")
 
 
 def _flat(df):
@@ -64,8 +69,8 @@ def xml_tag_value(spark, sf):
 def xml_files(spark, sf):
     """Written as XML files, then scanned with the XML source."""
     folder = shared_path(spark, "corpus")
-    record_texts(spark, sf).select(F.col("xml").alias("value")).write.option("compression", "none").text(folder)
-    found = records.articles(records.read_records(spark, folder, "*.txt"))
+    records.write_records(derived_records(spark, sf), folder, ["is_economic"])
+    found = records.articles(records.read_records(spark, folder, "part-*"))
     return _flat(found.drop("corpus", "name"))
 
 

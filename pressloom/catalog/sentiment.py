@@ -74,7 +74,12 @@ def paragraph_sentiment(spark, sf):
     return sentiment.paragraph_scores(spread(titled(spark, sf)), THREE)
 
 
-_AVG = "SELECT t.goid, " + ", ".join(f"coalesce(round(avg({c}), 4), 0.0E0) AS {c}" for c in ("negative", "neutral", "positive")) \
+def _mean(c: str) -> str:
+    """Half-up mean of four-digit shares in whole ten-thousandths."""
+    return f"CAST((2 * sum(CAST(round({c} * 10000) AS BIGINT)) + count({c})) // (2 * count({c})) AS DOUBLE) / 10000.0E0"
+
+
+_AVG = "SELECT t.goid, " + ", ".join(f"coalesce({_mean(c)}, 0.0E0) AS {c}" for c in ("negative", "neutral", "positive")) \
     + " FROM titled t LEFT JOIN ps ON t.goid = ps.goid GROUP BY t.goid"
 
 
@@ -93,7 +98,7 @@ def title_sentiment_step(spark, sf):
 def _step_sql(avg: str, title: str, titles: dict, paras: dict) -> str:
     columns = [f"CASE WHEN m.doc_id IS NOT NULL THEN ti.{k} END AS {c}" for k, c in titles.items()]
     columns += [f"CASE WHEN m.doc_id IS NOT NULL THEN coalesce(av.{k}, 0.0E0) END AS {c}" for k, c in paras.items()]
-    means = ", ".join(f"round(avg({k}), 4) AS {k}" for k in paras)
+    means = ", ".join(f"{_mean(k)} AS {k}" for k in paras)
     return f"""WITH {PARAGRAPHS}, av AS (SELECT goid, {means} FROM {avg} GROUP BY goid)
  SELECT t.goid, {', '.join(columns)} FROM titled t LEFT JOIN labels m ON t.goid = m.doc_id
  LEFT JOIN {title} ti ON t.goid = ti.goid LEFT JOIN av ON t.goid = av.goid"""

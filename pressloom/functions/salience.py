@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from ..schema import DAY_SCORES, OTHER_DAY_SCORE, OTHER_PAGE_SCORES, PAGE_SCORES, PAGE_SIZES
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value used many times in one expression, so that the plan holds it once.
+
+    Written out, the page rules repeat their input in every branch and outgrow a generated method.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def _bare_number(part: Column) -> Column:
     return F.when(part.rlike("^[0-9]+$"), F.ltrim(part, F.lit("0"))).otherwise(part)
 
 
-def page_parts(page: Column) -> Column:
-    """A page tag as one part, or two sorted parts (digits first); null when it has no valid form."""
-    p = F.lower(page)
+def _parts(p: Column) -> Column:
     return (
         F.when(F.trim(p) == ".", None)
         .when(p.rlike(r"^([0-9]{1,2}|\p{L})$"), F.array(F.ltrim(p, F.lit("0"))))
@@ -25,24 +33,26 @@ def page_parts(page: Column) -> Column:
 
 
 def normalize_page(page: Column) -> Column:
-    """``A.01`` -> ``1.a``; null when the tag is invalid."""
-    return F.nullif(F.array_join(page_parts(page), "."), F.lit(""))
+    """``A.01`` -> ``1.a``: one part, or two sorted parts (digits first); null when the tag is invalid."""
+    joined = let(F.lower(page), lambda p: F.array_join(_parts(p), "."))
+    return let(joined, lambda n: F.when(n != "", n))
 
 
-def page_score(normalized: Column) -> Column:
-    """Score of a normalised page tag; null where the tag carries no usable number."""
-    parts = F.split(normalized, "[.]")
-    number = parts[0].try_cast("bigint")
-    letter = F.when(F.size(parts) > 1, parts[1]).otherwise(parts[0])
-    scores = F.lit(None).cast("array<double>")
-    for key, row in PAGE_SCORES.items():
-        scores = F.coalesce(F.when(letter == key, F.array(*map(F.lit, row))), scores)
-    scores = F.coalesce(scores, F.when(number.isNotNull(), F.array(*map(F.lit, OTHER_PAGE_SCORES))))
+def _score(parts: Column) -> Column:
+    number, letter = parts[0].try_cast("bigint"), F.element_at(parts, -1)
     rank = F.when(number.between(1, 3), number.cast("int")).otherwise(4)
+    scores = F.when(number.isNotNull(), F.array(*map(F.lit, OTHER_PAGE_SCORES)))
+    for key, row in PAGE_SCORES.items():
+        scores = F.when(letter == key, F.array(*map(F.lit, row))).otherwise(scores)
     # A lone a, b or c scores without a number; in a two-part tag the number is required.
     return F.when(number.isNotNull() | (F.size(parts) == 1), F.element_at(scores, rank))
 
 
+def page_score(normalized: Column) -> Column:
+    """Score of a normalised page tag; null where the tag carries no usable number."""
+    return let(F.split(normalized, "[.]"), _score)
+
+
 def day_score(date: Column) -> Column:
     return (
         F.when(date.isNull(), None)
@@ -64,5 +74,5 @@ def salience(day: Column, page: Column, words: Column, size: Column) -> Column:
     ``day`` and ``page`` are scores.
     """
     ratio = words.cast("double") / size
-    share = F.when(ratio > 1, 1.0).otherwise(ratio)
-    return F.round(day * page * (F.lit(2.0) * share - share * share), 3)
+    curve = let(F.when(ratio > 1, 1.0).otherwise(ratio), lambda s: F.lit(2.0) * s - s * s)
+    return F.round(day * page * curve, 3)

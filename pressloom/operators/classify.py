@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
 from ..schema import STOP_WORDS
+from ..session import shared_path
 from . import clean, tfidf
 
 FEATURES = 1000
@@ -54,8 +55,11 @@ def train(df: DataFrame, key: str = "goid", content: str = "text", section: str
     regression = LogisticRegression(
         labelCol="label", featuresCol="features", elasticNetParam=0.0, regParam=1.0 / examples, standardization=False,
     )
-    model = Pipeline(stages=[vectorise, weigh, unit, regression]).fit(prepared(train_rows, "text", stop_words))
-    return model, test_rows
+    fitted = Pipeline(stages=[vectorise, weigh, unit, regression]).fit(prepared(train_rows, "text", stop_words))
+    # the stored model carries no training summary, which would travel with every task
+    path = shared_path(df.sparkSession, "classifier")
+    fitted.save(path)
+    return PipelineModel.load(path), test_rows
 
 
 def score(df: DataFrame, model: PipelineModel, content: str = "text", name: str = "is_economic",

@@ -91,6 +91,7 @@ class ModelScorer:
         body = F.col(text_col) if self.max_chars is None else text.cut(F.col(text_col), self.max_chars, self.max_chars - 1)
         source = df.filter(F.col(text_col).isNotNull()).select(*keys, body.alias("_text"))
         schema = T.StructType([*source.select(*keys).schema, *[T.StructField(c, T.DoubleType()) for c in classes]])
+        rounded = [F.round(c, 4).alias(c) for c in classes]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model = load()
@@ -98,10 +99,10 @@ class ModelScorer:
                 found = [{k.lower(): v for k, v in d.items()} for d in model(batch["_text"].tolist())]
                 out = batch[keys].copy()
                 for c in classes:
-                    out[c] = pd.Series([d.get(c) for d in found], index=out.index, dtype="float64").round(4)
+                    out[c] = pd.Series([d.get(c) for d in found], index=out.index, dtype="float64")
                 yield out
 
-        return source.mapInPandas(run, schema)
+        return source.mapInPandas(run, schema).select(*keys, *rounded)
 
 
 Scorer = Callable[[DataFrame, str, Sequence[str]], DataFrame]
@@ -119,12 +120,21 @@ def paragraph_scores(articles: DataFrame, scorer: Scorer, key: str = "goid", par
 
 
 def paragraph_average(articles: DataFrame, scorer: Scorer, key: str = "goid", paragraphs: str = "paragraph_text") -> DataFrame:
-    """Mean label share over an article's paragraphs, rounded to 4; zeros when it has none."""
+    """Mean label share over an article's paragraphs, rounded to 4; zeros when it has none.
+
+    Shares have four digits, so they are summed as whole ten-thousandths: the mean does not depend on
+    the order in which tasks deliver rows, and halves always round up.
+    """
     scored = paragraph_scores(articles, scorer, key, paragraphs)
     present = [c for c in LABELS if c in scored.columns]
-    means = scored.groupBy(key).agg(*[F.avg(F.coalesce(c, F.lit(0.0))).alias(c) for c in present])
-    return articles.select(key).join(means, key, "left").select(
-        key, *[F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c) if c in present else F.lit(0.0).alias(c) for c in LABELS])
+    units = [F.coalesce(F.sum(F.round(F.col(c) * 10_000).cast("long")), F.lit(0)).alias(c) for c in present]
+    sums = scored.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *units)
+
+    def mean(c: str) -> Column:
+        return F.floor((F.col(c) * 2 + F.col("_n")) / (F.col("_n") * 2)) / F.lit(10_000.0)
+
+    return articles.select(key).join(sums, key, "left").select(
+        key, *[F.coalesce(mean(c), F.lit(0.0)).alias(c) if c in present else F.lit(0.0).alias(c) for c in LABELS])
 
 
 def title_step(articles: DataFrame, scorer: Scorer, columns: Mapping[str, str], key: str = "goid", title: str = "title") -> DataFrame:

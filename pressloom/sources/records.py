@@ -129,47 +129,60 @@ def tag_value(xml: Column, tag: str) -> Column:
     return F.when(found, text.strip(F.xpath_string(xml, F.lit(f"(//{tag})[1]"))))
 
 
-def escape(value: Column) -> Column:
-    """Text as XML character data."""
-    out = F.regexp_replace(value, ILLEGAL_XML, "")
-    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])),
-                  (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")), out)
+def legal(value: Column) -> Column:
+    """Text without the characters XML cannot hold."""
+    return F.regexp_replace(value, ILLEGAL_XML, "")
 
 
 def paragraphs_html(paragraphs: Column) -> Column:
     """Paragraphs as the HTML body a record's Text element holds."""
-    body = F.array_join(F.transform(paragraphs, lambda p: F.concat(F.lit("<p>"), escape(p), F.lit("</p>"))), "")
+    def entities(p: Column) -> Column:
+        return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])),
+                      (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")), legal(p))
+    body = F.array_join(F.transform(paragraphs, lambda p: F.concat(F.lit("<p>"), entities(p), F.lit("</p>"))), "")
     return F.concat(F.lit("<html><body>"), body, F.lit("</body></html>"))
 
 
-def record_xml(tags: Sequence[str] = ()) -> Column:
-    """An article row printed as a RECORD, ``tags`` below ``processed``. Null columns give no element."""
-    def element(name: str, column: str, open_: str = "", close: str = "") -> Column:
-        value = F.col(column).cast("string")
-        return F.coalesce(F.concat(F.lit(f"{open_}<{name}>"), escape(value), F.lit(f"</{name}>{close}")), F.lit(""))
-
-    words = F.coalesce(F.concat(F.lit(' WordCount="'), F.col("word_count").cast("string"), F.lit('"')), F.lit(""))
-    body = F.coalesce(
-        F.concat(F.lit('<TextInfo><Text HTMLContent="true"'), words, F.lit(">"),
-                 escape(paragraphs_html(F.col("paragraph_text"))), F.lit("</Text></TextInfo>")), F.lit(""))
-    return F.concat(
-        F.lit("<RECORD>"), element("GOID", "goid"), F.lit("<Obj>"),
-        element("mstar", "article_type", "<ObjectTypes>", "</ObjectTypes>"),
-        element("Title", "title", "<TitleAtt>", "</TitleAtt>"),
-        element("NumericDate", "date"), F.lit("<PrintLocation>"), element("StartPage", "page"),
-        element("DocSection", "section"), F.lit("</PrintLocation>"), element("LexileScore", "lexile_score"),
-        F.lit("<Terms>"), element("GenSubjValue", "tdm_topic_tags", "<GenSubjTerm>", "</GenSubjTerm>"),
-        element("CompanyName", "company_name", "<Term>", "</Term>"), element("Personal", "author", "<Term>", "</Term>"),
-        F.lit("</Terms></Obj>"), body,
-        element("SortTitle", "publisher", "<DFS><PubFrosting>", "</PubFrosting></DFS>"),
-        F.lit("<processed>"), *[element(t, t) for t in tags], F.lit("</processed></RECORD>"),
+def to_records(articles_df: DataFrame, tags: Sequence[str] = ()) -> DataFrame:
+    """Article rows as nested records, ``tags`` below ``processed``; null columns give no element."""
+    def text_of(column: str) -> Column:
+        return legal(F.col(column).cast("string"))
+
+    def some(column: str, struct: Column) -> Column:
+        return F.when(F.col(column).isNotNull(), struct)
+
+    body = F.struct(paragraphs_html(F.col("paragraph_text")).alias("_VALUE"), F.col("word_count").cast("string").alias("_WordCount"))
+    shown = F.map_filter(F.create_map(*[c for t in tags for c in (F.lit(t), text_of(t))]), lambda _, v: v.isNotNull()) \
+        if tags else F.create_map().cast("map<string,string>")
+    term = F.struct(text_of("author").alias("Personal"), text_of("company_name").alias("CompanyName"))
+    return articles_df.select(
+        text_of("goid").alias("GOID"),
+        F.struct(
+            some("article_type", F.struct(F.array(text_of("article_type")).alias("mstar"))).alias("ObjectTypes"),
+            some("title", F.struct(F.array(text_of("title")).alias("Title"))).alias("TitleAtt"),
+            text_of("date").alias("NumericDate"),
+            F.struct(text_of("page").alias("StartPage"), text_of("section").alias("DocSection")).alias("PrintLocation"),
+            text_of("lexile_score").alias("LexileScore"),
+            F.struct(
+                some("tdm_topic_tags", F.array(F.struct(text_of("tdm_topic_tags").alias("GenSubjValue")))).alias("GenSubjTerm"),
+                F.when(F.coalesce("author", "company_name").isNotNull(), F.array(term)).alias("Term"),
+            ).alias("Terms"),
+        ).alias("Obj"),
+        some("paragraph_text", F.struct(body.alias("Text"))).alias("TextInfo"),
+        some("publisher", F.struct(F.struct(F.array(text_of("publisher")).alias("SortTitle")).alias("PubFrosting"))).alias("DFS"),
+        shown.alias("processed"),
     )
 
 
+def record_xml(records: DataFrame) -> DataFrame:
+    """(goid, xml): each nested record printed as one RECORD text."""
+    return records.select(F.col("GOID").alias("goid"), F.to_xml(F.struct(*records.columns), {"rowTag": "RECORD"}).alias("xml"))
+
+
 def write_records(articles_df: DataFrame, path: str, tags: Sequence[str] = ()) -> None:
     """Articles as XML files of many records each; the commit protocol makes the write atomic."""
-    articles_df.select(record_xml(tags).alias("value")).write.text(path)
+    to_records(articles_df, tags).write.format("xml").option("rootTag", "RECORDS").option("rowTag", "RECORD").save(path)
 
 
-__all__ = ["PROPERTY_TAGS", "articles", "escape", "expected_columns", "file_columns", "list_files", "load",
-           "load_errors", "load_from_text", "parse_records", "read_records", "record_xml", "tag_value", "write_records"]
+__all__ = ["PROPERTY_TAGS", "articles", "expected_columns", "file_columns", "list_files", "load", "load_errors",
+           "load_from_text", "parse_records", "read_records", "record_xml", "tag_value", "to_records", "write_records"]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.clean import pending
 from ..sources.tables import _exists
@@ -55,14 +56,15 @@ def run_steps(rows: DataFrame, steps: Sequence[tuple[Callable[..., DataFrame], d
         out = out.transform(function, **options)
     if "error" not in out.columns:
         out = out.withColumn("error", F.lit(None).cast("string"))
-    seen = Observation(f"run-{step}")
-    failed = F.col("error").isNotNull()
-    out = out.observe(seen, F.count_if(~failed).alias("processed"), F.count_if(failed).alias("errors"))
-    # one write computes the chain once; both parts are read back from it
-    out.withColumn("status", F.when(failed, "error").otherwise("ok")).write.mode("append").partitionBy("status").parquet(sink)
-    written = spark.read.parquet(sink).join(todo.select("corpus", "name").distinct(), ["corpus", "name"], "left_semi")
+    status = F.when(F.col("error").isNotNull(), "error").otherwise("ok")
+    # one write computes the chain once, into a folder of its own; the rest reads it back
+    folder = f"{sink}/run={uuid.uuid4().hex}"
+    out.withColumn("status", status).write.partitionBy("status").parquet(folder)
+    written = spark.read.parquet(folder)
     append_progress(written.select("corpus", "name", "error"), progress, step)
-    return dict(seen.get), written.filter(F.col("status") == "error").select("corpus", "name", "error")
+    counts = written.agg(F.count_if(F.col("status") == "ok").alias("processed"),
+                         F.count_if(F.col("status") == "error").alias("errors")).first()
+    return counts.asDict(), written.filter(F.col("status") == "error").select("corpus", "name", "error")
 
 
 def run_stream(source: DataFrame, transform: Transform, sink: str, progress: str, step: str, checkpoint: str,
