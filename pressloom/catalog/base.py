@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
+from ..session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,7 +57,8 @@ ARTICLES = f"""articles AS (
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles derived from every document."""
-    return documents(spark, sf_dir).select(
+    # word counts are derived here, so the texts are spread before they are read
+    return spread(documents(spark, sf_dir).select("doc_id", "text", "lang"), "doc_id").select(
         F.col("doc_id").alias("goid"), "text", F.expr(_PUBLISHER).alias("publisher"),
         F.expr("date_add(DATE'2002-01-01', CAST(doc_id * 29 % 8766 AS INT))").alias("date"),
         F.expr(_PAGE.format(string="STRING")).alias("page"),
@@ -114,5 +116,5 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Polarity rule of a term: the first hex digit of its MD5 marks 1/8 positive and 1/8 negative.
 def term_mark(term):
-    digit = F.substring(F.md5(term), 1, 1)
-    return F.when(digit.isin("0", "1"), 1).when(digit.isin("2", "3"), -1).otherwise(0)
+    marks = F.create_map(*[F.lit(x) for pair in (("0", 1), ("1", 1), ("2", -1), ("3", -1)) for x in pair])
+    return F.coalesce(F.try_element_at(marks, F.substring(F.md5(term), 1, 1)), F.lit(0))

@@ -133,38 +133,38 @@ def sentiment_zscore_quarter(spark, sf):
     return rounded(trends.mean_zscore(rows, {"o_totalprice": "z"}, [F.col("quarter"), F.col("publisher")]), "z")
 
 
-@query("sentiment_quarter_publisher", f"""WITH {ANALYSED} SELECT quarter, publisher, round(avg(adjusted_sentiment), 6) AS adjusted_sentiment,
- round(avg(bert_sentiment), 6) AS bert_sentiment FROM analysed GROUP BY 1, 2""")
+@query("sentiment_quarter_publisher", f"""WITH {ANALYSED} SELECT quarter, publisher, round(avg(adjusted_sentiment), 10) AS adjusted_sentiment,
+ round(avg(bert_sentiment), 10) AS bert_sentiment FROM analysed GROUP BY 1, 2""")
 def sentiment_quarter_publisher(spark, sf):
     means = trends.means_by(analysed(spark, sf), [quarter(), publisher()], ["adjusted_sentiment", "bert_sentiment"])
-    return rounded(means, "adjusted_sentiment", "bert_sentiment")
+    return rounded(means, "adjusted_sentiment", "bert_sentiment", digits=10)
 
 
-@query("sentiment_quarter_one_publisher", f"""WITH {ANALYSED} SELECT quarter, publisher, round(avg(adjusted_sentiment), 6) AS adjusted_sentiment,
- round(avg(bert_sentiment), 6) AS bert_sentiment FROM analysed WHERE publisher = 'usa today' GROUP BY 1, 2""")
+@query("sentiment_quarter_one_publisher", f"""WITH {ANALYSED} SELECT quarter, publisher, round(avg(adjusted_sentiment), 10) AS adjusted_sentiment,
+ round(avg(bert_sentiment), 10) AS bert_sentiment FROM analysed WHERE publisher = 'usa today' GROUP BY 1, 2""")
 def sentiment_quarter_one_publisher(spark, sf):
     rows = analysed(spark, sf).filter(publisher() == "usa today")
-    return rounded(trends.means_by(rows, [quarter(), publisher()], ["adjusted_sentiment", "bert_sentiment"]), "adjusted_sentiment", "bert_sentiment")
+    return rounded(trends.means_by(rows, [quarter(), publisher()], ["adjusted_sentiment", "bert_sentiment"]), "adjusted_sentiment", "bert_sentiment", digits=10)
 
 
 @query("sentiment_quarter_all", f"""WITH {ARTICLES} SELECT concat(year(date), 'Q', quarter(date)) AS quarter,
- round(avg(bert_sentiment), 6) AS bert_sentiment FROM articles WHERE year(date) > 1989 GROUP BY 1""")
+ round(avg(bert_sentiment), 10) AS bert_sentiment FROM articles WHERE year(date) > 1989 GROUP BY 1""")
 def sentiment_quarter_all(spark, sf):
     rows = clean.years(articles(spark, sf), after=1989)
-    return rounded(trends.means_by(rows, [quarter()], ["bert_sentiment"]), "bert_sentiment")
+    return rounded(trends.means_by(rows, [quarter()], ["bert_sentiment"]), "bert_sentiment", digits=10)
 
 
-@query("sentiment_year_publisher", f"""WITH {ANALYSED} SELECT year, publisher, round(avg(adjusted_sentiment), 6) AS adjusted_sentiment,
- round(avg(bert_sentiment), 6) AS bert_sentiment FROM analysed GROUP BY 1, 2""")
+@query("sentiment_year_publisher", f"""WITH {ANALYSED} SELECT year, publisher, round(avg(adjusted_sentiment), 10) AS adjusted_sentiment,
+ round(avg(bert_sentiment), 10) AS bert_sentiment FROM analysed GROUP BY 1, 2""")
 def sentiment_year_publisher(spark, sf):
     means = trends.means_by(analysed(spark, sf), [year(), publisher()], ["adjusted_sentiment", "bert_sentiment"])
-    return rounded(means, "adjusted_sentiment", "bert_sentiment")
+    return rounded(means, "adjusted_sentiment", "bert_sentiment", digits=10)
 
 
-@query("sentiment_year", f"""WITH {ARTICLES} SELECT CAST(year(date) AS INT) AS year, round(avg(bert_sentiment), 6) AS bert_sentiment
+@query("sentiment_year", f"""WITH {ARTICLES} SELECT CAST(year(date) AS INT) AS year, round(avg(bert_sentiment), 10) AS bert_sentiment
  FROM articles WHERE year(date) > 1989 GROUP BY 1""")
 def sentiment_year(spark, sf):
-    return rounded(trends.means_by(clean.years(articles(spark, sf), after=1989), [year()], ["bert_sentiment"]), "bert_sentiment")
+    return rounded(trends.means_by(clean.years(articles(spark, sf), after=1989), [year()], ["bert_sentiment"]), "bert_sentiment", digits=10)
 
 
 def _label(c: str) -> str:

@@ -25,7 +25,7 @@ def derived_records(spark, sf):
     """Every document as a full article row with two enrichment tags."""
     plain = text.text_paragraphs(F.col("text"))
     has_text = F.col("goid") % 29 != 0
-    return spread(articles(spark, sf)).select(
+    return articles(spark, sf).select(
         F.col("goid").cast("string").alias("goid"), "publisher", "date", F.lit("News").alias("article_type"), "section",
         F.col("tag").alias("tdm_topic_tags"), "page", F.when(has_text, F.col("word_count")).alias("word_count"),
         plain[0].alias("title"), F.when(has_text, plain).alias("paragraph_text"),
@@ -133,7 +133,7 @@ def export_chunks(spark, sf):
 def csv_round_trip(spark, sf):
     """Appended to a CSV folder in chunks, read back with a fixed schema."""
     folder = shared_path(spark, "results")
-    rows = spread(titled(spark, sf).select("goid", "publisher", "date", "page", "word_count", "bert_sentiment", "title", "paragraph_text"))
+    rows = titled(spark, sf).select("goid", "publisher", "date", "page", "word_count", "bert_sentiment", "title", "paragraph_text")
     tables.write_chunks(rows, folder, 2000)
     back = tables.read_csv_folder(
         spark, folder, "goid bigint, publisher string, date date, page string, word_count int, bert_sentiment double, title string, paragrph_text string")

@@ -71,7 +71,7 @@ def model_scorer_batches(spark, sf):
 
 @query("paragraph_sentiment", f"WITH {PARAGRAPHS} SELECT goid, CAST(pos AS INT) AS pos, negative, neutral, positive FROM ps")
 def paragraph_sentiment(spark, sf):
-    return sentiment.paragraph_scores(spread(titled(spark, sf)), THREE)
+    return sentiment.paragraph_scores(titled(spark, sf), THREE)
 
 
 def _mean(c: str) -> str:
@@ -132,7 +132,7 @@ def polarity(spark, sf):
 
 @query("text_list_polarity", f"WITH {PARAGRAPHS} SELECT goid, round(avg({_polarity()}), 6) AS polarity FROM ps GROUP BY goid")
 def text_list_polarity(spark, sf):
-    rows = sentiment.list_polarity(sentiment.paragraph_scores(spread(titled(spark, sf)), THREE))
+    rows = sentiment.list_polarity(sentiment.paragraph_scores(titled(spark, sf), THREE))
     return rows.withColumn("polarity", F.round("polarity", 6))
 
 

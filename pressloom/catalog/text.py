@@ -113,11 +113,11 @@ IDF = "ln((1.0E0 + (SELECT count(*) FROM documents)) / (1.0E0 + df)) + 1.0E0"
 def scores_sql(vocabulary: str = "df") -> str:
     return f"""r AS (SELECT w.doc_id, w.term, w.tf * ({IDF}) AS raw FROM w JOIN {vocabulary} v ON w.term = v.term),
  l AS (SELECT doc_id, sqrt(sum(raw * raw)) AS nrm FROM r GROUP BY doc_id),
- k AS (SELECT r.doc_id, r.term, round(r.raw / l.nrm, 4) AS score FROM r JOIN l ON r.doc_id = l.doc_id)"""
+ k AS (SELECT r.doc_id, r.term, r.raw, round(r.raw / l.nrm, 4) AS score FROM r JOIN l ON r.doc_id = l.doc_id)"""
 
 
 def top_sql(n: int) -> str:
-    return f"""WITH {TOKENS}, {scores_sql()}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rk FROM k)
+    return f"""WITH {TOKENS}, {scores_sql()}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY raw DESC, term) AS rk FROM k)
  SELECT doc_id, CAST(rk AS INT) AS rk, term, score FROM o WHERE rk <= {n}"""
 
 
@@ -162,7 +162,7 @@ def tfidf_keywords_200(spark, sf):
     return _ranked(tfidf.keywords(tfidf.transform(docs, tfidf.fit(docs)), 200))
 
 
-@query("keyword_tagging_step", f"""WITH {TOKENS}, {scores_sql()}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rk FROM k),
+@query("keyword_tagging_step", f"""WITH {TOKENS}, {scores_sql()}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY raw DESC, term) AS rk FROM k),
  g AS (SELECT doc_id, string_agg(term, ' ' ORDER BY rk) AS terms FROM o WHERE rk <= 200 GROUP BY doc_id)
  SELECT d.doc_id, CASE WHEN d.doc_id % 9 = 0 THEN 'kept' WHEN l.doc_id IS NOT NULL THEN g.terms END AS terms
  FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN labels l ON d.doc_id = l.doc_id""")

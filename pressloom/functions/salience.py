@@ -1,20 +1,15 @@
-"""Salience: how prominently an article was printed, from page, weekday and length."""
+"""Salience: how prominently an article was printed, from page, weekday and length.
 
-from __future__ import annotations
+The page rules repeat their input in every branch; written out they outgrow a generated method, so
+``let`` binds it.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 from ..schema import DAY_SCORES, OTHER_DAY_SCORE, OTHER_PAGE_SCORES, PAGE_SCORES, PAGE_SIZES
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind a value used many times in one expression, so that the plan holds it once.
-
-    Written out, the page rules repeat their input in every branch and outgrow a generated method.
-    """
-    return F.transform(F.array(value), body)[0]
+from .text import let
 
 
 def _bare_number(part: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -20,6 +20,11 @@ ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value used many times in one expression, so that the plan holds and computes it once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space at both ends."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")

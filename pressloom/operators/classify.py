@@ -53,7 +53,7 @@ def train(df: DataFrame, key: str = "goid", content: str = "text", section: str
     unit = Normalizer(p=2.0, inputCol="weights", outputCol="features")
     examples = train_rows.count()
     regression = LogisticRegression(
-        labelCol="label", featuresCol="features", elasticNetParam=0.0, regParam=1.0 / examples, standardization=False,
+        labelCol="label", featuresCol="features", elasticNetParam=0.0, regParam=1.0 / examples, standardization=False, tol=1e-4,
     )
     fitted = Pipeline(stages=[vectorise, weigh, unit, regression]).fit(prepared(train_rows, "text", stop_words))
     # the stored model carries no training summary, which would travel with every task

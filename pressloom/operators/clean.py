@@ -81,14 +81,12 @@ def section_label(section: Column, strict_reference: bool = False) -> Column:
     Sections are cleaned before the comparison, so the label sets are cleaned alike;
     ``strict_reference`` compares with the sets as written, where entries with punctuation never match.
     """
-    cleaned = text.clean_text(section)
-
-    def member(values: Sequence[str]) -> Column:
-        if strict_reference:
-            return cleaned.isin(*values)
-        return reduce(lambda a, b: a | b, [cleaned == text.clean_text(F.lit(v)) for v in values])
-
-    return F.when(member(ECONOMIC_SECTIONS), 1).when(member(OTHER_SECTIONS), 0)
+    classes = {ECONOMIC_SECTIONS: 1, OTHER_SECTIONS: 0}
+    sets = F.create_map(*[
+        x for names, label in classes.items() for n in names
+        for x in ((F.lit(n) if strict_reference else text.clean_text(F.lit(n))), F.lit(label))
+    ])
+    return F.try_element_at(sets, text.clean_text(section))
 
 
 def labelled_sections(df: DataFrame, section: str = "section", content: str = "text",

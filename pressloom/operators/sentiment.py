@@ -36,13 +36,13 @@ class RuleScorer:
     classes: int = 3
 
     def __call__(self, df: DataFrame, text_col: str, key_cols: Sequence[str]) -> DataFrame:
-        marks = F.transform(text.tokens(F.col(text_col)), self.rule)
-        counted = df.withColumn("_marks", marks)
-        positive = F.size(F.filter("_marks", lambda m: m == 1))
-        negative = F.size(F.filter("_marks", lambda m: m == -1))
-        shares = distribution(positive, negative, F.size("_marks") - positive - negative, self.classes)
-        known = F.col(text_col).isNotNull()
-        return counted.select(*key_cols, *[F.when(known, c).alias(k) for k, c in shares.items()])
+        counts = text.let(F.transform(text.tokens(F.col(text_col)), self.rule), lambda marks: F.struct(
+            F.size(F.filter(marks, lambda m: m == 1)).alias("p"),
+            F.size(F.filter(marks, lambda m: m == -1)).alias("m"), F.size(marks).alias("all")))
+        counted = df.filter(F.col(text_col).isNotNull()).select(*key_cols, counts.alias("_c"))
+        p, m = F.col("_c.p"), F.col("_c.m")
+        shares = distribution(p, m, F.col("_c.all") - p - m, self.classes)
+        return counted.select(*key_cols, *[c.alias(k) for k, c in shares.items()])
 
 
 @dataclass
@@ -114,8 +114,12 @@ def score_texts(df: DataFrame, text_col: str, key_cols: Sequence[str], scorer: S
 
 
 def paragraph_scores(articles: DataFrame, scorer: Scorer, key: str = "goid", paragraphs: str = "paragraph_text") -> DataFrame:
-    """(key, pos, labels...): one scored row per paragraph."""
-    rows = articles.select(key, F.posexplode(paragraphs).alias("pos", "_paragraph"))
+    """(key, pos, labels...): one scored row per paragraph.
+
+    The coalesce keeps Spark from adding a size filter below, which would build the paragraphs twice.
+    """
+    filled = F.coalesce(paragraphs, F.array().cast("array<string>"))
+    rows = articles.select(key, F.posexplode(filled).alias("pos", "_paragraph"))
     return scorer(rows, "_paragraph", [key, "pos"])
 
 

@@ -103,12 +103,9 @@ def scores(transformed: DataFrame, key: str = "doc_id", digits: int | None = Non
 
 
 def keywords(transformed: DataFrame, top_n: int | None = 200, key: str = "doc_id", name: str = "tf_idf") -> DataFrame:
-    """Per document the ``top_n`` (term, score) pairs, score descending, ties by term."""
-    ranked = F.array_sort(F.transform("weights", lambda w: F.struct(
-        (-F.round(w["raw"] / F.col("norm"), 4)).alias("minus"), w["term"].alias("term"),
-    )))
-    # raw > 0 always; only scores that vanish in rounding stay listed, as unrounded selection would keep them
+    """Per document the ``top_n`` (term, score) pairs, by falling unrounded weight, ties by term."""
+    ranked = F.sort_array(F.transform("weights", lambda w: F.struct((-w["raw"]).alias("minus"), w["term"].alias("term"))))
     best = ranked if top_n is None else F.slice(ranked, 1, top_n)
     return transformed.select(key, F.transform(best, lambda w: F.struct(
-        w["term"].alias("term"), (-w["minus"]).alias("score"),
+        w["term"].alias("term"), F.round(-w["minus"] / F.col("norm"), 4).alias("score"),
     )).alias(name))

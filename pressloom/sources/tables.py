@@ -147,7 +147,7 @@ def tag_lines(counts: DataFrame, per_line: int = 6, tag: str = "tag", count: str
     """(line, value): tags by falling frequency, comma-joined, ``per_line`` each."""
     ranked = global_rank(counts, F.desc(count), F.col(tag), name="_rn")
     lines = ranked.groupBy(F.floor((F.col("_rn") - 1) / per_line).cast("long").alias("line")).agg(
-        F.array_sort(F.collect_list(F.struct("_rn", tag))).alias("_t"))
+        F.sort_array(F.collect_list(F.struct("_rn", tag))).alias("_t"))
     return lines.select("line", F.array_join(F.transform("_t", lambda t: t[tag]), ", ").alias("value"))
 
 
