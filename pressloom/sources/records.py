@@ -151,7 +151,8 @@ def to_records(articles_df: DataFrame, tags: Sequence[str] = ()) -> DataFrame:
     def some(column: str, struct: Column) -> Column:
         return F.when(F.col(column).isNotNull(), struct)
 
-    body = F.struct(paragraphs_html(F.col("paragraph_text")).alias("_VALUE"), F.col("word_count").cast("string").alias("_WordCount"))
+    filled = F.coalesce("paragraph_text", F.array().cast("array<string>"))
+    body = F.struct(paragraphs_html(filled).alias("_VALUE"), F.col("word_count").cast("string").alias("_WordCount"))
     shown = F.map_filter(F.create_map(*[c for t in tags for c in (F.lit(t), text_of(t))]), lambda _, v: v.isNotNull()) \
         if tags else F.create_map().cast("map<string,string>")
     term = F.struct(text_of("author").alias("Personal"), text_of("company_name").alias("CompanyName"))
@@ -168,7 +169,7 @@ def to_records(articles_df: DataFrame, tags: Sequence[str] = ()) -> DataFrame:
                 F.when(F.coalesce("author", "company_name").isNotNull(), F.array(term)).alias("Term"),
             ).alias("Terms"),
         ).alias("Obj"),
-        some("paragraph_text", F.struct(body.alias("Text"))).alias("TextInfo"),
+        F.when(F.col("paragraph_text").isNotNull() | F.col("word_count").isNotNull(), F.struct(body.alias("Text"))).alias("TextInfo"),
         some("publisher", F.struct(F.struct(F.array(text_of("publisher")).alias("SortTitle")).alias("PubFrosting"))).alias("DFS"),
         shown.alias("processed"),
     )
