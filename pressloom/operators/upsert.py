@@ -33,14 +33,16 @@ def table_to_records(records: DataFrame, table: DataFrame, columns: Mapping[str,
                      names: DataFrame, key: str = "goid") -> tuple[DataFrame, DataFrame]:
     """Write table values, rounded to 4 digits, into the records named in ``names``.
 
-    Returns the records and the names updated.
+    Returns the records and the names updated. A key on several table rows counts once, with its
+    greatest values, since a table has no order that would make one row the last.
     """
+    values = [F.round(F.col(src).try_cast("double"), 4).alias(dst) for src, dst in columns.items()]
     rows = (
         table.filter(F.col(key).isNotNull())
         .withColumn(key, F.col(key).cast("string"))
         .withColumn("name", F.concat(F.col(key), F.lit(".xml")))
         .join(names.select("name").distinct(), "name", "left_semi")
-        .select(key, "name", *[F.round(F.col(src).try_cast("double"), 4).alias(dst) for src, dst in columns.items()])
+        .groupBy(key, "name").agg(F.max(F.struct(*values)).alias("_v")).select(key, "name", "_v.*")
     )
     return set_columns(records, rows, list(columns.values()), key, modify=True), rows.select("name")
 

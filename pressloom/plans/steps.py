@@ -18,9 +18,12 @@ def selected_names(scored: DataFrame, threshold: float, probability: str = "is_e
 
 
 def select_economic(articles: DataFrame, model: PipelineModel, threshold: float = 0.5, key: str = "goid",
-                    content: str = "text", name: str = "is_economic") -> tuple[DataFrame, DataFrame]:
-    """Score every article, overwrite its probability and name those above the threshold."""
-    base = articles.drop(name)
+                    content: str = "text", name: str = "is_economic", del_grades: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Score every article, overwrite its probability and name those above the threshold.
+
+    ``del_grades`` drops the tag of an earlier grading.
+    """
+    base = articles.drop(name, "grades") if del_grades else articles.drop(name)
     scored = classify.score(base, model, content, name)
     return scored, selected_names(scored, threshold, name, key)
 
@@ -39,10 +42,13 @@ def score_sentiment(articles: DataFrame, scorer: sentiment.Scorer, title: Mappin
                     manifest: DataFrame | None = None, key: str = "goid") -> DataFrame:
     """Title and paragraph label columns for the articles of a manifest, scored before any join back."""
     wanted = articles if manifest is None else clean.listed(articles, manifest)
-    scored = sentiment.paragraph_step(sentiment.title_step(
-        wanted.select(key, "title", "paragraph_text"), scorer, title, key), scorer, paragraph, key)
-    columns = [*title.values(), *paragraph.values()]
-    return upsert.set_columns(articles, scored.select(key, *columns), columns, key, modify=False)
+    titles = sentiment.score_texts(wanted, "title", [key], scorer).select(
+        key, *[F.col(label).alias(c) for label, c in title.items()])
+    bodies = sentiment.paragraph_average(wanted, scorer, key).select(
+        key, *[F.col(label).alias(c) for label, c in paragraph.items()])
+    # only keys and label shares are joined; texts stay where they were scored
+    scored = bodies.join(titles, key, "left")
+    return upsert.set_columns(articles, scored, [*title.values(), *paragraph.values()], key, modify=False)
 
 
 def analysed(articles: DataFrame, after: int | None = 2003, before: int | None = 2024) -> DataFrame:

@@ -94,12 +94,23 @@ def articles(records: DataFrame, tags: Sequence[str] = (), paragraph_sep: str |
     return records.select(*keep, *article_columns(paragraph_sep), *tag_columns(tags))
 
 
+def read_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(corpus, name, xml): whole files, unparsed."""
+    corpus, name = file_columns(F.col("_metadata.file_path"))
+    files = (
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml")
+        .text(folder, wholetext=True)
+    )
+    return files.select(corpus.alias("corpus"), name.alias("name"), F.col("value").alias("xml"))
+
+
 def load(spark: SparkSession, folder: str, manifest: DataFrame | None = None, tags: Sequence[str] = ()) -> DataFrame:
-    """Articles named in a manifest (all without one)."""
-    records = read_records(spark, folder)
-    if manifest is not None:
-        records = records.join(manifest.select("name").distinct(), "name", "left_semi")
-    return articles(records, tags)
+    """Articles named in a manifest (all without one). Only files of the manifest are parsed."""
+    if manifest is None:
+        return articles(read_records(spark, folder), tags)
+    wanted = read_texts(spark, folder).join(manifest.select("name").distinct(), "name", "left_semi")
+    has_record = F.contains("xml", F.lit("<RECORD"))
+    return articles(parse_records(wanted.filter(has_record), "xml"), tags)
 
 
 def load_from_text(df: DataFrame, xml: str, tags: Sequence[str] = ()) -> DataFrame:
@@ -186,4 +197,4 @@ def write_records(articles_df: DataFrame, path: str, tags: Sequence[str] = ()) -
 
 
 __all__ = ["PROPERTY_TAGS", "articles", "expected_columns", "file_columns", "list_files", "load", "load_errors",
-           "load_from_text", "parse_records", "read_records", "record_xml", "tag_value", "to_records", "write_records"]
+           "load_from_text", "parse_records", "read_records", "read_texts", "record_xml", "tag_value", "to_records", "write_records"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -47,9 +48,9 @@ def run_steps(rows: DataFrame, steps: Sequence[tuple[Callable[..., DataFrame], d
     """Run a chain of (function, options) over pending rows and commit data, then progress.
 
     Rows with a non-null ``error`` column are quarantined instead of written. Returns the run's counts
-    and its failures. All corpora run in one plan.
+    with its rate, and its failures. All corpora run in one plan.
     """
-    spark = rows.sparkSession
+    spark, start = rows.sparkSession, time.monotonic()
     todo = still_pending(rows, read_progress(spark, progress, step), retry_errors)
     out = todo
     for function, options in steps:
@@ -59,12 +60,15 @@ def run_steps(rows: DataFrame, steps: Sequence[tuple[Callable[..., DataFrame], d
     status = F.when(F.col("error").isNotNull(), "error").otherwise("ok")
     # one write computes the chain once, into a folder of its own; the rest reads it back
     folder = f"{sink}/run={uuid.uuid4().hex}"
-    out.withColumn("status", status).write.partitionBy("status").parquet(folder)
-    written = spark.read.parquet(folder)
+    out = out.withColumn("status", status)
+    out.write.partitionBy("status").parquet(folder)
+    written = spark.read.schema(out.schema).parquet(folder)
     append_progress(written.select("corpus", "name", "error"), progress, step)
     counts = written.agg(F.count_if(F.col("status") == "ok").alias("processed"),
                          F.count_if(F.col("status") == "error").alias("errors")).first()
-    return counts.asDict(), written.filter(F.col("status") == "error").select("corpus", "name", "error")
+    seconds = time.monotonic() - start
+    rate = round((counts.processed + counts.errors) / seconds, 2)
+    return {**counts.asDict(), "seconds": round(seconds, 1), "rate": rate}, written.filter(F.col("status") == "error").select("corpus", "name", "error")
 
 
 def run_stream(source: DataFrame, transform: Transform, sink: str, progress: str, step: str, checkpoint: str,
@@ -73,8 +77,9 @@ def run_stream(source: DataFrame, transform: Transform, sink: str, progress: str
     failure between data and log repeats nothing."""
     def commit(batch: DataFrame, batch_id: int) -> None:
         done = f"batch_id={batch_id}"
-        transform(batch).write.mode("overwrite").parquet(f"{sink}/{done}")
-        written = batch.sparkSession.read.parquet(f"{sink}/{done}")
+        out = transform(batch)
+        out.write.mode("overwrite").parquet(f"{sink}/{done}")
+        written = batch.sparkSession.read.schema(out.schema).parquet(f"{sink}/{done}")
         written.select(F.lit(step).alias("step"), F.col(key).cast("string").alias("name")) \
             .write.mode("overwrite").parquet(f"{progress}/{done}")
 

@@ -60,6 +60,10 @@ def test_errors(spark, corpus):
 def test_manifest(spark, corpus):
     manifest = spark.createDataFrame([("1004.xml",), ("1004.xml",), ("9.xml",)], "name string")
     assert [r.goid for r in records.load(spark, corpus, manifest).collect()] == ["1004"]
+    every = spark.createDataFrame([(f"{n}.xml",) for n in range(1001, 1006)], "name string")
+    whole, listed = (sorted(map(str, df.select(*PROPERTY_NAMES, "corpus", "name", "is_economic").collect()))
+                     for df in (records.load(spark, corpus, None, ["is_economic"]), records.load(spark, corpus, every, ["is_economic"])))
+    assert whole == listed and len(whole) == 4
 
 
 def test_all_topic_tags(spark, corpus):

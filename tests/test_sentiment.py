@@ -13,18 +13,20 @@ def articles(spark):
 
 
 def fixed_model():
-    """Two fixed distributions, by position in the text's last word."""
+    """A loader of two fixed distributions, by the text's last word."""
     table = {"one": {"POSITIVE": 0.2, "NEUTRAL": 0.1, "NEGATIVE": 0.7}, "two": {"POSITIVE": 0.6, "NEUTRAL": 0.2, "NEGATIVE": 0.2}}
 
-    def batch(texts):
-        assert isinstance(texts, list)
-        return [table.get((t.split() or [""])[-1], {"POSITIVE": 0.0, "NEGATIVE": 0.0}) for t in texts]
+    def load():
+        def batch(texts):
+            assert isinstance(texts, list)
+            return [table.get((t.split() or [""])[-1], {"POSITIVE": 0.0, "NEGATIVE": 0.0}) for t in texts]
+        return batch
 
-    return batch
+    return load
 
 
 def test_batch_scores_and_paragraph_mean(spark):
-    scorer = sentiment.ModelScorer(fixed_model)
+    scorer = sentiment.ModelScorer(fixed_model())
     scored = {(r.goid, r.pos): r for r in sentiment.paragraph_scores(articles(spark), scorer).collect()}
     assert len(scored) == 3 and scored["1", 0].positive == 0.2 and scored["3", 0].neutral is None
     means = {r.goid: (r.positive, r.neutral, r.negative) for r in sentiment.paragraph_average(articles(spark), scorer).collect()}
@@ -72,7 +74,7 @@ def test_step_over_a_manifest_is_idempotent(spark):
 
 
 def test_article_sentiment(spark):
-    out = {r.goid: r for r in sentiment.article_sentiment(articles(spark), sentiment.ModelScorer(fixed_model)).collect()}
+    out = {r.goid: r for r in sentiment.article_sentiment(articles(spark), sentiment.ModelScorer(fixed_model())).collect()}
     # plain mean over texts: (-0.5 / 0.9 + 0.4 / 0.8) / 2
     body = (-0.5 / 0.9 + 0.4 / 0.8) / 2
     assert abs(out["1"].body_polarity - body) < 1e-9 and abs(out["1"].sentiment - 0.8 * body) < 1e-9

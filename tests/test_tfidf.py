@@ -61,3 +61,9 @@ def test_tagging_keeps_existing_keywords(spark):
     twice = steps.tag_keywords(once, model, None, 2, "doc_id")
     got = {r.doc_id: r.tf_idf and [k.term for k in r.tf_idf] for r in twice.collect()}
     assert got == {1: ["rates"], 2: ["cut"], 3: None, 4: ["banks", "99"]}
+
+
+def test_one_shuffle_of_the_texts(spark):
+    model = tfidf.fit(docs(spark))
+    plan = tfidf.keywords(tfidf.transform(docs(spark), model))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan

@@ -30,7 +30,7 @@ def test_delete_tag(spark):
 
 
 def test_table_to_records(spark):
-    table = spark.createDataFrame([(1, "0.123456"), (3, "7"), (2, "bad"), (None, "1")], "goid bigint, v string")
+    table = spark.createDataFrame([(1, "0.123456"), (1, "0.1"), (3, "7"), (2, "bad"), (None, "1")], "goid bigint, v string")
     names = spark.createDataFrame([("1.xml",), ("2.xml",)], "name string")
     records, updated = upsert.table_to_records(base(spark), table, {"v": "score"}, names)
     assert values(records) == {"1": 0.1235, "2": None, "3": 0.0}
