@@ -36,7 +36,16 @@ def neardup_first_in_bucket(spark, sf):
     return neardup.first_in_bucket(neardup.band_keys(neardup.signatures(documents(spark, sf))))
 
 
-@query("neardup_greedy")
+# The sequential rule, one document per recursion step.
+SEQUENTIAL = f"""WITH RECURSIVE {BANDED}, docs AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i,
+  list(CAST(concat('0x', substr(bucket, 1, 15)) AS BIGINT)) AS bs FROM banded GROUP BY doc_id),
+ walk AS (SELECT i, doc_id, true AS kept, bs AS seen FROM docs WHERE i = 1
+  UNION ALL SELECT d.i, d.doc_id, NOT list_has_any(w.seen, d.bs), CASE WHEN list_has_any(w.seen, d.bs) THEN w.seen ELSE list_concat(w.seen, d.bs) END
+  FROM walk w JOIN docs d ON d.i = w.i + 1)
+ SELECT doc_id FROM walk WHERE kept"""
+
+
+@query("neardup_greedy", SEQUENTIAL)
 def neardup_greedy(spark, sf):
     return neardup.greedy(neardup.band_keys(neardup.signatures(documents(spark, sf))))
 
