@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
 from ..session import materialise, spread
-from .scale import BROADCAST_ROWS, semi_join_counted
+from .scale import BROADCAST_ROWS, lookup_join, salted_join, semi_join_counted
 
 PERMUTATIONS = 128
 BANDS = 32
@@ -42,19 +42,16 @@ def signatures(docs: DataFrame, key: str = "doc_id", content: str = "text", perm
         .select(key, token_hash(F.col("token")).alias("h"))
     )
     return hashes.groupBy(key).agg(*[
-        F.min((F.lit(a) * F.col("h") + F.lit(b)) % F.lit(PRIME)).alias(f"m{i}")
-        for i, (a, b) in enumerate(coefficients(permutations))
+        F.expr(f"min(({a}L * h + {b}L) % {PRIME}L) AS m{i}") for i, (a, b) in enumerate(coefficients(permutations))
     ])
 
 
 def band_keys(signed: DataFrame, key: str = "doc_id", bands: int = BANDS, permutations: int = PERMUTATIONS) -> DataFrame:
     """(key, bucket): one row per document and band."""
     rows = permutations // bands
-    buckets = F.array(*[
-        F.md5(F.concat_ws("_", F.lit(k).cast("string"), *[F.col(f"m{k * rows + j}").cast("string") for j in range(rows)]))
-        for k in range(bands)
-    ])
-    return signed.select(key, F.explode(buckets).alias("bucket"))
+    parts = [", ".join(f"CAST(m{k * rows + j} AS STRING)" for j in range(rows)) for k in range(bands)]
+    buckets = ", ".join(f"md5(concat_ws('_', '{k}', {part}))" for k, part in enumerate(parts))
+    return signed.select(key, F.expr(f"explode(array({buckets})) AS bucket"))
 
 
 def first_in_bucket(banded: DataFrame, key: str = "doc_id", bands: int = BANDS) -> DataFrame:
@@ -93,20 +90,24 @@ def greedy(banded: DataFrame, key: str = "doc_id", bands: int = BANDS, limit: in
     raise RuntimeError(f"not settled after {max_rounds} rounds")
 
 
-def verified(candidates: DataFrame, docs: DataFrame, key: str = "doc_id", content: str = "text", threshold: float = 0.99) -> DataFrame:
-    """Candidate pairs (key, other) whose exact token-set Jaccard reaches the threshold."""
+def verified(candidates: DataFrame, docs: DataFrame, key: str = "doc_id", content: str = "text", threshold: float = 0.99,
+             per_task: int = 10_000) -> DataFrame:
+    """Candidate pairs (key, other) whose exact token-set Jaccard reaches the threshold.
+
+    A first copy is the ``other`` of all its copies, so its token set is dealt out in copies.
+    """
     sets = docs.select(key, F.array_distinct(text.word_list(F.col(content))).alias("_s"))
+    others = sets.select(F.col(key).alias("other"), F.col("_s").alias("_o"))
     left = candidates.join(sets, key)
-    right = sets.select(F.col(key).alias("other"), F.col("_s").alias("_o"))
     shared = F.size(F.array_intersect("_s", "_o"))
     similarity = shared / (F.size("_s") + F.size("_o") - shared)
-    return left.join(right, "other").withColumn("jaccard", similarity).filter(F.col("jaccard") >= threshold).drop("_s", "_o")
+    paired = salted_join(left, others, "other", key, per_task=per_task)
+    return paired.withColumn("jaccard", similarity).filter(F.col("jaccard") >= threshold).drop("_s", "_o")
 
 
 def bucket_links(banded: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, other): each document with the first member of its buckets, a linear set of candidate
     pairs. Bucket sizes are counted first, so rows of a hot bucket meet its first member by broadcast."""
     firsts = materialise(banded.groupBy("bucket").agg(F.min(key).alias("other"), F.count(F.lit(1)).alias("n")), "firsts")
-    from .scale import lookup_join
     linked = lookup_join(banded, firsts.filter(F.col("n") > 1), "bucket", "n")
-    return linked.filter(F.col(key) != F.col("other")).select(key, "other").distinct()
+    return materialise(linked.filter(F.col(key) != F.col("other")).select(key, "other").distinct(), "links")

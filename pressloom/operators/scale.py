@@ -50,6 +50,22 @@ def semi_join_counted(facts: DataFrame, keys: DataFrame, key: str, weight: str,
     return facts.join(hot_keys, key, "left_semi").unionByName(cold)
 
 
+def salted_join(facts: DataFrame, table: DataFrame, key: str, spread_by: str, weight: str = "n",
+                per_task: int = 10_000, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join of facts with wide rows of a table, one per key, where keys may be hot.
+
+    A key with many facts gets one copy of its row per ``per_task`` facts, and its facts are dealt out
+    over the copies by ``spread_by``. Copies are at most keys + facts / per_task. ``facts`` should be
+    cheap to read twice.
+    """
+    counts = materialise(facts.groupBy(key).agg(F.count(F.lit(1)).alias(weight)), "weights")
+    copies = F.ceil(F.col(weight) / per_task).cast("int")
+    dealt = lookup_join(facts, counts, key, weight, limit=limit).withColumn(
+        "_salt", F.pmod(F.xxhash64(spread_by), copies).cast("int")).drop(weight)
+    rows = table.join(counts, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop(weight)
+    return dealt.join(rows, [key, "_salt"]).drop("_salt")
+
+
 def global_rank(df: DataFrame, *order: Column, name: str = "rn") -> DataFrame:
     """Exact 1-based row number over the whole frame without sending it through one task.
 

@@ -41,6 +41,15 @@ def test_split_semi_join_equals_broadcast(spark):
         assert whole == split and whole
 
 
+def test_salted_join_equals_plain_join(spark):
+    facts = skewed(spark)
+    table = spark.range(0, 500, 2).select(F.col("id").alias("key"), (F.col("id") * 7).alias("v"))
+    plain = sorted(tuple(r) for r in facts.join(table, "key").select("id", "key", "v").collect())
+    for options in ({"per_task": 50}, {"per_task": 50, "limit": 4}, {}):
+        salted = scale.salted_join(facts, table, "key", "id", **options).select("id", "key", "v")
+        assert sorted(tuple(r) for r in salted.collect()) == plain
+
+
 def test_sample_is_exact_and_repeatable(spark):
     rows = spark.range(5000).select(F.concat(F.col("id").cast("string"), F.lit(".xml")).alias("name"))
     first = sorted(r.name for r in scale.sample_rows(rows, "name", 777, seed=3).collect())
