@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import tfidf
+from ..operators import clean, tfidf
 from ..plans import steps
 from ..schema import STOP_WORDS
 from ..session import shared_path, spread
@@ -68,8 +68,8 @@ def topic_tokens(spark, sf):
 @query("topic_list_tokens", rf"""WITH {TITLED} SELECT goid, array_to_string(list_filter(regexp_extract_all(lower(array_to_string(paragraph_text, ' ')), '\S+'),
  lambda w: regexp_matches(w, '^\p{{L}}+$') AND w NOT IN ({STOP})), ' ') AS processed FROM titled WHERE paragraph_text IS NOT NULL""")
 def topic_list_tokens(spark, sf):
-    rows = titled(spark, sf).filter(F.col("paragraph_text").isNotNull())
-    return rows.select("goid", F.array_join(text.topic_list_tokens(F.col("paragraph_text")), " ").alias("processed"))
+    words = F.array_join(text.topic_list_tokens(F.col("paragraph_text")), " ")
+    return clean.with_required(titled(spark, sf), "processed", words).select("goid", "processed")
 
 
 @query("title_body_doc", f"WITH {TITLED} SELECT goid, concat(title, ' ', array_to_string(paragraph_text, ' ')) AS doc FROM titled WHERE paragraph_text IS NOT NULL AND title IS NOT NULL")

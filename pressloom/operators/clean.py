@@ -34,6 +34,14 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     return df.dropna(subset=list(columns))
 
 
+def with_required(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column and drop rows where it is null, computing it once per row.
+
+    A filter on the column would be pushed below it, with a second copy of its expression.
+    """
+    return df.select("*", F.explode(F.filter(F.array(value), lambda v: v.isNotNull())).alias(name))
+
+
 def years(df: DataFrame, after: int | None = None, before: int | None = None, column: str = "date") -> DataFrame:
     """after < year < before, as date bounds that reach the scan."""
     if after is not None:

@@ -39,7 +39,8 @@ class RuleScorer:
         counts = text.let(F.transform(text.tokens(F.col(text_col)), self.rule), lambda marks: F.struct(
             F.size(F.filter(marks, lambda m: m == 1)).alias("p"),
             F.size(F.filter(marks, lambda m: m == -1)).alias("m"), F.size(marks).alias("all")))
-        counted = df.filter(F.col(text_col).isNotNull()).select(*key_cols, counts.alias("_c"))
+        # null texts go with the explode: a filter would sink below and build the text a second time
+        counted = df.select(*key_cols, F.explode(F.when(F.col(text_col).isNotNull(), F.array(counts))).alias("_c"))
         p, m = F.col("_c.p"), F.col("_c.m")
         shares = distribution(p, m, F.col("_c.all") - p - m, self.classes)
         return counted.select(*key_cols, *[c.alias(k) for k, c in shares.items()])
@@ -161,13 +162,14 @@ def article_sentiment(articles: DataFrame, scorer: Scorer, key: str = "goid", ti
                       paragraphs: str = "paragraph_text") -> DataFrame:
     """(key, title_polarity, body_polarity, sentiment). A part that is missing or has no text is left out;
     a part without words scores zero."""
-    titles = list_polarity(score_texts(articles.filter(F.length(title) > 0), title, [key], scorer), key, "title_polarity")
+    titles = list_polarity(score_texts(articles, title, [key], scorer), key, "_title")
+    bodies = list_polarity(paragraph_scores(articles, scorer, key, paragraphs), key, "_body")
     has_words = F.exists(paragraphs, lambda p: p.rlike(r"\S"))
-    filled = articles.filter(F.size(paragraphs) > 0)
-    bodies = list_polarity(paragraph_scores(filled.filter(has_words), scorer, key, paragraphs), key, "body_polarity")
-    blank = F.when((F.size(paragraphs) > 0) & ~has_words, 0.0)
+    shape = articles.select(
+        key, (F.length(title) > 0).alias("_titled"), ((F.size(paragraphs) > 0) & ~has_words).alias("_wordless"))
     return (
-        articles.select(key, blank.alias("_blank")).join(titles, key, "left").join(bodies, key, "left")
-        .withColumn("body_polarity", F.coalesce("body_polarity", "_blank")).drop("_blank")
+        shape.join(titles, key, "left").join(bodies, key, "left")
+        .select(key, F.when(F.col("_titled"), F.col("_title")).alias("title_polarity"),
+                F.when(F.col("_wordless"), 0.0).otherwise(F.col("_body")).alias("body_polarity"))
         .withColumn("sentiment", labels.article_polarity(F.col("title_polarity"), F.col("body_polarity")))
     )

@@ -84,5 +84,5 @@ def described(articles: DataFrame) -> DataFrame:
 def document(title: str = "title", paragraphs: str = "paragraph_text", name: str = "doc"):
     """Title and body as one text column; rows without one of them are left out."""
     def add(df: DataFrame) -> DataFrame:
-        return df.withColumn(name, text.title_and_body(F.col(title), F.col(paragraphs))).filter(F.col(name).isNotNull())
+        return clean.with_required(df, name, text.title_and_body(F.col(title), F.col(paragraphs)))
     return add
