@@ -7,24 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import labels, salience as sal
+from .clean import with_required
+
+
+def salience_column() -> Column:
+    """Salience from publisher (folded), date, page and word count."""
+    page = sal.page_score(sal.normalize_page(F.col("page")))
+    return sal.salience(sal.day_score(F.col("date")), page, F.col("word_count"), sal.page_size(F.col("publisher")))
 
 
 def with_salience(articles: DataFrame, name: str = "salience_score") -> DataFrame:
-    """Add the salience score; ``publisher`` must be folded already."""
-    return (
-        articles.withColumn("_page", sal.page_score(sal.normalize_page(F.col("page"))))
-        .withColumn(name, sal.salience(sal.day_score(F.col("date")), F.col("_page"), F.col("word_count"),
-                                       sal.page_size(F.col("publisher"))))
-        .drop("_page")
-    )
+    """Add the salience score; null where the article cannot be scored."""
+    return articles.withColumn(name, salience_column())
 
 
 def adjusted_sentiment(articles: DataFrame, sentiment: str = "bert_sentiment") -> DataFrame:
     """Keep scored rows and weight their sentiment by salience."""
-    return (
-        with_salience(articles).filter(F.col("salience_score").isNotNull())
-        .withColumn("adjusted_sentiment", F.col(sentiment) * F.col("salience_score"))
-    )
+    return with_required(articles, "salience_score", salience_column()).withColumn(
+        "adjusted_sentiment", F.col(sentiment) * F.col("salience_score"))
 
 
 def zscore(df: DataFrame, columns: dict[str, str]) -> DataFrame:
