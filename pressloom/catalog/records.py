@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import clean, tfidf
+from ..operators import clean
 from ..schema import EXPORT_COLUMNS, PROPERTY_NAMES
-from ..session import shared_path, spread
+from ..session import shared_path
 from ..sources import records, tables
 from ..streaming import incremental
-from .base import ARTICLES, TITLED, articles, documents, names, query, table, titled
+from .base import ARTICLES, TITLED, articles, documents, query, table, titled
 
 # Article columns of a derived record; a record without text for every 29th article.
 _ROWS = f"""{TITLED}, recs AS (SELECT CAST(goid AS VARCHAR) AS goid, lower(publisher) AS publisher, date, 'News' AS article_type, section,

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators import classify, sentiment, tfidf, upsert
+from ..operators import classify, sentiment, tfidf
 from ..plans import steps
 from ..schema import BERT_PARAGRAPH, BERT_TITLE, ROBERTA_PARAGRAPH, ROBERTA_TITLE
 from ..session import materialise, spread
 from .base import ARTICLES, TITLED, articles, documents, query, table, term_mark, titled, tokens_sql
 from .cleaning import sections
-from .text import IDF, VOCABULARY, scores_sql
+from .text import IDF, VOCABULARY
 
 THREE, TWO = sentiment.RuleScorer(term_mark, 3), sentiment.RuleScorer(term_mark, 2)
 

@@ -9,7 +9,7 @@ from ..operators import clean, tfidf
 from ..plans import steps
 from ..schema import STOP_WORDS
 from ..session import shared_path, spread
-from .base import ARTICLES, LINES_SQL, TITLED, articles, clean_sql, documents, query, quoted, strip_sql, table, titled, tokens_sql, valid_sql
+from .base import ARTICLES, TITLED, articles, clean_sql, documents, query, quoted, strip_sql, table, titled, tokens_sql, valid_sql
 
 STOP = quoted(STOP_WORDS)
 
