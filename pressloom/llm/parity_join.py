@@ -37,7 +37,8 @@ from .components import components
 BAND_RATIO = 1.5
 SLACK = 1.25
 PART_BITS = 128
-SKETCH_WORDS = 8  # longs of the whole sketch that guards pairs
+SKETCH_WORDS = 32  # longs of the whole sketch that guards pairs
+FOLD_WORDS = 8  # longs of the same sketch folded, for pairs within a bucket
 
 
 def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
@@ -141,6 +142,33 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([docs.schema["key"], T.StructField("shingles", T.ArrayType(T.LongType()))]))
 
 
+def _near(x: str, y: str, percent: int, longs: int = SKETCH_WORDS) -> Column:
+    """What sizes and sketches allow: a pair that fails this cannot link."""
+    a, b = F.col(f"{x}.size"), F.col(f"{y}.size")
+    far = F.lit(0)
+    for i in range(longs):
+        far = far + F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i]))
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * far <= (100 - percent) * (a + b))
+
+
+def _folded(sketch: str) -> Column:
+    """The sketch over fewer bits: words that fall together are XORed."""
+    def word(i: int) -> Column:
+        out = F.col(sketch)[i]
+        for j in range(i + FOLD_WORDS, SKETCH_WORDS, FOLD_WORDS):
+            out = out.bitwiseXOR(F.col(sketch)[j])
+        return out
+    return F.array(*(word(i) for i in range(FOLD_WORDS)))
+
+
+def _possible(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that sizes and sketches allow; many pairs may share one b."""
+    print_ = F.struct("size", "sketch")
+    left = pairs.join(prints.select(F.col("key").alias("a"), print_.alias("_p")), "a")
+    both = salted_join(left, prints.select(F.col("key").alias("b"), print_.alias("_q")), "b", "a")
+    return both.filter(_near("_p", "_q", percent)).select("a", "b")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sets reach the similarity; many pairs may share one b."""
     left = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("_x")), "a")
@@ -156,12 +184,6 @@ def _sets_for(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return materialise(sets_of(rows, k), "sets")
 
 
-def _far(x: str, y: str) -> Column:
-    """Hamming distance of two whole sketches."""
-    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, SKETCH_WORDS)),
-               F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
-
-
 def link(docs: DataFrame, key: str = "doc_id", content: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id (the least key reachable by links)."""
     texts = docs.select(F.col(key).alias("key"), F.col(content).alias("text"))
@@ -179,25 +201,27 @@ def link(docs: DataFrame, key: str = "doc_id", content: str = "text", k: int = 3
     rank = F.struct("fame", -F.col("key"))
     leaders = materialise(members.join(fame, "key").groupBy("bucket").agg(
         (-F.max(rank)["col2"]).alias("b"), F.count(F.lit(1)).alias("n")), "leaders")
-    stars = lookup_join(members.select("bucket", F.col("key").alias("a")), leaders, "bucket", "n").filter("a != b")
-    stars = materialise(stars.select("a", "b").distinct(), "stars")
-    links = materialise(_links(stars, _sets_for(stars, texts, k), percent), "links")
+    spokes = materialise(lookup_join(members.select("bucket", F.col("key").alias("a")), leaders, "bucket", "n").filter("a != b"), "spokes")
+    stars = materialise(spokes.select("a", "b").distinct(), "stars")
+    prints = classes.select("key", "size", "sketch").dropDuplicates(["key"])
+    near = materialise(_possible(stars, prints, percent), "near")
+    links = materialise(_links(near, _sets_for(near, texts, k), percent), "links")
     merged = components(links)
-    # members of one bucket that are in different components still
-    label = F.coalesce("component", "key")
-    labelled = members.join(merged.withColumnRenamed("id", "key"), "key", "left").select("bucket", "key", label.alias("label"))
+    # members of one bucket, its leader aside, that are in different components still
+    label = F.coalesce("component", "key").alias("label")
+    labelled = spokes.filter("n > 2").select("bucket", F.col("a").alias("key")).join(
+        merged.withColumnRenamed("id", "key"), "key", "left").select("bucket", "key", label)
     split = labelled.groupBy("bucket").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count(F.lit(1)).alias("n"))
     split = materialise(split.filter("_a < _b").select("bucket", "n"), "split")
-    open_ = lookup_join(labelled, split, "bucket", "n").drop("n").join(classes.select("key", "size", "sketch"), "key")
-    open_ = materialise(open_.repartition("bucket"), "open")
+    open_ = lookup_join(labelled, split, "bucket", "n").drop("n").join(
+        prints.select("key", "size", _folded("sketch").alias("sketch")), "key")
+    open_ = materialise(open_, "open")
     x, y = open_.alias("x"), open_.alias("y")
-    total = F.col("x.size") + F.col("y.size")
     apart = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key"))
-                   & (F.col("x.label") != F.col("y.label"))
-                   & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
-                   & ((100 + percent) * _far("x.sketch", "y.sketch") <= (100 - percent) * total))
+                   & (F.col("x.label") != F.col("y.label")) & _near("x", "y", percent, FOLD_WORDS))
     apart = apart.select(F.col("y.key").alias("a"), F.col("x.key").alias("b")).distinct()
-    apart = materialise(apart.join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti"), "apart")
+    apart = apart.join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti")
+    apart = materialise(_possible(materialise(apart, "apart"), prints, percent), "apart")
     if not apart.isEmpty():
         more = materialise(_links(apart, _sets_for(apart, texts, k), percent), "links")
         if not more.isEmpty():
