@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cuckoo, decontaminate, line_templates, packing, parity_join
+from . import cuckoo, decontaminate, line_templates, packing, parity_join, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,9 @@ FROM documents LEFT JOIN gone USING (doc_id)"""
 @query("op3_line_templates", LINES_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
