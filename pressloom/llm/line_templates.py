@@ -80,13 +80,17 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", content: str = "text", *
     return found.groupBy("_key", "_text").agg(F.collect_set("_at").alias("_drop"))
 
 
-def clean(docs: DataFrame, key: str = "doc_id", content: str = "text", counts: bool = True, **options) -> DataFrame:
-    """``docs`` with the dropped lines gone; with ``counts`` also n_lines and n_dropped."""
+def clean(docs: DataFrame, key: str = "doc_id", content: str = "text", counts: bool = True, drop_emptied: bool = False,
+          **options) -> DataFrame:
+    """``docs`` with the dropped lines gone; with ``counts`` also n_lines and n_dropped. With ``drop_emptied`` a document
+    goes when lines of it were dropped and nothing but white space is left: all it says stands in other documents."""
     drop = materialise(dropped_lines(docs, key, content, **options), "drop")
     met = docs.join(drop, docs[key].eqNullSafe(drop["_key"]) & (F.xxhash64(docs[content]) == drop["_text"]), "left")
     lines = F.split(docs[content], "\n")
     rest = F.filter(lines, lambda line, at: ~F.array_contains(F.col("_drop"), at))
     text = F.when(F.col("_drop").isNull(), docs[content]).otherwise(F.array_join(rest, "\n"))
+    if drop_emptied:
+        met = met.filter(F.col("_drop").isNull() | (F.regexp_replace(text, SPACE, "") != ""))
     columns = [text.alias(content) if c == content else docs[c] for c in docs.columns]
     if counts:
         columns += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),

@@ -233,3 +233,11 @@ def link(docs: DataFrame, key: str = "doc_id", content: str = "text", k: int = 3
     final = lookup_join(classed, materialise(weighed, "components"), "_class", "_n", how="left")
     return final.select(F.col("key").alias(key), F.col("size").alias("n_shingles"),
                         F.coalesce("component", "_class").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", content: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the documents that reach a lesser key by links; rows with a null key stay, as do rows that
+    repeat a key that stays."""
+    linked = link(docs, key, content, k, percent)
+    gone = materialise(linked.filter(F.col("component_id") != F.col(key)).select(key).distinct(), "gone")
+    return lookup_join(docs, gone, key, how="left_anti").select(*docs.columns)

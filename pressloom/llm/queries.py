@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cuckoo, decontaminate, html_text, language, line_templates, packing, parity_join, quality
+from . import cuckoo, decontaminate, html_text, language, line_templates, packing, parity_join, passages, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,29 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.predict(docs, language.train(docs))
+
+
+@query("op8_passages")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(table(spark, sf_dir, "documents"))
+
+
+def derived_edits(docs: DataFrame) -> DataFrame:
+    """Three edits of every document, placed by hash: a deletion, an insertion and a replacement."""
+    def at(i: int):
+        return F.pmod(F.xxhash64("doc_id", F.lit(i)), F.length(F.coalesce("text", F.lit(""))) + 1)
+
+    def edit(i: int, remove: int, insert):
+        return F.struct(F.lit(i).alias("seq"), at(i).alias("at"), F.lit(remove).alias("remove"), insert.alias("insert"))
+
+    label = F.concat_ws(" ", F.lit(" from"), "source", "lang")
+    edits = F.array(edit(0, 12, F.lit("")), edit(1, 0, label), edit(2, 20, F.concat(label, F.lit("\n"))))
+    return docs.select("doc_id", F.inline(edits))
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.count(docs, derived_edits(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
