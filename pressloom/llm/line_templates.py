@@ -34,9 +34,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 def _lines(docs: DataFrame, key: str, content: str, min_tokens: int, depth: int) -> DataFrame:
     """(_key, _text, _at, _tokens, _leaf) of every line long enough."""
-    split = docs.select(F.col(key).alias("_key"), F.xxhash64(content).alias("_text"),
-                        F.posexplode(F.split(content, "\n")).alias("_at", "_line"))
-    tokens = split.withColumn("_tokens", F.split(F.trim(F.regexp_replace("_line", SPACE, " ")), " ")).drop("_line")
+    # tokens are made inside the generator, so that they are made once and not again for every use of the column
+    parted = F.transform(F.split(content, "\n"), lambda line: F.filter(F.split(line, SPACE), lambda t: t != ""))
+    tokens = docs.select(F.col(key).alias("_key"), F.xxhash64(content).alias("_text"), F.posexplode(parted).alias("_at", "_tokens"))
     lead = F.transform(F.slice("_tokens", 1, depth), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
     return tokens.filter(F.size("_tokens") >= min_tokens).withColumn("_leaf", F.xxhash64(F.size("_tokens"), lead))
 
