@@ -187,7 +187,8 @@ def find(docs: DataFrame, key: str = "doc_id", content: str = "text", k: int = K
          min_identity: float = MIN_IDENTITY, min_span: int = MIN_SPAN) -> DataFrame:
     """One row per repeated passage: key, start_word, end_word, source_id, source_start, source_end, matching_words, identity."""
     texts = docs.select(F.col(key).alias("key"), F.col(content).alias("text")).filter(F.col("key").isNotNull())
-    all_seeds = materialise(seeds(texts, k, window), "seeds")
+    # made anew for each use: a table of all seeds would be as large as the texts
+    all_seeds = seeds(texts, k, window)
     first = all_seeds.groupBy("seed").agg(F.min(F.struct("key", "at")).alias("_first"), F.count(F.lit(1)).alias("_n"))
     first = materialise(first.filter("_n > 1").select("seed", F.col("_first.key").alias("source"), F.col("_first.at").alias("source_at"), "_n"), "firsts")
     met = lookup_join(all_seeds, first, "seed", "_n").filter(F.col("key") != F.col("source"))
