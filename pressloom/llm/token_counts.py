@@ -63,8 +63,11 @@ class PieceCounter:
             fresh, first = np.unique(hashes[absent], return_index=True)
             at = absent[first]
             new = [len(self.encode(data[s:e].decode())) for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+            held = self.rows.count
             self.rows.add(fresh)
-            self.tokens = np.concatenate((self.tokens, np.array(new, np.int64)))
+            if self.rows.count > len(self.tokens):
+                self.tokens = np.concatenate((self.tokens, np.zeros(max(1024, self.rows.count), np.int64)))
+            self.tokens[held : self.rows.count] = new
             rows = self.rows.find(hashes)
         return starts, self.tokens[rows]
 
