@@ -193,8 +193,7 @@ def link(docs: DataFrame, key: str = "doc_id", content: str = "text", k: int = 3
     classes = lookup_join(able, copies, "set_id", "_n", how="left").filter(
         F.coalesce("_class", "key") == F.col("key")).drop("_class", "_n")
     listed = classes.select("key", F.explode("buckets").alias("bucket"))
-    shared = materialise(listed.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.min("key").alias("_a"), F.max("key").alias("_b")).filter("_a < _b").select("bucket", "n"), "buckets")
+    shared = materialise(listed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     members = materialise(lookup_join(listed, shared, "bucket", "n"), "members")
     # the member that shares most leads its bucket
     fame = members.groupBy("key").agg(F.sum("n").alias("fame"))
@@ -215,7 +214,6 @@ def link(docs: DataFrame, key: str = "doc_id", content: str = "text", k: int = 3
     split = materialise(split.filter("_a < _b").select("bucket", "n"), "split")
     open_ = lookup_join(labelled, split, "bucket", "n").drop("n").join(
         prints.select("key", "size", _folded("sketch").alias("sketch")), "key")
-    open_ = materialise(open_, "open")
     x, y = open_.alias("x"), open_.alias("y")
     apart = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key"))
                    & (F.col("x.label") != F.col("y.label")) & _near("x", "y", percent, FOLD_WORDS))
