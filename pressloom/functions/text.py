@@ -137,11 +137,6 @@ def parse_list(text: Column) -> Column:
     return F.when(text.isNotNull(), F.coalesce(parsed, F.array(text)))
 
 
-def text_hash(paragraphs: Column) -> Column:
-    """MD5 of paragraphs joined by spaces, or of a plain text column."""
-    return F.md5(paragraphs.cast("string"))
-
-
 def cut(text: Column, limit: int = 512, keep: int = 511) -> Column:
     """Model input limit: texts above ``limit`` characters are cut to ``keep``."""
     return F.when(F.length(text) > limit, F.substring(text, 1, keep)).otherwise(text)

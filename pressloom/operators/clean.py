@@ -52,12 +52,13 @@ def years(df: DataFrame, after: int | None = None, before: int | None = None, co
 
 
 def distinct_by_key(df: DataFrame, key: str = "goid", order: Sequence[str] = ("date",)) -> DataFrame:
-    return first_per_key(df, [key], list(order))
+    """One row per key, first in ``order``; rows that tie are ordered by a hash of all their columns."""
+    return first_per_key(df, [key], [*order, F.xxhash64(*df.columns)])
 
 
 def distinct_by_text(df: DataFrame, content: Column, order: Sequence[str] = ("date", "goid")) -> DataFrame:
     """One row per text, earliest first; the hash is dropped again."""
-    return first_per_key(df.withColumn("_hash", F.md5(content)), ["_hash"], list(order)).drop("_hash")
+    return first_per_key(df.withColumn("_hash", F.md5(content)), ["_hash"], [*order, F.xxhash64(*df.columns)]).drop("_hash")
 
 
 def pending(wanted: DataFrame, done: DataFrame, key: str = "name") -> DataFrame:

@@ -64,18 +64,18 @@ def first_in_bucket(banded: DataFrame, key: str = "doc_id", bands: int = BANDS)
     return firsts.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == bands).select(key)
 
 
-def greedy(banded: DataFrame, key: str = "doc_id", bands: int = BANDS, limit: int = BROADCAST_ROWS,
-           max_rounds: int = 10_000) -> DataFrame:
+def greedy(banded: DataFrame, key: str = "doc_id", bands: int = BANDS, limit: int = BROADCAST_ROWS) -> DataFrame:
     """(key) of documents kept by the sequential rule: keep a document unless an earlier *kept* one
     shares a bucket.
 
     Rounds over the undecided rows: the first undecided member of all its buckets is kept, every
     other member of those buckets is dropped. Each round ends in a written table; rounds follow the
-    longest chain of overlapping documents, not the number of documents.
+    longest chain of overlapping documents, not the number of documents. Every round keeps at least the
+    least undecided key, so it ends.
     """
     rows = materialise(banded, "bands")
     kept = None
-    for _ in range(max_rounds):
+    while True:
         firsts = materialise(
             rows.groupBy("bucket").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("n")), "firsts")
         winners = firsts.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == bands).select(key)
@@ -87,7 +87,6 @@ def greedy(banded: DataFrame, key: str = "doc_id", bands: int = BANDS, limit: in
         rows = materialise(rows.join(touched, key, "left_anti"), "undecided")
         if rows.isEmpty():
             return kept
-    raise RuntimeError(f"not settled after {max_rounds} rounds")
 
 
 def verified(candidates: DataFrame, docs: DataFrame, key: str = "doc_id", content: str = "text", threshold: float = 0.99,

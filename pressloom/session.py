@@ -55,11 +55,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame, *keys) -> DataFrame:
-    """Spread a scan over the cores when it has few splits; leave large scans as they are.
+    """Spread a scan over the cores when it has fewer splits than cores; never lower their number.
 
     Only for frames without a shuffle in them: the partition count comes from planning alone.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= 4 * cores:
+    if scan.rdd.getNumPartitions() >= cores:
         return scan
     return scan.repartition(cores, *keys)

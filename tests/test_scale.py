@@ -71,3 +71,10 @@ def test_first_per_key_is_pruned_before_the_shuffle(spark):
 
 def test_shared_dir_follows_the_session(spark):
     assert shared_dir(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_first_per_key_breaks_ties_by_all_columns(spark):
+    from pressloom.operators import clean
+
+    rows = spark.createDataFrame([(1, "2001-01-01", v) for v in range(6)], "goid long, date string, v int")
+    assert len({clean.distinct_by_key(rows.repartition(n, "v")).first().v for n in (1, 2, 3, 5)}) == 1
