@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,11 +50,48 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame once to the shared folder and read it back: lineage ends, executors may die."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("_scopes", default=())
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write a frame once to the shared folder and read it back: lineage ends, executors may die.
+
+    The shuffle files of the write go with its end, as the table replaces them. Inside ``scratch`` the table
+    goes with the scope; with ``keep`` it belongs to the scope around that one, or to the caller.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    owners = _scopes.get()[:-1] if keep else _scopes.get()
+    if owners:
+        owners[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drop the tables written by ``materialise`` inside, at the end or when the work fails.
+
+    Nothing lazy that reads them may leave the scope: end it with a kept table.
+    """
+    paths: list[str] = []
+    token = _scopes.set((*_scopes.get(), paths))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def spread(scan: DataFrame, *keys) -> DataFrame:

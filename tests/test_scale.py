@@ -1,9 +1,11 @@
 """Balanced building blocks on skewed keys: a third of the rows share one key."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from pressloom.operators import scale
-from pressloom.session import shared_dir
+from pressloom.session import CLEANUP, materialise, scratch, shared_dir
 
 
 def skewed(spark, n=3000):
@@ -78,3 +80,21 @@ def test_first_per_key_breaks_ties_by_all_columns(spark):
 
     rows = spark.createDataFrame([(1, "2001-01-01", v) for v in range(6)], "goid long, date string, v int")
     assert len({clean.distinct_by_key(rows.repartition(n, "v")).first().v for n in (1, 2, 3, 5)}) == 1
+
+
+def test_scratch_drops_its_tables_and_keeps_the_result(spark):
+    folder = shared_dir(spark).removeprefix("file:")
+    with scratch(spark):
+        inner = materialise(skewed(spark).groupBy("key").count(), "scratch-inner")
+        with scratch(spark):
+            kept = materialise(inner.filter("key < 10"), "scratch-kept", keep=True)
+        result = materialise(kept.join(inner, ["key", "count"]), "scratch-result", keep=True)
+    assert result.count() == 10
+    assert {n.rsplit("-", 1)[0] for n in os.listdir(folder) if n.startswith("scratch-")} == {"scratch-result"}
+
+
+def test_materialise_leaves_no_shuffle_files_and_the_setting_alone(spark):
+    before = spark.conf.get(CLEANUP, None)
+    table = materialise(skewed(spark).groupBy("key").count(), "counted")
+    assert spark.conf.get(CLEANUP, None) == before
+    assert table.agg(F.sum("count")).first()[0] == 3000
