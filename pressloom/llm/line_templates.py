@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.scale import lookup_join
-from ..session import materialise
+from ..session import materialise, scratch
 
 MIN_DOCS = 8
 MIN_TOKENS = 4
@@ -84,7 +84,8 @@ def clean(docs: DataFrame, key: str = "doc_id", content: str = "text", counts: b
           **options) -> DataFrame:
     """``docs`` with the dropped lines gone; with ``counts`` also n_lines and n_dropped. With ``drop_emptied`` a document
     goes when lines of it were dropped and nothing but white space is left: all it says stands in other documents."""
-    drop = materialise(dropped_lines(docs, key, content, **options), "drop")
+    with scratch(docs.sparkSession):
+        drop = materialise(dropped_lines(docs, key, content, **options), "drop", keep=True)
     met = docs.join(drop, docs[key].eqNullSafe(drop["_key"]) & (F.xxhash64(docs[content]) == drop["_text"]), "left")
     lines = F.split(docs[content], "\n")
     rest = F.filter(lines, lambda line, at: ~F.array_contains(F.col("_drop"), at))
