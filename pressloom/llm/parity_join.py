@@ -2,13 +2,16 @@
 
 A text's set of shingles is XOR-hashed into bits: every shingle flips one bit, so the Hamming distance of two
 sketches never exceeds the size of the symmetric difference of the sets. At similarity t two sets of sizes a and
-b differ in at most D = (a + b)(1 - t)/(1 + t) shingles. Within a band of sizes the sketch is cut into more than D
-parts; sets that link agree in at least one part. The parts are the join keys.
+b differ in at most D = (a + b)(1 - t)/(1 + t) shingles, and a set of n shingles differs from any partner in at most
+n(1 - t)/t. Within a band of sizes the sketch is cut into P parts, more than D; sets that link agree in at least
+P - D of them. The parts are the join keys.
 
-A part holding few shingles says little, so a text is listed under its fullest parts only: under all parts with
-m or more shingles, m being the largest number that still leaves more than D parts. Of two texts that link, take
-the larger m: more than D parts hold that many shingles, one of them is untouched by the differences, and both
-texts are listed under it. Nothing is lost and empty parts are hardly ever keys.
+Most parts of most texts stand nowhere else. They are counted first, and a text leaves a band if fewer than P - D of
+its parts are found in other texts. This is done once more among the texts that are left. Of the rest, each is listed
+under the D + 1 rarest of its parts only: in one order of all parts, two texts that link have their first common part
+among the first D + 1 of each, as at most D parts come before it. Parts without a shingle come last in that order, so
+a text lists them only if it has no more than D others. Nothing is lost, and a passage that many texts share is
+hardly ever a key.
 
 Texts with equal sets are one class. Within a key no pairs are formed at first: every member is checked against
 the member that shares most (large groups of near copies collapse onto it), links are merged into components, and
@@ -27,15 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..operators.scale import lookup_join, salted_join
-from ..session import materialise
+from ..session import materialise, scratch
 from . import words
 from .components import components
 
 BAND_RATIO = 1.5
-SLACK = 1.25
+SLACK = 1.35  # parts for each one that may differ
 PART_BITS = 128
 SKETCH_WORDS = 32  # longs of the whole sketch that guards pairs
 FOLD_WORDS = 8  # longs of the same sketch folded, for pairs within a bucket
@@ -76,23 +79,28 @@ class Bands:
             self._reach(self.low[last])
         return list(range(first, last + 1))
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        found = []
-        for band in self.of(len(shingles)):
+    def keys(self, shingles: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """For each band: its number with the least number of listed parts that any partner shares, and their keys.
+
+        Parts without a shingle are not listed, and the count leaves them out. A text with too few other parts lists
+        all it has, and one of them is all that can be asked for: its partner may not list the parts without a shingle.
+        """
+        found, n = [], len(shingles)
+        for band in self.of(n):
             most = self.differences(self.low[band + 1] - 1, self.low[band + 1] - 1)
-            parts = int((most + 1) * SLACK) if most else 1
+            parts = int((most + 1) * SLACK) + 2 if most else 1
+            own = min(most, n * (100 - self.percent) // self.percent)
             part = (shingles % np.uint64(parts)).astype(np.int64)
             bit = (shingles >> np.uint64(50)).astype(np.int64) % PART_BITS
             flips = np.bincount(part * PART_BITS + bit, minlength=parts * PART_BITS) & 1
             sketch = np.packbits(flips.astype(np.uint8)).view(np.uint64).reshape(parts, PART_BITS // 64)
-            held = np.bincount(part, minlength=parts)
-            least = np.partition(held, parts - 1 - most)[parts - 1 - most]  # the (D + 1)-th fullest
-            listed = np.flatnonzero(held >= least)
+            held = np.flatnonzero(np.bincount(part, minlength=parts))
+            listed, need = (held, len(held) - own) if len(held) > own else (np.arange(parts), 1)
             key = words.mixed(np.uint64(band << 40) + listed.astype(np.uint64))
             for j in range(PART_BITS // 64):
                 key = words.mixed(key * np.uint64(words.BASE) + sketch[listed, j])
-            found.append(key)
-        return np.concatenate(found)
+            found.append((band << 32 | need, key))
+        return found
 
 
 def whole_sketch(shingles: np.ndarray) -> np.ndarray:
@@ -108,26 +116,31 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(key, size, set_id, buckets, sketch) for each row of (key, text)."""
+    """(key, size, set_id, slots, sketch) for each row of (key, text); a slot is a band with its least count and keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                sizes, ids, keys, prints = [], [], [], []
+                sizes, ids, keys, ends, prints = [], [], [], [0], []
                 for s in shingle_sets(words.texts_of(batch.column("text")), k):
                     sizes.append(len(s))
                     two = words.mixed(s + np.uint64(len(s))).sum(dtype=np.uint64), np.bitwise_xor.reduce(words.mixed(s * np.uint64(5)))
                     ids.append(np.array(two, np.uint64).tobytes())
-                    keys.append(bands.keys(s) if len(s) else s)
+                    keys += bands.keys(s) if len(s) else []
+                    ends.append(len(keys))
                     prints.append(whole_sketch(s))
+                slots = pa.StructArray.from_arrays([pa.array([b for b, _ in keys], pa.int64()), _lists([x for _, x in keys])],
+                                                   names=["slot", "buckets"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), _lists(keys), _lists(prints)],
-                    names=["key", "size", "set_id", "buckets", "sketch"])
+                    [batch.column("key"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), slots), _lists(prints)],
+                    names=["key", "size", "set_id", "slots", "sketch"])
 
     longs = T.ArrayType(T.LongType())
     out = T.StructType([docs.schema["key"], T.StructField("size", T.LongType()), T.StructField("set_id", T.BinaryType()),
-                        T.StructField("buckets", longs), T.StructField("sketch", longs)])
+                        T.StructField("slots", T.ArrayType(T.StructType([T.StructField("slot", T.LongType()), T.StructField("buckets", longs)]))),
+                        T.StructField("sketch", longs)])
     return docs.mapInArrow(run, out)
 
 
@@ -184,17 +197,43 @@ def _sets_for(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return materialise(sets_of(rows, k), "sets")
 
 
+def _able(listed: DataFrame) -> DataFrame:
+    """Rows (key, slot, bucket, n) of the texts that share as many parts as their slot asks for; n texts share a bucket."""
+    shared = materialise(listed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    met = lookup_join(listed, shared, "bucket", "n")
+    # a window over one text's parts in one band
+    counted = met.withColumn("_found", F.count(F.lit(1)).over(W.partitionBy("key", "slot")))
+    return counted.filter(F.col("_found") >= _need())
+
+
+def _need() -> Column:
+    return F.col("slot").bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def _members(listed: DataFrame) -> DataFrame:
+    """(key, bucket, n) of the rarest parts, as many as a text must be listed under."""
+    once = materialise(_able(listed).select("key", "slot", "bucket"), "able")
+    rarest = W.partitionBy("key", "slot").orderBy("n", "bucket")
+    found = _able(once).withColumn("_at", F.row_number().over(rarest))
+    return found.filter(F.col("_at") <= F.col("_found") - _need() + 1).select("key", "bucket", "n")
+
+
 def link(docs: DataFrame, key: str = "doc_id", content: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id (the least key reachable by links)."""
-    texts = docs.select(F.col(key).alias("key"), F.col(content).alias("text"))
+    with scratch(docs.sparkSession):
+        return materialise(_linked(docs.select(F.col(key).alias("key"), F.col(content).alias("text")), k, percent).select(
+            F.col("key").alias(key), F.col("size").alias("n_shingles"), F.coalesce("component", "_class").alias("component_id")),
+            "linked", keep=True)
+
+
+def _linked(texts: DataFrame, k: int, percent: int) -> DataFrame:
     rows = materialise(sketches(texts, k, percent), "sketches")
     able = rows.filter((F.col("size") > 0) & F.col("key").isNotNull())
     copies = materialise(able.groupBy("set_id").agg(F.min("key").alias("_class"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "copies")
     classes = lookup_join(able, copies, "set_id", "_n", how="left").filter(
         F.coalesce("_class", "key") == F.col("key")).drop("_class", "_n")
-    listed = classes.select("key", F.explode("buckets").alias("bucket"))
-    shared = materialise(listed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-    members = materialise(lookup_join(listed, shared, "bucket", "n"), "members")
+    listed = classes.select("key", F.explode("slots").alias("s")).select("key", "s.slot", F.explode("s.buckets").alias("bucket"))
+    members = materialise(_members(listed), "members")
     # the member that shares most leads its bucket
     fame = members.groupBy("key").agg(F.sum("n").alias("fame"))
     rank = F.struct("fame", -F.col("key"))
@@ -228,14 +267,13 @@ def link(docs: DataFrame, key: str = "doc_id", content: str = "text", k: int = 3
         "_n", F.coalesce("_n", F.lit(1)))
     classed = lookup_join(rows.select("key", "size", "set_id"), copies, "set_id", "_n", how="left").withColumn(
         "_class", F.when(F.col("key").isNotNull(), F.coalesce("_class", "key"))).drop("_n")
-    final = lookup_join(classed, materialise(weighed, "components"), "_class", "_n", how="left")
-    return final.select(F.col("key").alias(key), F.col("size").alias("n_shingles"),
-                        F.coalesce("component", "_class").alias("component_id"))
+    return lookup_join(classed, materialise(weighed, "components"), "_class", "_n", how="left")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", content: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that reach a lesser key by links; rows with a null key stay, as do rows that
     repeat a key that stays."""
-    linked = link(docs, key, content, k, percent)
-    gone = materialise(linked.filter(F.col("component_id") != F.col(key)).select(key).distinct(), "gone")
+    with scratch(docs.sparkSession):
+        linked = link(docs, key, content, k, percent)
+        gone = materialise(linked.filter(F.col("component_id") != F.col(key)).select(key).distinct(), "gone", keep=True)
     return lookup_join(docs, gone, key, how="left_anti").select(*docs.columns)
