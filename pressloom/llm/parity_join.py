@@ -41,6 +41,8 @@ BAND_RATIO = 1.5
 SLACK = 1.35  # parts for each one that may differ
 PART_BITS = 128
 SKETCH_WORDS = 32  # longs of the whole sketch that guards pairs
+GLANCE = 64  # one listed row in so many is looked at to find hot buckets
+HOT = 10_000  # most buckets whose rows are dealt out
 FOLD_WORDS = 8  # longs of the same sketch folded, for pairs within a bucket
 
 
@@ -198,9 +200,20 @@ def _sets_for(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 
 def _able(listed: DataFrame) -> DataFrame:
-    """Rows (key, slot, bucket, n) of the texts that share as many parts as their slot asks for; n texts share a bucket."""
-    shared = materialise(listed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-    met = lookup_join(listed, shared, "bucket", "n")
+    """Rows (key, slot, bucket, n) of the texts that share as many parts as their slot asks for.
+
+    n counts the texts of a bucket. All rows meet by bucket once, in a window. Buckets that hold a visible share of
+    all rows are told by one row in ``GLANCE``, at most ``HOT`` of them by counting; their rows are dealt out and take
+    the estimate from there, which only orders parts: any bucket seen twice has two members for certain.
+    """
+    seen = listed.filter(F.pmod(F.xxhash64("key", "bucket"), F.lit(GLANCE)) == 0).groupBy("bucket").agg(F.count(F.lit(1)).alias("_seen"))
+    seen = materialise(seen.filter("_seen > 1"), "seen")
+    total = seen.agg(F.sum("_seen")).first()[0] or 0
+    hot = seen.filter(F.col("_seen") * HOT >= F.lit(total))
+    dealt = listed.join(F.broadcast(hot), "bucket", "left").withColumn(
+        "_deal", F.when(F.col("_seen").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(1024))).otherwise(F.lit(0)))
+    met = dealt.withColumn("n", F.coalesce(F.col("_seen") * GLANCE, F.count(F.lit(1)).over(W.partitionBy("bucket", "_deal"))))
+    met = met.filter("n > 1").select("key", "slot", "bucket", "n")
     # a window over one text's parts in one band
     counted = met.withColumn("_found", F.count(F.lit(1)).over(W.partitionBy("key", "slot")))
     return counted.filter(F.col("_found") >= _need())
