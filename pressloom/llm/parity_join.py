@@ -260,7 +260,10 @@ def _linked(texts: DataFrame, k: int, percent: int) -> DataFrame:
     merged = components(links)
     # members of one bucket, its leader aside, that are in different components still
     label = F.coalesce("component", "key").alias("label")
-    labelled = spokes.filter("n > 2").select("bucket", F.col("a").alias("key")).join(
+    # (where all are linked with the leader, none is)
+    loose = spokes.filter("n > 2").join(links, ["a", "b"], "left_anti").select("bucket", "n").distinct()
+    loose = materialise(loose, "loose")
+    labelled = lookup_join(spokes.select("bucket", F.col("a").alias("key")), loose, "bucket", "n").select("bucket", "key").join(
         merged.withColumnRenamed("id", "key"), "key", "left").select("bucket", "key", label)
     split = labelled.groupBy("bucket").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count(F.lit(1)).alias("n"))
     split = materialise(split.filter("_a < _b").select("bucket", "n"), "split")
