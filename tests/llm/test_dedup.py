@@ -61,8 +61,9 @@ def shingles(text, k):
     return {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)} if len(ws) >= k else {tuple(ws)} if ws else set()
 
 
-@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
-def test_parity_join_equals_brute_force(make, k, percent):
+@pytest.mark.parametrize("k,percent,glance", [(3, 90, 64), (5, 80, 64), (5, 80, 1)])
+def test_parity_join_equals_brute_force(make, monkeypatch, k, percent, glance):
+    monkeypatch.setattr(parity_join, "GLANCE", glance)  # 1: every shared bucket counts as hot
     rng = random.Random(k)
     bases = [prose(rng, n) for n in (5, 12, 40, 120, 121, 400)]
     shared = prose(rng, 30)
