@@ -5,7 +5,7 @@ texts that share ``k + window - 1`` words in a row share a seed. A seed's first
 stands for all: every other occurrence is matched with it, so a passage found in a third of all documents makes one
 match each and no pairs. Matches of a document with one earlier document are merged along diagonals and chained:
 among matches in order in both texts, the chain with the best sum of matched words less a gap cost per word skipped,
-each step a prefix maximum in a Fenwick tree. A chain is then aligned: the words between its matches by longest
+each step at most ``max_gap`` words in either text: a range maximum in a tree that matches leave once they are too far behind. A chain is then aligned: the words between its matches by longest
 common subsequence, its ends by extension over small edits. What is at least ``min_words`` long and ``min_identity``
 alike is reported as a repeat of the earlier passage.
 
@@ -17,6 +17,7 @@ whole; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,25 +65,46 @@ def seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([T.StructField("seed", T.LongType()), docs.schema["key"], T.StructField("at", T.IntegerType())]))
 
 
-class Fenwick:
-    """Prefix maxima with the row that holds them."""
+class Maxima:
+    """Greatest value of any run of places, each place a heap whose rows may expire."""
 
     def __init__(self, size: int):
-        self.best = [(float("-inf"), -1)] * (size + 1)
-
-    def put(self, at: int, value: tuple[float, int]) -> None:
-        at += 1
-        while at < len(self.best):
-            if value > self.best[at]:
-                self.best[at] = value
-            at += at & -at
-
-    def top(self, end: int) -> tuple[float, int]:
-        """Best of places before ``end``."""
+        self.size, self.heaps = size, [[] for _ in range(size)]
+        self.best = [(float("-inf"), -1)] * (2 * size)
+
+    def _lift(self, at: int) -> None:
+        heap = self.heaps[at]
+        at += self.size
+        self.best[at] = (-heap[0][0], -heap[0][1]) if heap else (float("-inf"), -1)
+        while at > 1:
+            at //= 2
+            self.best[at] = max(self.best[2 * at], self.best[2 * at + 1])
+
+    def put(self, at: int, value: float, row: int) -> None:
+        heapq.heappush(self.heaps[at], (-value, -row))
+        if self.heaps[at][0] == (-value, -row):
+            self._lift(at)
+
+    def drop(self, at: int, gone: list[bool]) -> None:
+        """Rows marked as gone leave the place."""
+        heap = self.heaps[at]
+        if heap and gone[-heap[0][1]]:
+            while heap and gone[-heap[0][1]]:
+                heapq.heappop(heap)
+            self._lift(at)
+
+    def top(self, start: int, end: int) -> tuple[float, int]:
+        """Best of places from ``start`` to before ``end``."""
         found = (float("-inf"), -1)
-        while end:
-            found = max(found, self.best[end])
-            end -= end & -end
+        start, end = start + self.size, end + self.size
+        while start < end:
+            if start & 1:
+                found = max(found, self.best[start])
+                start += 1
+            if end & 1:
+                end -= 1
+                found = max(found, self.best[end])
+            start, end = start // 2, end // 2
         return found
 
 
@@ -101,19 +123,24 @@ def chains(parts: list[tuple[int, int, int]], gap_cost: float = GAP_COST, max_ga
     ends = sorted({s + n for _, s, n in parts})
     rank = {e: i for i, e in enumerate(ends)}
     starts = np.searchsorted(ends, [s for _, s, _ in parts], side="right").tolist()
-    tree, score, back = Fenwick(len(ends)), [0.0] * len(parts), [-1] * len(parts)
+    lows = np.searchsorted(ends, [s - max_gap for _, s, _ in parts], side="left").tolist()
+    tree, score, back = Maxima(len(ends)), [0.0] * len(parts), [-1] * len(parts)
     done = sorted(range(len(parts)), key=lambda i: parts[i][0] + parts[i][2])
-    entered = 0
-    for i, (a, s, n) in enumerate(parts):  # in order of their start; segments enter once they have ended
+    entered, expired, gone = 0, 0, [False] * len(parts)
+    for i, (a, s, n) in enumerate(parts):  # in order of their start; segments enter once they have ended and leave beyond the gap
         while entered < len(done) and parts[done[entered]][0] + parts[done[entered]][2] <= a:
             j = done[entered]
             b, t, m = parts[j]
-            tree.put(rank[t + m], (score[j] + gap_cost * (b + m + t + m), j))
+            tree.put(rank[t + m], score[j] + gap_cost * (b + m + t + m), j)
             entered += 1
-        best, j = tree.top(starts[i])
+        while expired < entered and parts[done[expired]][0] + parts[done[expired]][2] < a - max_gap:
+            j = done[expired]
+            gone[j] = True
+            tree.drop(rank[parts[j][1] + parts[j][2]], gone)
+            expired += 1
+        best, j = tree.top(lows[i], starts[i])
         gain = best - gap_cost * (a + s)
-        near = j >= 0 and max(a - parts[j][0] - parts[j][2], s - parts[j][1] - parts[j][2]) <= max_gap
-        score[i], back[i] = (n + gain, j) if near and gain > 0 else (float(n), -1)
+        score[i], back[i] = (n + gain, j) if j >= 0 and gain > 0 else (float(n), -1)
     used, out = [False] * len(parts), []
     for i in sorted(range(len(parts)), key=lambda i: -score[i]):
         chain = []

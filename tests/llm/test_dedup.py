@@ -127,3 +127,20 @@ def test_chain_is_the_best_of_all_chains():
         for c in every:
             every += [[*c, p] for p in parts if p[0] >= c[-1][0] + 5 and p[1] >= c[-1][1] + 5]
         assert gain(best) == pytest.approx(max(map(gain, every)))
+
+
+def test_chain_steps_are_bounded_inside_the_maximum():
+    parts = [(0, 0, 1000), (1300, 1300, 20), (1330, 1340, 20), (1360, 1380, 20), (1390, 1420, 20)]
+    assert passages.chains(parts, max_gap=40) == [parts[:1], parts[1:]]  # the long passage is too far away to step from
+    rng = random.Random(3)
+    near = lambda a, b: all(0 <= b[x] - a[x] - a[2] <= 40 for x in (0, 1))
+    step = lambda a, b: 0.1 * sum(b[x] - a[x] - a[2] for x in (0, 1))
+    for _ in range(100):
+        parts = [(0, 0, 200), *sorted({(rng.randint(200, 420), rng.randint(200, 420), rng.randint(5, 30)) for _ in range(25)})]
+        best = []
+        for i, p in enumerate(parts):
+            best.append(p[2] + max([0.0] + [best[j] - step(q, p) for j, q in enumerate(parts[:i]) if near(q, p)]))
+        got = passages.chains(parts, 0.1, 40)
+        assert all(near(a, b) for c in got for a, b in zip(c, c[1:]))
+        gain = lambda c: sum(p[2] for p in c) - sum(step(a, b) for a, b in zip(c, c[1:]))
+        assert max(map(gain, got)) == pytest.approx(max(best))
