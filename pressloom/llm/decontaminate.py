@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Words are compared without case and punctuation. A test item's seeds are its word n-grams. One pass over the
-corpus counts in how many documents each seed occurs; an item is then sought by its rarer seeds: those found in at
-most ``rare_share`` of all documents, and in any case the rarer half of its own (so an item that leaked into very
-many documents is still sought). A second pass joins the documents' n-grams to these seeds; where an item has
-enough seeds close together, the passage around them is aligned with the item word by word (match 2, mismatch and
-gap -1), and the alignment's score over the item's best possible score is the similarity. Edited, shortened or
-padded copies align; texts that share a few phrases do not.
+Words are compared without case and punctuation. A test item's seeds are its word n-grams, all of them however
+frequent, so an item is found in the same way whether it leaked once or into a third of the corpus. One pass joins
+the documents' n-grams to the seeds; where a document holds two seeds of an item (one, if the item has no more than
+two), the passage around them is aligned with the item word by word (match 2, mismatch and gap -1), and the
+alignment's score over the item's best possible score is the similarity. Before that, a passage is left out only if
+no stretch of it holds enough of the item's words for the least similarity, which loses nothing. Edited, shortened
+or padded copies align; texts that share a few phrases do not.
 
 Items go to the tasks in blocks of ``block_items``, the only thing that is broadcast; a larger test set takes more
 passes. Documents are never shuffled.
@@ -18,7 +18,7 @@ whole; empty tables give an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import words
 
 SEED_WORDS = 3
-RARE_SHARE = 0.001
 MIN_SIMILARITY = 0.5
 BLOCK_ITEMS = 20_000
 FILTER_BITS = 1 << 22
@@ -114,29 +113,16 @@ def _scan(docs: DataFrame, visit, schema: T.StructType) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _seed_counts(docs: DataFrame, seeds: np.ndarray, lengths: list[int], k: int) -> dict[int, int]:
-    """Documents that hold each seed; the result is as long as the block has seeds."""
-    table = Seeds(seeds)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(len(seeds), np.int64)
-        for batch in batches:
-            texts = words.texts_of(batch.column("text"))
-            for some in words.groups(texts):
-                hashes, bounds = words.word_hashes(texts[some], words.LETTERS)
-                for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                    held = [table.find(g)[1] for g in _grams(hashes[s:e], lengths, k)]
-                    if held and len(some_held := np.unique(np.concatenate(held))):
-                        count[some_held] += 1
-        rows = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(count[rows])], names=["row", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "row long, n long").groupBy("row").agg(F.sum("n").alias("n"))
-    return {r.row: r.n for r in counted.toLocalIterator()}
+def _may_reach(item: np.ndarray, passage: np.ndarray, least: float) -> bool:
+    """Whether an alignment may reach ``least``: it takes as many words of the item, in a stretch its gaps can pay for."""
+    wanted = math.ceil(least * len(item) - 1e-9)
+    held = np.concatenate(([0], np.cumsum(np.isin(passage, item))))
+    span = min(len(passage), math.ceil((3 - 2 * least) * len(item)))
+    return int((held[span:] - held[: len(held) - span]).max()) >= wanted
 
 
 def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", content: str = "text", item_key: str = "item_id",
-         item_content: str = "text", k: int = SEED_WORDS, rare_share: float = RARE_SHARE,
+         item_content: str = "text", k: int = SEED_WORDS,
          min_similarity: float = MIN_SIMILARITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row per document and item that leaked into it: key, item key, similarity, first_word, end_word."""
     texts = docs.select(F.col(key).alias("key"), F.col(content).alias("text"))
@@ -144,12 +130,11 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", content: str =
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("_item", T.LongType()),
                            T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()),
                            T.StructField("end_word", T.LongType())])
-    total = texts.count()
     out = None
     block: list = []
     rows = items.select(F.col(item_key).alias("k"), F.col(item_content).alias("t")).toLocalIterator()
     while block := [r for _, r in zip(range(block_items), rows)]:
-        found = _find_block(texts, [r.t for r in block], total, k, rare_share, min_similarity, schema)
+        found = _find_block(texts, [r.t for r in block], k, min_similarity, schema)
         names = docs.sparkSession.createDataFrame(
             [(i, r.k) for i, r in enumerate(block)], T.StructType([T.StructField("_item", T.LongType()), T.StructField(item_key, item_type)]))
         found = found.join(F.broadcast(names), "_item").select(  # at most block_items rows
@@ -161,44 +146,41 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", content: str =
     return out
 
 
-def _find_block(texts: DataFrame, contents: list[str | None], total: int, k: int, rare_share: float,
-                min_similarity: float, schema: T.StructType) -> DataFrame:
+def _find_block(texts: DataFrame, contents: list[str | None], k: int, min_similarity: float, schema: T.StructType) -> DataFrame:
     known = [words.word_hashes([(t or "").encode()], words.LETTERS)[0] for t in contents]
-    seeds_of = [_seeds_of(w, k) for w in known]
+    seeds_of = [np.unique(_seeds_of(w, k)) for w in known]
     lengths = sorted({min(k, len(w)) for w in known if len(w)})
     seeds = np.unique(np.concatenate([*seeds_of, np.zeros(0, np.uint64)]))
     if not len(seeds):
         return texts.sparkSession.createDataFrame([], schema)
-    count = _seed_counts(texts, seeds, lengths, k)
-    most = max(1, int(total * rare_share))
-    items_of: dict[int, list[int]] = defaultdict(list)
-    needed = []
-    for i, own in enumerate(seeds_of):
-        rows = np.unique(np.searchsorted(seeds, own)).tolist()
-        rows.sort(key=lambda r: (count.get(r, 0), r))
-        half = -(-len(rows) // 2)
-        sought = [r for j, r in enumerate(rows) if j < half or count.get(r, 0) <= most]
-        needed.append(min(2, len(sought)))
-        for r in sought:
-            items_of[r].append(i)
-    used = np.array(sorted(items_of), np.int64)
-    table, lists = Seeds(seeds[used]), [items_of[r] for r in used.tolist()]
+    needed = np.array([1 if len(own) <= 2 else 2 for own in seeds_of])
+    # items of seed s: item_of[from_[s] : from_[s + 1]]
+    row_of = np.searchsorted(seeds, np.concatenate(seeds_of))
+    item_of = np.repeat(np.arange(len(known)), [len(own) for own in seeds_of])[np.argsort(row_of, kind="stable")]
+    from_ = np.searchsorted(np.sort(row_of), np.arange(len(seeds) + 1))
+    table = Seeds(seeds)
 
     def visit(doc: np.ndarray):
-        at_of: dict[int, list[int]] = defaultdict(list)
-        for grams in _grams(doc, lengths, k):
-            for at, row in zip(*(x.tolist() for x in table.find(grams))):
-                for i in lists[row]:
-                    at_of[i].append(at)
-        for i, at in at_of.items():
-            if len(set(at)) < needed[i]:
+        hits = [table.find(g) for g in _grams(doc, lengths, k)]
+        at, row = (np.concatenate(x) for x in zip(*hits)) if hits else (np.zeros(0, np.int64),) * 2
+        if not len(at):
+            return
+        many = from_[row + 1] - from_[row]
+        first_of = np.repeat(from_[row] - np.cumsum(many) + many, many)
+        pairs = np.unique(np.stack((item_of[first_of + np.arange(len(first_of))], np.repeat(at, many)), 1), axis=0)
+        cuts = np.append(np.flatnonzero(np.diff(pairs[:, 0], prepend=-1)), len(pairs))
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            i = int(pairs[s, 0])
+            if e - s < needed[i]:
                 continue
             item, best = known[i], (0.0, 0, 0)
-            for first, last in _passages(np.unique(at), len(item)):
+            for first, last in _passages(pairs[s:e, 1], len(item)):
                 low = max(0, first - len(item))
                 passage = doc[low : last + len(item) + k]
-                score, s, e = align(item, passage)
-                best = max(best, (score / (2 * len(item)), -(low + s), low + e))
+                if not _may_reach(item, passage, min_similarity):
+                    continue
+                score, start, end = align(item, passage)
+                best = max(best, (score / (2 * len(item)), -(low + start), low + end))
             if best[0] >= min_similarity:
                 yield i, best[0], -best[1], best[2]
 

@@ -112,6 +112,27 @@ def test_decontamination(spark, make):
     assert decontaminate.find(make([]), bench).count() == 0 and decontaminate.find(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_edited_copies_beside_a_large_group(spark, make):
+    rng = random.Random(8)
+    vocab = [f"{a}{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuv"]
+    prose = lambda n: [rng.choice(vocab) for _ in range(n)]
+    item = prose(14)
+    edited = [[w + "x" if rng.random() < 0.2 else w for w in item] for _ in range(200)]
+    texts = [" ".join(prose(20) + item + prose(20)) for _ in range(150)]
+    texts += [" ".join(prose(20) + e + prose(20)) for e in edited] + [" ".join(prose(54)) for _ in range(100)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    code = lambda ws: words.word_hashes([" ".join(ws).encode()], words.LETTERS)[0]
+    grams = lambda ws: {tuple(ws[i : i + 3]) for i in range(len(ws) - 2)}
+    want = {i for i, t in enumerate(texts) if len(grams(item) & grams(t.split())) > 1
+            and decontaminate.align(code(item), code(t.split()))[0] >= len(item)}
+    assert len(want) > 300
+    assert {r.doc_id for r in decontaminate.find(make(texts), bench).collect()} == want  # as if the item were rare
+    for _ in range(300):  # what is left out before alignment could not have reached the least similarity
+        a, b = (np.array([rng.randint(0, 9) for _ in range(n)]) for n in (rng.randint(1, 12), rng.randint(1, 40)))
+        for least in (0.3, 0.5, 0.9):
+            assert decontaminate._may_reach(a, b, least) or decontaminate.align(a, b)[0] < 2 * least * len(a)
+
+
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
