@@ -5,7 +5,8 @@ first ``depth`` tokens, where a token with a digit counts as a variable. In a le
 if ``min_docs`` distinct lines' occurrences or more have it there, and a variable field otherwise; a line's template
 is its constants with <*> for the rest, and it is a template at all only if constants fill ``min_constant`` of it.
 A template found in ``min_docs`` documents or more recurs: its first line (least key, then least line number)
-stays, and every other line of it is dropped. Shorter lines are left alone.
+stays, and every other line of it is dropped. Shorter lines are left alone. With ``min_tokens`` 1 none is shorter:
+lines of at most ``depth`` tokens share a leaf only if they are equal but for tokens with digits.
 
 Only lines of leaves that reach ``min_docs`` are read further; equal lines of a leaf are one row with a count before
 tokens are compared. All joins split hot keys off by their counts, so a line found in a third of all documents

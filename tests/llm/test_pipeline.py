@@ -30,3 +30,12 @@ def test_stages(spark):
 def test_registered():
     names = contract.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_line_dedup_counts_short_lines(spark, make):
+    texts = [" ".join("abcdefghijkl"[i] * n for n in (3, 4, 5, 6)) + f"\nLes.\nAll rights reserved.\nPage {i}\n{1900 + i}"
+             for i in range(12)] + ["Les.", "Rare line\n", "\n\n"]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, make(texts), SF).collect()}
+    assert got[0] == texts[0] and 12 not in got  # the first of each stays; all that document 12 says stands there
+    assert all(got[i] == "\n".join(texts[i].split("\n")[::4]) for i in range(1, 12))  # bare numbers of their own stay
+    assert got[13] == texts[13] and got[14] == texts[14]
