@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all that the stage before it ke
 ``documents``; the last returns packed pieces.
 
 1. quality: documents that the line-level quality classifier rejects go.
-2. line_dedup: lines of recurring templates go, short lines too, but for their first occurrence; documents left without
-   text go too.
+2. line_dedup: lines of recurring templates go, short lines too, but for the first of each wording (digits apart);
+   documents left without text go too.
 3. near_dup: of documents linked by 80 % of their five-word shingles the one of least doc_id stays.
 4. decontaminate: documents that hold a passage of a benchmark item go.
 5. packing: what is left becomes sequences of at most 4096 tokens.
@@ -29,7 +29,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = line_templates.clean(docs, counts=False, drop_emptied=True, min_tokens=1)
+    cleaned = line_templates.clean(docs, counts=False, drop_emptied=True, min_tokens=1, each_text=True)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -6,7 +6,9 @@ if ``min_docs`` distinct lines' occurrences or more have it there, and a variabl
 is its constants with <*> for the rest, and it is a template at all only if constants fill ``min_constant`` of it.
 A template found in ``min_docs`` documents or more recurs: its first line (least key, then least line number)
 stays, and every other line of it is dropped. Shorter lines are left alone. With ``min_tokens`` 1 none is shorter:
-lines of at most ``depth`` tokens share a leaf only if they are equal but for tokens with digits.
+lines of at most ``depth`` tokens share a leaf only if they are equal but for tokens with digits. With ``each_text``
+the first line of every wording of the template stays, wordings being equal if they differ in digits only: a line
+whose fields hold words found nowhere else is then never dropped.
 
 Only lines of leaves that reach ``min_docs`` are read further; equal lines of a leaf are one row with a count before
 tokens are compared. All joins split hot keys off by their counts, so a line found in a third of all documents
@@ -43,8 +45,9 @@ def _lines(docs: DataFrame, key: str, content: str, min_tokens: int, depth: int)
 
 
 def templates(docs: DataFrame, key: str = "doc_id", content: str = "text", min_docs: int = MIN_DOCS,
-              min_tokens: int = MIN_TOKENS, depth: int = DEPTH, min_constant: float = MIN_CONSTANT) -> DataFrame:
-    """Every line that follows a recurring template: _key, _text (hash of the document), _at, _template, _first."""
+              min_tokens: int = MIN_TOKENS, depth: int = DEPTH, min_constant: float = MIN_CONSTANT, each_text: bool = False) -> DataFrame:
+    """Every line that follows a recurring template: _key, _text (hash of the document), _at, _template, _first. With
+    ``each_text`` lines that are alone in their wording are left out, and _template is the wording's."""
     lines = _lines(docs, key, content, min_tokens, depth)
     leaves = materialise(lines.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_docs), "leaves")
     held = lookup_join(lines, leaves, "_leaf", "_n").drop("_n").withColumn("_same", F.xxhash64("_leaf", "_tokens"))
@@ -52,16 +55,17 @@ def templates(docs: DataFrame, key: str = "doc_id", content: str = "text", min_d
     # distinct lines of a leaf, each with the number of its rows
     whole = materialise(held.groupBy("_same").agg(
         F.first("_leaf").alias("_leaf"), F.first("_tokens").alias("_tokens"), F.count(F.lit(1)).alias("_n")), "distinct-lines")
-    words = whole.select("_same", "_leaf", "_n", F.size("_tokens").alias("_size"), F.posexplode("_tokens").alias("_place", "_token"))
+    wording = F.xxhash64(F.transform("_tokens", lambda t: F.regexp_replace(t, "[0-9]+", "0")))
+    words = whole.select("_same", "_leaf", "_n", wording.alias("_wording"), F.size("_tokens").alias("_size"), F.posexplode("_tokens").alias("_place", "_token"))
     words = words.withColumn("_spot", F.xxhash64("_leaf", "_place", "_token"))
     constant = words.groupBy("_spot").agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_rows")).filter(
         F.col("_all") >= min_docs).select("_spot", "_rows")
     kept = lookup_join(words, materialise(constant, "constants"), "_spot", "_rows")
     shape = kept.groupBy("_same").agg(
         F.first("_leaf").alias("_leaf"), F.first("_size").alias("_size"), F.first("_n").alias("_n"),
-        F.array_sort(F.collect_list(F.struct("_place", "_token"))).alias("_fixed"))
+        F.first("_wording").alias("_wording"), F.array_sort(F.collect_list(F.struct("_place", "_token"))).alias("_fixed"))
     shape = materialise(shape.filter(F.size("_fixed") >= min_constant * F.col("_size")).select(
-        "_same", "_n", F.xxhash64("_leaf", "_fixed").alias("_template")), "shapes")
+        "_same", "_n", F.xxhash64("_leaf", "_fixed").alias("_template"), *(["_wording"] if each_text else [])), "shapes")
     marked = materialise(lookup_join(held.select("_key", "_text", "_at", "_same"), shape, "_same", "_n").drop("_n", "_same"), "marked")
     # documents per template; a document's own repeats count once
     per_doc = marked.groupBy("_template", "_key", "_text").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_at"))
@@ -69,7 +73,15 @@ def templates(docs: DataFrame, key: str = "doc_id", content: str = "text", min_d
         F.count(F.lit(1)).alias("_docs"), F.sum("_rows").alias("_rows"),
         F.min(F.struct(F.col("_key").isNull().alias("_none"), "_key", "_text", "_at")).alias("_head"),
     ).filter(F.col("_docs") >= min_docs).drop("_docs")
-    found = lookup_join(marked, materialise(recurring, "recurring"), "_template", "_rows")
+    recurring = materialise(recurring, "recurring")
+    if each_text:
+        marked = lookup_join(marked, recurring.drop("_head"), "_template", "_rows").drop("_rows")
+        marked = marked.withColumn("_template", F.xxhash64("_template", "_wording")).drop("_wording")
+        recurring = materialise(marked.groupBy("_template").agg(
+            F.count(F.lit(1)).alias("_rows"),
+            F.min(F.struct(F.col("_key").isNull().alias("_none"), "_key", "_text", "_at")).alias("_head"),
+        ).filter("_rows > 1"), "wordings")
+    found = lookup_join(marked, recurring, "_template", "_rows")
     first = (F.col("_key").eqNullSafe(F.col("_head._key")) & (F.col("_text") == F.col("_head._text"))
              & (F.col("_at") == F.col("_head._at")))
     return found.withColumn("_first", first).drop("_head", "_rows")

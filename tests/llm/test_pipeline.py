@@ -39,3 +39,11 @@ def test_line_dedup_counts_short_lines(spark, make):
     assert got[0] == texts[0] and 12 not in got  # the first of each stays; all that document 12 says stands there
     assert all(got[i] == "\n".join(texts[i].split("\n")[::4]) for i in range(1, 12))  # bare numbers of their own stay
     assert got[13] == texts[13] and got[14] == texts[14]
+
+
+def test_line_dedup_keeps_what_stands_nowhere_else(spark, make):
+    own = ["alpha", "beta", "gamma", "delta", "kappa", "sigma", "omega", "theta", "iota"]
+    texts = [f"Was erlytion that. {w}" for w in own] + ["Was erlytion that. beta", f"{'x ' * 9}\nWas erlytion that. beta"]
+    texts += [f"Page {i} of {i * 7} by printed office" for i in range(9)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, make(texts), SF).collect()}
+    assert {i: texts[i] for i in range(9)} | {10: "x " * 9, 11: texts[11]} == got
