@@ -3,7 +3,10 @@
 Every text is sampled by minimizers: of any ``window`` word k-mers in a row the one of least hash is a seed, so two
 texts that share ``k + window - 1`` words in a row share a seed. A seed's first occurrence (least key, then place)
 stands for all: every other occurrence is matched with it, so a passage found in a third of all documents makes one
-match each and no pairs. Matches of a document with one earlier document are merged along diagonals and chained:
+match each and no pairs. A passage whose parts occur first in several places would be cut by that into pieces, so any
+two repeated seeds ``min_span`` to ``min_words`` words apart that do not occur first near each other in one text are
+a seed of their own, matched with the first text that holds both. What can still be missed is a passage of which every
+such two were held together before, by texts that do not share enough of it. Matches of a document with one earlier document are merged along diagonals and chained:
 among matches in order in both texts, the chain with the best sum of matched words less a gap cost per word skipped,
 each step at most ``max_gap`` words in either text: a range maximum in a tree that matches leave once they are too far behind. A chain is then aligned: the words between its matches by longest
 common subsequence, its ends by extension over small edits. What is at least ``min_words`` long and ``min_identity``
@@ -65,6 +68,41 @@ def seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([T.StructField("seed", T.LongType()), docs.schema["key"], T.StructField("at", T.IntegerType())]))
 
 
+def seams(met: DataFrame, least: int, most: int) -> DataFrame:
+    """(seed of two, key, at, end) of every two repeated seeds of a text ``least`` to ``most`` words apart whose first
+    occurrences are not near each other in one text, which is the same for all texts that hold the two."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_m")
+            bounds, flat = lists.offsets.to_numpy(), lists.values
+            at, seed, source_at = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("at", "seed", "source_at"))
+            source = flat.field("source").dictionary_encode().indices.to_numpy()
+            text = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            at, seed, source_at, source = (x[bounds[0] : bounds[-1]].astype(np.int64) for x in (at, seed, source_at, source))
+            order = np.lexsort((at, text))
+            at, seed, source_at, source, text = (x[order] for x in (at, seed, source_at, source, text))
+            rows, both, start, end = [], [], [], []
+            for step in range(1, len(at)):
+                i, j = np.arange(len(at) - step), np.arange(step, len(at))
+                near = (text[i] == text[j]) & (at[j] - at[i] <= most)
+                if not near.any():
+                    break
+                apart = source_at[j] - source_at[i]
+                found = np.flatnonzero(near & (at[j] - at[i] >= least) & ((source[i] != source[j]) | (apart <= 0) | (apart > most + MAX_GAP)))
+                rows.append(text[found])
+                both.append(words.ngrams(np.stack((seed[found], seed[found + step]), 1).reshape(-1).view(np.uint64), 2)[::2])
+                start.append(at[found])
+                end.append(at[found + step])
+            whole = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, both, start, end)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(whole[1].view(np.int64)), batch.column("key").take(pa.array(whole[0].astype(np.int64))),
+                 pa.array(whole[2].astype(np.int32)), pa.array(whole[3].astype(np.int32))], names=["seed", "key", "at", "end"])
+
+    lists = met.groupBy("key").agg(F.collect_list(F.struct("at", "seed", "source", "source_at")).alias("_m"))
+    return lists.mapInArrow(run, T.StructType([T.StructField("seed", T.LongType()), met.schema["key"], T.StructField("at", T.IntegerType()),
+                                               T.StructField("end", T.IntegerType())]))
+
+
 class Maxima:
     """Greatest value of any run of places, each place a heap whose rows may expire."""
 
@@ -218,9 +256,17 @@ def find(docs: DataFrame, key: str = "doc_id", content: str = "text", k: int = K
     all_seeds = seeds(texts, k, window)
     first = all_seeds.groupBy("seed").agg(F.min(F.struct("key", "at")).alias("_first"), F.count(F.lit(1)).alias("_n"))
     first = materialise(first.filter("_n > 1").select("seed", F.col("_first.key").alias("source"), F.col("_first.at").alias("source_at"), "_n"), "firsts")
-    met = lookup_join(all_seeds, first, "seed", "_n").filter(F.col("key") != F.col("source"))
-    pairs = met.groupBy("key", "source").agg(
-        F.collect_list(F.struct("at", "source_at")).alias("_m"), F.min("at").alias("_low"), F.max("at").alias("_high"))
+    met = materialise(lookup_join(all_seeds, first, "seed", "_n").drop("_n"), "met")
+    # where seeds near each other point to several places, the two together are matched with their own first holder
+    far = materialise(seams(met, min_span - k, min_words), "seams")
+    holder = far.groupBy("seed").agg(F.min(F.struct("key", "at", "end")).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    holder = materialise(holder.filter("_n > 1").select("seed", F.col("_first.key").alias("source"), F.col("_first.at").alias("source_at"),
+                                                        F.col("_first.end").alias("source_end"), "_n"), "seam-firsts")
+    ends = F.inline(F.array(F.struct("at", "source_at"), F.struct(F.col("end").alias("at"), F.col("source_end").alias("source_at"))))
+    both_ends = lookup_join(far, holder, "seed", "_n").select("key", "source", ends)
+    matches = met.select("key", "source", "at", "source_at").unionByName(both_ends).filter(F.col("key") != F.col("source"))
+    pairs = matches.groupBy("key", "source").agg(
+        F.collect_set(F.struct("at", "source_at")).alias("_m"), F.min("at").alias("_low"), F.max("at").alias("_high"))
     pairs = pairs.filter((F.size("_m") > 1) & (F.col("_high") - F.col("_low") + k >= min_span))
     pairs = materialise(pairs.select("key", "source", F.col("_m.at").alias("at"), F.col("_m.source_at").alias("source_at")), "pairs")
     needed = materialise(pairs.select(F.explode(F.array("key", "source")).alias("key")).distinct(), "needed")

@@ -144,3 +144,15 @@ def test_chain_steps_are_bounded_inside_the_maximum():
         assert all(near(a, b) for c in got for a, b in zip(c, c[1:]))
         gain = lambda c: sum(p[2] for p in c) - sum(step(a, b) for a, b in zip(c, c[1:]))
         assert max(map(gain, got)) == pytest.approx(max(best))
+
+
+def test_passages_whose_parts_occur_first_elsewhere(make):
+    rng = random.Random(6)
+    run = prose(rng, 60)
+    around = lambda ws: " ".join(prose(rng, 40) + ws + prose(rng, 40))
+    for firsts in ([around(run[:30]), around(run[30:])], [around(run[30:] + prose(rng, 300) + run[:30])]):
+        n = len(firsts)
+        found = passages.find(make([*firsts, around(run), around(run), around(run).upper()])).collect()
+        spans = {(r.doc_id, r.source_id): (r.start_word, r.end_word) for r in found if r.source_id == n}
+        assert set(spans) == {(n + 1, n), (n + 2, n)}
+        assert all(s <= 42 and e >= 98 for s, e in spans.values())
