@@ -31,7 +31,7 @@ from ..operators.scale import lookup_join, salted_join
 from ..session import materialise
 from . import words
 
-K, WINDOW = 5, 12
+K, WINDOW = 4, 6
 MIN_WORDS, MIN_IDENTITY = 50, 0.6
 MIN_SPAN = 20
 MAX_GAP = 40

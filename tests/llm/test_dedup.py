@@ -156,3 +156,12 @@ def test_passages_whose_parts_occur_first_elsewhere(make):
         spans = {(r.doc_id, r.source_id): (r.start_word, r.end_word) for r in found if r.source_id == n}
         assert set(spans) == {(n + 1, n), (n + 2, n)}
         assert all(s <= 42 and e >= 98 for s, e in spans.values())
+
+
+def test_edited_passages_share_enough_seeds(make):
+    rng = random.Random(9)
+    runs = [prose(rng, 100) for _ in range(80)]
+    texts = [" ".join(prose(rng, 40) + r + prose(rng, 40)) for r in runs]
+    texts += [" ".join(prose(rng, 20) + edited(rng, r, 0.15) + prose(rng, 50)) for r in runs]
+    found = {(r.doc_id, r.source_id) for r in passages.find(make(texts)).collect()}
+    assert sum((80 + i, i) in found for i in range(80)) >= 76  # each is a repeat of 85 % identity
