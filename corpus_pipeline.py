@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pressloom.llm import decontaminate, line_templates, packing, parity_join, quality
 from pressloom.session import materialise
 
-#: SQL can state neither the trained classifier nor the tokenizer; tests/llm/test_pipeline.py holds the stages against plain versions.
+#: SQL can state neither the trained classifier nor the tokenizer. tests/llm/test_pipeline.py checks the quality stage by its labels and
+#: the order and columns of the stages, but holds line_dedup, near_dup and decontaminate against no plain version on the tables.
 ORACLE_SQL = None
 
 
