@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cuckoo, decontaminate, html_text, language, line_templates, packing, parity_join, passages, quality, token_counts
+from . import (codes, cuckoo, decontaminate, html_text, language, licenses, line_templates, packing, parity_join, passages, quality,
+               token_counts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +120,35 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return token_counts.count(docs, derived_edits(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op11_licenses")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def codes_sql(rounds: int = codes.ROUNDS, entries: int = codes.ENTRIES, parts: int = codes.PARTS) -> str:
+    """The rounds spelled out; distances by inner products of whole numbers, which doubles hold exactly."""
+    steps = [f"""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({codes.SCALE} * x::DOUBLE)) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, v[len(v) // {parts} * part + 1 : len(v) // {parts} * (part + 1)] AS v FROM k, range({parts}) r(part)),
+c0 AS MATERIALIZED (SELECT part, rn - 1 AS entry, v FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY vec_id) AS rn FROM p) WHERE rn <= {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, part, min({{'d': d, 'e': entry}}) AS m, any_value(v) AS v FROM (
+ SELECT p.vec_id, p.part, p.v, entry, (list_inner_product(p.v, p.v) + list_inner_product(c.v, c.v) - 2 * list_inner_product(p.v, c.v))::BIGINT AS d
+ FROM p JOIN c{r} c ON p.part = c.part) GROUP BY vec_id, part)""")
+        if r < rounds:
+            steps.append(f"""n{r} AS (SELECT part, entry, list(x ORDER BY place) AS v FROM (SELECT part, m.e AS entry, place, floor(sum(x)::BIGINT / count(*)) AS x
+ FROM (SELECT part, m, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM a{r}) GROUP BY ALL) GROUP BY part, entry),
+c{r + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(n.v, c.v) AS v FROM c{r} c LEFT JOIN n{r} n ON c.part = n.part AND c.entry = n.entry)""")
+    last = f"""h AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, entry, place)) AS codebooks_sha256
+ FROM (SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM c{rounds})),
+g AS (SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM g JOIN k USING (vec_id), h"""
+    return ",\n".join([*steps, last])
+
+
+@query("op12_vector_codes", codes_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(books.sha256).alias("codebooks_sha256"))
