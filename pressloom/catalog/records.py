@@ -9,7 +9,7 @@ from ..operators import clean
 from ..schema import EXPORT_COLUMNS, PROPERTY_NAMES
 from ..session import shared_path
 from ..sources import records, tables
-from ..streaming import incremental
+from ..streaming import commits, incremental
 from .base import ARTICLES, TITLED, articles, documents, query, table, titled
 
 # Article columns of a derived record; a record without text for every 29th article.
@@ -157,7 +157,7 @@ def incremental_stream(spark, sf):
         incremental.run_stream(
             source, lambda batch: batch.select("doc_id", text.count_words(F.col("text")).alias("words")),
             f"{root}/data", f"{root}/progress", "words", f"{root}/checkpoint", "doc_id")
-    return spark.read.parquet(f"{root}/data").select("doc_id", "words")
+    return commits.read_rows(spark, f"{root}/data", f"{root}/progress", "words", "doc_id bigint, words int").select("doc_id", "words")
 
 
 _RUN = """SELECT concat(doc_id, '.xml') AS name, lang AS corpus, CASE WHEN contains(text, '@') THEN 'address found' END AS error FROM documents"""
@@ -177,6 +177,30 @@ def resumable_run(spark, sf):
     return incremental.read_progress(spark, f"{root}/progress", "check").groupBy("corpus", "status").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("replayed_run", f"""SELECT corpus, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, count(*) AS logged,
+ count(*) AS written FROM ({_RUN}) GROUP BY 1, 2""")
+def replayed_run(spark, sf):
+    """A run of half the corpora; then one that fails between its data and its log; then the same again, whole.
+
+    Rows as logged and as written, per corpus and status: both equal those of a single run.
+    """
+    root = shared_path(spark, "run")
+    data, log, step = f"{root}/data", f"{root}/progress", "check"
+
+    def check(df):
+        return df.withColumn("error", F.when(F.contains("text", F.lit("@")), "address found")).drop("text")
+
+    rows = documents(spark, sf).select(F.concat(F.col("doc_id").cast("string"), F.lit(".xml")).alias("name"), F.col("lang").alias("corpus"), "text")
+    incremental.run_steps(rows.filter(F.col("corpus").isin("en", "fr")), [(check, {})], data, log, step)
+    todo = incremental.still_pending(rows, incremental.read_progress(spark, log, step))
+    commits.write_data(check(todo), data, step, commits.run_id(todo, log, step))  # and no more
+    incremental.run_steps(rows, [(check, {})], data, log, step)
+    written = commits.read_rows(spark, data, log, step, "corpus string, name string", status=None)
+    by = ["corpus", "status"]
+    return incremental.read_progress(spark, log, step).groupBy(*by).agg(F.count(F.lit(1)).alias("logged")).join(
+        written.groupBy(*by).agg(F.count(F.lit(1)).alias("written")), by, "full")
+
+
 @query("run_failures", f"SELECT corpus, name, error FROM ({_RUN}) WHERE error IS NOT NULL")
 def run_failures(spark, sf):
     root = shared_path(spark, "run")

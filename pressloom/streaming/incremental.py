@@ -3,35 +3,25 @@
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.clean import pending
 from ..sources.tables import _exists
-
-PROGRESS = "step string, corpus string, name string, status string, error string"
+from . import commits
 
 Transform = Callable[[DataFrame], DataFrame]
 
-
-def read_progress(spark: SparkSession, path: str, step: str | None = None) -> DataFrame:
-    """(step, corpus, name, status, error); empty before the first run."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], PROGRESS)
-    log = spark.read.schema(PROGRESS).parquet(path)
-    return log if step is None else log.filter(F.col("step") == step)
+read_progress = commits.read_log
 
 
 def append_progress(rows: DataFrame, path: str, step: str) -> None:
-    """Log (corpus, name[, error]) rows; call it after the data is committed."""
-    error = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")
-    (
-        rows.select(F.lit(step).alias("step"), "corpus", "name",
-                    F.when(error.isNull(), "ok").otherwise("error").alias("status"), error.alias("error"))
-        .write.mode("append").partitionBy("step", "corpus").parquet(path)
-    )
+    """Log (corpus, name[, error]) rows as a run of their own; call it after the data is committed."""
+    run = commits.run_id(rows, path, step)
+    if run is not None:
+        commits.write_log(commits.with_status(rows), path, step, run)
+        commits.mark(rows.sparkSession, path, step, run)
 
 
 def still_pending(wanted: DataFrame, progress: DataFrame, retry_errors: bool = False) -> DataFrame:
@@ -45,43 +35,33 @@ def still_pending(wanted: DataFrame, progress: DataFrame, retry_errors: bool = F
 
 def run_steps(rows: DataFrame, steps: Sequence[tuple[Callable[..., DataFrame], dict]], sink: str, progress: str,
               step: str, retry_errors: bool = False) -> tuple[dict, DataFrame]:
-    """Run a chain of (function, options) over pending rows and commit data, then progress.
+    """Run a chain of (function, options) over pending rows as one run that is committed wholly or not at all.
 
     Rows with a non-null ``error`` column are quarantined instead of written. Returns the run's counts
-    with its rate, and its failures. All corpora run in one plan.
+    with its rate, and its failures. All corpora run in one plan; nothing is written when nothing is pending.
     """
     spark, start = rows.sparkSession, time.monotonic()
     todo = still_pending(rows, read_progress(spark, progress, step), retry_errors)
+    run = commits.run_id(todo, progress, step)
     out = todo
     for function, options in steps:
         out = out.transform(function, **options)
-    if "error" not in out.columns:
-        out = out.withColumn("error", F.lit(None).cast("string"))
-    status = F.when(F.col("error").isNotNull(), "error").otherwise("ok")
-    # one write computes the chain once, into a folder of its own; the rest reads it back
-    folder = f"{sink}/run={uuid.uuid4().hex}"
-    out = out.withColumn("status", status)
-    out.write.partitionBy("status").parquet(folder)
-    written = spark.read.schema(out.schema).parquet(folder)
-    append_progress(written.select("corpus", "name", "error"), progress, step)
-    counts = written.agg(F.count_if(F.col("status") == "ok").alias("processed"),
-                         F.count_if(F.col("status") == "error").alias("errors")).first()
+    if run is None:
+        counts, failures = {"processed": 0, "errors": 0}, spark.createDataFrame([], "corpus string, name string, error string")
+    else:
+        counts = commits.commit(out, sink, progress, step, run)
+        failures = read_progress(spark, progress, step).filter((F.col("run") == run) & (F.col("status") == "error"))
     seconds = time.monotonic() - start
-    rate = round((counts.processed + counts.errors) / seconds, 2)
-    return {**counts.asDict(), "seconds": round(seconds, 1), "rate": rate}, written.filter(F.col("status") == "error").select("corpus", "name", "error")
+    rate = round((counts["processed"] + counts["errors"]) / seconds, 2)
+    return {**counts, "seconds": round(seconds, 1), "rate": rate}, failures.select("corpus", "name", "error")
 
 
 def run_stream(source: DataFrame, transform: Transform, sink: str, progress: str, step: str, checkpoint: str,
                key: str = "name") -> None:
-    """Process every file not seen before and stop. A replayed batch overwrites its own folder, so a
+    """Process every file not seen before and stop. A replayed batch writes over its own run, so a
     failure between data and log repeats nothing."""
     def commit(batch: DataFrame, batch_id: int) -> None:
-        done = f"batch_id={batch_id}"
-        out = transform(batch)
-        out.write.mode("overwrite").parquet(f"{sink}/{done}")
-        written = batch.sparkSession.read.schema(out.schema).parquet(f"{sink}/{done}")
-        written.select(F.lit(step).alias("step"), F.col(key).cast("string").alias("name")) \
-            .write.mode("overwrite").parquet(f"{progress}/{done}")
+        commits.commit(transform(batch), sink, progress, step, f"batch-{batch_id:012d}", key)
 
     query = (
         source.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
