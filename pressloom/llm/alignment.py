@@ -25,7 +25,7 @@ result; extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,10 @@ from .words import texts_of
 SHARD = 1 << 15
 ARITY = 16
 BROADCAST_BYTES = 64 << 20
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 96 << 20
+JOINED = 1 << 17  # bytes of pieces encoded in one call
+# Fixed value: where a byte-level BPE parts a text before it merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FLUSH_PAIRS = 1 << 20
 MARK = "▁"
 LETTER = np.zeros(256, bool)
@@ -57,17 +60,20 @@ class Pair:
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        self.a, vocabulary = _byte_level(a_path)
         letters = byte_letters()
-        self.a_bytes = {i: bytes(letters[c] for c in piece) if all(c in letters for c in piece) else piece.encode()
-                        for piece, i in self.a.get_vocab(with_added_tokens=False).items()}
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for piece, i in vocabulary.items():
+            self.a_bytes[i] = bytes(letters[c] for c in piece)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.cuts = not any(MARK in p.lstrip(MARK) for p in pieces)
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
+        # each id as printed within and at the end of its side of a group
+        self.printed = [str(i).encode() + end for ids, ends in ((len(self.a_bytes), b",|"), (len(self.b_bytes), b",;"))
+                        for end in (ends[:1], ends[1:]) for i in range(ids)]
 
     def pieces(self, data: bytes) -> list[bytes]:
         """A text with its leading space, cut where both tokenizers start anew."""
@@ -77,41 +83,72 @@ class Pair:
         starts = (np.flatnonzero((a[1:-1] == 32) & LETTER[a[2:]] & (a[:-2] != 32)) + 1).tolist()
         return [data[s:e] for s, e in zip([0, *starts], [*starts, len(data)])]
 
-    def encode(self, pieces: Sequence[bytes]) -> Iterator[tuple[list[int], list[int]]]:
-        texts = [p.decode() for p in pieces]
-        for text, b in zip(texts, self.b.encode([t[1:] for t in texts], num_threads=1)):
-            yield self.a.encode(text, add_special_tokens=False).ids, b
-
-    def align(self, piece: bytes, a: list[int], b: list[int]) -> tuple[int, bytes, list[int]] | None:
-        """(groups, their printed form, linked pairs) of a piece's ids; None where the bytes differ."""
-        a_parts, b_parts = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != piece or b"".join(b_parts) != piece:
+    def joins(self, piece: bytes) -> bool:
+        """Whether a piece may stand among others and is still cut out of them."""
+        return self.cuts and len(piece) > 1 and bool(LETTER[piece[1]]) and piece[-1] != 32 and MARK.encode() not in piece
+
+    def align(self, pieces: list[bytes], printing: bool = True) -> tuple[np.ndarray, np.ndarray, list[bytes]] | None:
+        """Of pieces one after the other: (tokens of A, of B, groups and links of each; all links; each one's printed groups,
+        which are left out without ``printing``).
+
+        None if the tokens do not spell the pieces. Between two neighbouring token ends, of A or B, lies exactly one
+        link: no two tokens overlap in two places.
+        """
+        data = b"".join(pieces)
+        text = data.decode()
+        a, b = np.array(self.a(text), np.int64), np.array(self.b.encode(text[1:]), np.int64)
+        if b"".join([self.a_bytes[i] for i in a.tolist()]) != data or b"".join([self.b_bytes[i] for i in b.tolist()]) != data:
             return None
-        links, groups = [], []
-        i = j = i0 = j0 = 0
-        a_end, b_end = len(a_parts[0]), len(b_parts[0])
-        while True:
-            links.append(b[j] << 32 | a[i])
-            if a_end == b_end:
-                groups.append(",".join(map(str, a[i0 : i + 1])) + "|" + ",".join(map(str, b[j0 : j + 1])))
-                i0, j0 = i, j = i + 1, j + 1
-                if i == len(a):
-                    return len(groups), ";".join(groups).encode(), links
-                a_end += len(a_parts[i])
-                b_end += len(b_parts[j])
-            elif a_end < b_end:
-                i += 1
-                a_end += len(a_parts[i])
-            else:
-                j += 1
-                b_end += len(b_parts[j])
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        borders = np.cumsum([len(p) for p in pieces])
+        ends = np.sort(np.concatenate((a_ends, b_ends)), kind="stable")
+        again = np.append(False, ends[1:] == ends[:-1])
+        every, both = ends[~again], ends[again]
+        sizes = np.stack([np.diff(np.searchsorted(x, borders, "right"), prepend=0) for x in (a_ends, b_ends, both, every)], 1)
+        links = b[np.searchsorted(b_ends, every)].astype(np.uint64) << np.uint64(32) | a[np.searchsorted(a_ends, every)].astype(np.uint64)
+        if not printing:
+            return sizes, links, []
+        # both sides' ids in order of group and side
+        groups = np.concatenate([2 * np.searchsorted(both, a_ends), 2 * np.searchsorted(both, b_ends) + 1])
+        order = np.argsort(groups, kind="stable")
+        groups = groups[order]
+        last = np.append(groups[1:] != groups[:-1], True)
+        side = np.concatenate([a, b + 2 * len(self.a_bytes)])[order]
+        printed = [self.printed[i] for i in (side + last * np.where(groups & 1, len(self.b_bytes), len(self.a_bytes))).tolist()]
+        ends = np.cumsum(sizes[:, 0] + sizes[:, 1]).tolist()
+        return sizes, links, [b"".join(printed[s:e])[:-1] for s, e in zip([0, *ends], ends)]
+
+
+def _byte_level(path: str) -> tuple[Callable[[str], list[int]], dict[str, int]]:
+    """(encoder, vocabulary without added tokens) of a byte-level BPE.
+
+    Where ids follow the order of the merges, ranks alone give the same tokens, and a faster encoder takes them.
+    """
+    import json
+
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    vocabulary = whole.get_vocab(with_added_tokens=False)
+    stored = json.loads(whole.to_str())
+    before = stored["pre_tokenizer"] or {}
+    merged = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in stored["model"]["merges"]]
+    plain = stored["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+    if not (plain and merged == sorted(merged)):
+        return lambda text: whole.encode(text, add_special_tokens=False).ids, vocabulary
+    import tiktoken
+
+    letters = byte_letters()
+    ranks = {bytes(letters[c] for c in piece): i for piece, i in vocabulary.items()}
+    return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, vocabulary
 
 
 class Lexicon:
     """Aligned pieces by number: sizes, links in one array, printed groups. Forgotten when it outgrows its bytes."""
 
-    def __init__(self, pair: Pair):
-        self.pair = pair
+    def __init__(self, pair: Pair, printing: bool = True):
+        self.pair, self.printing = pair, printing
         self.clear()
 
     def clear(self) -> None:
@@ -125,37 +162,45 @@ class Lexicon:
     def full(self) -> bool:
         return self.held > CACHE_BYTES
 
+    def _learn(self, inner: list[bytes], outer: list[bytes]) -> None:
+        """Align new pieces, all that join together; pieces from inside a text always do."""
+        alone = [p for p in outer if not self.pair.joins(p)]
+        lists = [[p] for p in alone] + list(_groups(inner + [p for p in outer if self.pair.joins(p)], JOINED))
+        sizes, links = [self.sizes], [self.links]
+        while lists:
+            some = lists.pop()
+            aligned = self.pair.align(some, self.printing)
+            if aligned is None and len(some) > 1:
+                lists += [[p] for p in some]
+                continue
+            size, link, printed = aligned or (np.array([[0, 0, 0, -1]]), np.zeros(0, np.uint64), [b""])
+            self.rows.update(zip(some, range(len(self.rows), len(self.rows) + len(some))))
+            self.printed += printed
+            sizes.append(size)
+            links.append(link)
+            self.held += 150 * len(some) + sum(map(len, some)) + sum(map(len, printed)) + 8 * len(link)
+        self.sizes, self.links = np.concatenate(sizes), np.concatenate(links)
+        self.ends = np.concatenate(([0], np.cumsum(np.maximum(self.sizes[:, 3], 0))))
+
     def numbers(self, texts: list[bytes]) -> list[np.ndarray]:
         """Piece numbers of each text; none for an empty one."""
         cut = [self.pair.pieces(b" " + t) if t else [] for t in texts]
         rows = self.rows
-        fresh = list({p: None for pieces in cut for p in pieces if p not in rows})
-        if fresh:
-            sizes, links = [], []
-            for p, (a, b) in zip(fresh, self.pair.encode(fresh)):
-                rows[p] = len(rows)
-                aligned = self.pair.align(p, a, b)
-                if aligned is None:
-                    aligned = 0, b"", []
-                sizes.append((len(a), len(b), aligned[0], len(aligned[2]) or -1))
-                links += aligned[2]
-                self.printed.append(aligned[1])
-                self.held += 150 + len(p) + len(aligned[1]) + 8 * len(aligned[2])
-            sizes = np.array(sizes, np.int64)
-            self.sizes = np.concatenate((self.sizes, sizes))
-            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.maximum(sizes[:, 3], 0))))
-            self.links = np.concatenate((self.links, np.array(links, np.uint64)))
-        return [np.fromiter((rows[p] for p in pieces), np.int64, len(pieces)) for pieces in cut]
+        outer = {p: None for pieces in cut for p in pieces[:1] + pieces[-1:] if p not in rows}
+        inner = {p: None for pieces in cut for p in pieces[1:-1] if p not in rows and p not in outer}
+        if outer or inner:
+            self._learn(list(inner), list(outer))
+        return [np.fromiter(map(rows.__getitem__, pieces), np.int64, len(pieces)) for pieces in cut]
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
 
 
-def _lexicon(a_path: str, b_path: str) -> Lexicon:
+def _lexicon(a_path: str, b_path: str, printing: bool = True) -> Lexicon:
     """Tokenizers are loaded once per Python worker; the aligned pieces are a task's own."""
     if (a_path, b_path) not in _pairs:
         _pairs[a_path, b_path] = Pair(a_path, b_path)
-    return Lexicon(_pairs[a_path, b_path])
+    return Lexicon(_pairs[a_path, b_path], printing)
 
 
 def _groups(texts: list[bytes], limit: int = 1 << 20) -> Iterator[list[bytes]]:
@@ -182,7 +227,7 @@ def _summed(keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def pair_counts(docs: DataFrame, a_path: str, b_path: str, content: str) -> DataFrame:
     """First pass: (bucket, pair, n), each task's own sums; a pair is B's id above A's, 32 bits each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, seen = _lexicon(a_path, b_path), np.zeros(0, np.int64)
+        lexicon, seen = _lexicon(a_path, b_path, printing=False), np.zeros(0, np.int64)
         keys, numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def taken():
