@@ -12,11 +12,13 @@ from ..session import shared_path, spread
 from .base import ARTICLES, TITLED, articles, clean_sql, documents, query, quoted, strip_sql, table, titled, tokens_sql, valid_sql
 
 STOP = quoted(STOP_WORDS)
+# References that the pages hold; the ampersand comes last. ``paragraph_references`` has others.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&amp;", "&"))
 
 
 def _inner(x: str) -> str:
     out = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
-    for entity, char in text.ENTITIES:
+    for entity, char in ENTITIES:
         out = f"replace({out}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
     return strip_sql(out)
 
@@ -38,6 +40,23 @@ def paragraphs(spark, sf):
     return pages(spark, sf).select("page_id", F.posexplode(text.article_paragraphs(F.col("html"))).alias("pos", "paragraph"))
 
 
+# Written forms of characters: decimal, hexadecimal with leading zeros, and named; names after the letters they are spelt with.
+_WRITTEN = (("&", "&#38;"), ("e", "&#101;"), ("n", "&#x6E;"), ("o", "&#X0006f;"), ("a", "&#0097;"), ("ñ", "&#241;"), ("<", "&lt;"), (">", "&gt;"),
+            ("'", "&apos;"), ('"', "&quot;"), ("é", "&eacute;"), ("ü", "&uuml;"), ("ß", "&szlig;"), (".", "&period;"), (",", "&comma;"))
+
+
+@query("paragraph_references", f"""WITH {TITLED}, e AS (SELECT goid, unnest(paragraph_text) AS paragraph,
+ generate_subscripts(paragraph_text, 1) - 1 AS pos FROM titled) SELECT goid, CAST(pos AS INT) AS pos, paragraph FROM e""")
+def paragraph_references(spark, sf):
+    """The documents' lines as paragraphs of a page that writes many characters as references."""
+    html = F.col("text")
+    for char, written in _WRITTEN:
+        html = F.replace(html, F.lit(char), F.lit(written))
+    page = F.concat(F.lit("<html><body><p>"), F.replace(html, F.lit("\n"), F.lit("</p>\n<p>")), F.lit("</p></body></html>"))
+    rows = articles(spark, sf).select("goid", page.alias("html"))
+    return rows.select("goid", F.posexplode(text.article_paragraphs(F.col("html"))).alias("pos", "paragraph"))
+
+
 @query("full_text", f"WITH {PS} SELECT page_id, CASE WHEN len(ps) > 0 THEN array_to_string(ps, ' ') END AS text FROM kept")
 def full_text(spark, sf):
     return pages(spark, sf).select("page_id", text.full_text(text.article_paragraphs(F.col("html"))).alias("text"))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, functions as F
 
 from ..schema import STOP_WORDS
+from . import entities
 
 HIDDEN_HTML = r"(?is)<!--.*?-->|<(script|style)(\s[^>]*)?>.*?</(script|style)\s*>"
 PARAGRAPH_OPEN = r"(?i)<p(?:\s[^>]*)?>"
@@ -15,8 +16,6 @@ PARAGRAPH_BODY = (
     r"(?is)^(.*?)(?:</p\s*>|</?(?:address|article|aside|blockquote|body|center|dd|div|dl|dt|fieldset"
     r"|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|pre|section|table|td|th|tr|ul)(?:[\s/][^>]*)?>|\z)"
 )
-# Entities decoded in paragraph text; the ampersand comes last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -31,11 +30,9 @@ def strip(text: Column) -> Column:
 
 
 def inner_text(html: Column) -> Column:
-    """Markup removed, entities decoded, ends trimmed; the white space around inner tags stays."""
-    text = F.regexp_replace(html, r"<[^>]*>", "")
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return strip(text)
+    """Markup removed, references decoded (no-break spaces to spaces), ends trimmed; the white space around inner tags stays."""
+    bare = entities.unescape(F.regexp_replace(html, r"<[^>]*>", ""))
+    return strip(F.translate(bare, "\u00a0", " "))
 
 
 def html_paragraphs(html: Column) -> Column:

@@ -1,3 +1,6 @@
+import html
+import random
+
 from pyspark.sql import functions as F
 
 from pressloom.functions import labels, text
@@ -94,3 +97,22 @@ def test_article_polarity(spark):
     rows = spark.createDataFrame([(0.5, -0.25), (None, -0.25), (0.5, None), (None, None)], "t double, b double")
     got = [round(r[0], 9) for r in rows.select(labels.article_polarity(F.col("t"), F.col("b"))).collect()]
     assert got == [-0.1, -0.25, 0.5, 0.0]
+
+
+def test_character_references_equal_the_standard(spark):
+    """Against the standard library, which leaves noncharacters and most control characters out."""
+    from pressloom.functions import entities
+    from html.entities import html5
+
+    rng = random.Random(1)
+    bits = ["&amp;", "&#39;", "&#x27;", "&#X1F600;", "&eacute;", "&eacute", "&notit;", "&notin;", "&copy2020", "&nbsp;", "&#0;", "&#xD800;", "&#128;",
+            "&#x99;", "&#99999999999;", "&#000000000065;", "&bogus;", "&", ";", "&;", "&#;", "&#x;", "& amp;", "a", "&#8217;s", "&AMP", "&amp;lt;", "&frac12x", "\n"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 6))) for _ in range(1000)] + [None, ""] + ["&" + name for name in html5]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", entities.unescape(F.col("t")).alias("u")).collect()
+    assert {r.i: r.u for r in rows} == {i: None if t is None else html.unescape(t) for i, t in enumerate(texts)}
+
+
+def test_paragraphs_decode_references_once_and_after_the_markup(spark):
+    page = "<p>it&#8217;s caf&eacute; &mdash; time</p><p>a &lt;b&gt; &amp;lt;c</p><p>no&nbsp;break&#160;space &copy 2020</p>"
+    got = spark.createDataFrame([(page,)], "h string").select(text.html_paragraphs(F.col("h")).alias("p")).first().p
+    assert got == ["it’s café — time", "a <b> &lt;c", "no break space © 2020"]
