@@ -8,7 +8,7 @@ from ..functions import text
 from ..operators import clean
 from ..schema import EXPORT_COLUMNS, PROPERTY_NAMES
 from ..session import shared_path
-from ..sources import records, tables
+from ..sources import records, store, tables
 from ..streaming import commits, incremental
 from .base import ARTICLES, TITLED, articles, documents, query, table, titled
 
@@ -96,6 +96,65 @@ def pending_load(spark, sf):
     return todo.select("goid", "title", F.size("paragraph_text").alias("paragraphs"))
 
 
+def _stored(spark, sf):
+    """The derived records written as files of many records, one folder a language, and parsed into a store."""
+    root = shared_path(spark, "store")
+    rows = derived_records(spark, sf).join(documents(spark, sf).select(F.col("doc_id").cast("string").alias("goid"), F.col("lang").alias("corpus")), "goid")
+    nested = records.to_records(rows, ["is_economic"], keep=["corpus"])
+    nested.write.format("xml").option("rootTag", "RECORDS").option("rowTag", "RECORD").partitionBy("corpus").save(f"{root}/files")
+    for _ in range(2):  # the second time there is nothing to add
+        store.add(spark, f"{root}/files", f"{root}/table", ["is_economic"], "part-*")
+    return root
+
+
+def _listed(spark, sf):
+    found = table(spark, sf, "labels").join(documents(spark, sf).select("doc_id", F.col("lang").alias("corpus")), "doc_id")
+    return found.select("corpus", store.record_name(F.col("doc_id").cast("string")).alias("name"))
+
+
+_LOADED = "goid, publisher, date, page, word_count, title, lexile_score, CAST(is_economic AS VARCHAR) AS is_economic"
+
+
+@query("manifest_load_files", f"WITH {_ROWS} SELECT {_LOADED} FROM recs WHERE goid IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)")
+def manifest_load_files(spark, sf):
+    """Articles of a written manifest out of written files."""
+    root = _stored(spark, sf)
+    _listed(spark, sf).write.partitionBy("corpus").parquet(f"{root}/manifest")
+    manifest = spark.read.schema("name string, corpus string").parquet(f"{root}/manifest")
+    rows = store.load(spark, f"{root}/table", manifest, ["is_economic"])
+    return rows.select("goid", "publisher", "date", "page", "word_count", "title", "lexile_score", "is_economic")
+
+
+@query("pending_load_files", f"""WITH {_ROWS} SELECT {_LOADED} FROM recs WHERE goid IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)
+ AND CAST(goid AS BIGINT) % 3 <> 0""")
+def pending_load_files(spark, sf):
+    """Those of the manifest that a step's log does not hold: every third article is done."""
+    root = _stored(spark, sf)
+    done = _listed(spark, sf).filter(F.regexp_extract("name", r"\d+", 0).cast("long") % 3 == 0)
+    incremental.append_progress(done, f"{root}/progress", "tagging")
+    rows = store.pending(spark, f"{root}/table", _listed(spark, sf), f"{root}/progress", "tagging", ["is_economic"])
+    return rows.select("goid", "publisher", "date", "page", "word_count", "title", "lexile_score", "is_economic")
+
+
+@query("malformed_records", f"""WITH {_ROWS}, f AS (SELECT lang AS corpus, concat(doc_id, '.xml') AS name, doc_id % 7 AS k, doc_id % 29 AS m FROM documents)
+ SELECT corpus, name, CASE WHEN k IN (1, 2, 3) THEN 'malformed' WHEN k = 4 THEN 'no record' WHEN m = 0 THEN 'no text' ELSE 'article' END AS found FROM f""")
+def malformed_records(spark, sf):
+    """Records cut short, with a wrong end tag or a bare ampersand, and files without one, beside whole ones."""
+    rows = record_texts(spark, sf).withColumn("goid", F.regexp_extract("name", r"\d+", 0).cast("long"))
+    rows = rows.join(documents(spark, sf).select(F.col("doc_id").alias("goid"), F.col("lang").alias("corpus")), "goid")
+    kind = F.col("goid") % 7
+    end = F.instr("xml", "</GOID>")
+    broken = F.when(kind == 1, F.substr("xml", F.lit(1), F.length("xml") - 3)).when(
+        kind == 2, F.replace("xml", F.lit("</GOID>"), F.lit("</GOIDS>"))).when(
+        kind == 3, F.concat(F.substr("xml", F.lit(1), end - 1), F.lit(" & "), F.substr("xml", end))).when(
+        kind == 4, F.lit("<OTHER/>")).otherwise(F.col("xml"))
+    parsed = records.parse_records(rows.select("corpus", "name", broken.alias("xml")).filter(F.contains("xml", F.lit("<RECORD"))), "xml")
+    good = records.articles(parsed).select("corpus", "name", F.when(F.col("paragraph_text").isNull() & F.col("word_count").isNull(), "no text").otherwise(
+        "article").alias("found"))
+    seen = good.unionByName(records.malformed(parsed).select("corpus", "name", F.lit("malformed").alias("found")))
+    return rows.select("corpus", "name").join(seen, ["corpus", "name"], "left").fillna("no record", ["found"])
+
+
 @query("text_reread", f"""WITH {TITLED} SELECT l.doc_id AS goid, l.quality, array_to_string(t.paragraph_text, ' ') AS texts
  FROM labels l LEFT JOIN titled t ON l.doc_id = t.goid""")
 def text_reread(spark, sf):

@@ -10,18 +10,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions import labels, text
 from ..schema import ARTICLE_SCHEMA, PROPERTY_NAMES, PROPERTY_TAGS, RECORD_SCHEMA
 
+CORRUPT = "_corrupt"
+READ_SCHEMA = T.StructType([*RECORD_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+READ_OPTIONS = {"rowTag": "RECORD", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+
 # Characters XML 1.0 does not allow.
 ILLEGAL_XML = r"[^\t\n\r\u0020-\uD7FF\uE000-\uFFFD\x{10000}-\x{10FFFF}]"
 
 
 def file_columns(path: Column) -> tuple[Column, Column]:
-    """(corpus, name) from a file path: its last two parts."""
+    """(corpus, name) from a file path: its last two parts; a folder ``corpus=x`` is corpus x."""
     parts = F.split(F.regexp_replace(path, r"[?#].*$", ""), "/")
-    return F.element_at(parts, -2), F.element_at(parts, -1)
+    return F.regexp_replace(F.element_at(parts, -2), "^corpus=", ""), F.element_at(parts, -1)
 
 
 def list_files(spark: SparkSession, folder: str, glob: str = "*.xml") -> DataFrame:
-    """(path, corpus, name) of files below a folder; contents are not read."""
+    """(path, corpus, name) of files below a folder; contents are not read. Spark's readers leave out files of no bytes."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
         .load(folder).select("path")
@@ -31,19 +35,22 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*.xml") -> DataFra
 
 
 def read_records(spark: SparkSession, folder: str, glob: str = "*.xml") -> DataFrame:
-    """Nested records with ``corpus`` and ``name``; files without a record give no row."""
+    """Nested records with ``corpus`` and ``name``; files without a record give no row.
+
+    A record that is no XML is one row with its text in ``_corrupt``. What follows it in its file cannot be told apart
+    and is part of that text.
+    """
     corpus, name = file_columns(F.col("_metadata.file_path"))
     return (
-        spark.read.format("xml").option("rowTag", "RECORD").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob).schema(RECORD_SCHEMA).load(folder)
+        spark.read.format("xml").options(**READ_OPTIONS).option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", glob).schema(READ_SCHEMA).load(folder)
         .select("*", corpus.alias("corpus"), name.alias("name"))
     )
 
 
 def parse_records(df: DataFrame, xml: str) -> DataFrame:
-    """Nested records from a column of XML text."""
-    options = {"rowTag": "RECORD"}
-    return df.withColumn("_r", F.from_xml(F.col(xml), RECORD_SCHEMA, options)).select(
+    """Nested records from a column of XML text; ``_corrupt`` holds a text that is no XML."""
+    return df.withColumn("_r", F.from_xml(F.col(xml), READ_SCHEMA, READ_OPTIONS)).select(
         *[c for c in df.columns if c != xml], "_r.*")
 
 
@@ -89,9 +96,10 @@ def tag_columns(tags: Sequence[str]) -> list[Column]:
 
 
 def articles(records: DataFrame, tags: Sequence[str] = (), paragraph_sep: str | None = None) -> DataFrame:
-    """Flat article rows with the fixed columns, then the extra tags, in that order."""
+    """Flat article rows with the fixed columns, then the extra tags, in that order; malformed records are no articles."""
     keep = [c for c in ("corpus", "name") if c in records.columns]
-    return records.select(*keep, *article_columns(paragraph_sep), *tag_columns(tags))
+    whole = records.filter(F.col(CORRUPT).isNull()) if CORRUPT in records.columns else records
+    return whole.select(*keep, *article_columns(paragraph_sep), *tag_columns(tags))
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,10 +113,15 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load(spark: SparkSession, folder: str, manifest: DataFrame | None = None, tags: Sequence[str] = ()) -> DataFrame:
-    """Articles named in a manifest (all without one). Only files of the manifest are parsed."""
+    """Articles named in a manifest of (corpus, name) (all without one). Only files of the manifest are parsed.
+
+    A manifest without a corpus takes its names from every corpus. A file is a record's; ``sources.store`` has the form
+    for many loads from one corpus, which reads listed parts only and takes files of many records.
+    """
     if manifest is None:
         return articles(read_records(spark, folder), tags)
-    wanted = read_texts(spark, folder).join(manifest.select("name").distinct(), "name", "left_semi")
+    keys = [k for k in ("corpus", "name") if k in manifest.columns]
+    wanted = read_texts(spark, folder).join(manifest.select(*keys).distinct(), keys, "left_semi")
     has_record = F.contains("xml", F.lit("<RECORD"))
     return articles(parse_records(wanted.filter(has_record), "xml"), tags)
 
@@ -127,11 +140,19 @@ def expected_columns(df: DataFrame, tags: Sequence[str] = ()) -> DataFrame:
 
 
 def load_errors(spark: SparkSession, folder: str) -> DataFrame:
-    """(corpus, name, error): files without a record, and records without a text."""
-    found = read_records(spark, folder).select("corpus", "name", F.col("TextInfo.Text").isNull().alias("bare"))
+    """(corpus, name, error): files without a record, malformed records, and records without a text."""
+    bare, broken = F.col("TextInfo.Text").isNull(), F.col(CORRUPT).isNotNull()
+    error = F.when(broken, "malformed").when(bare, "no text")
+    found = read_records(spark, folder).select("corpus", "name", error.alias("error"))
     empty = list_files(spark, folder).join(found, ["corpus", "name"], "left_anti").select(
         "corpus", "name", F.lit("no record").alias("error"))
-    return empty.unionByName(found.filter("bare").select("corpus", "name", F.lit("no text").alias("error")))
+    return empty.unionByName(found.filter("error IS NOT NULL"))
+
+
+def malformed(records: DataFrame) -> DataFrame:
+    """(corpus, name, goid, xml) of records that are no XML, for a quarantine table; the goid is what was read before the fault."""
+    keep = [c for c in ("corpus", "name") if c in records.columns]
+    return records.filter(F.col(CORRUPT).isNotNull()).select(*keep, F.col("GOID").alias("goid"), F.col(CORRUPT).alias("xml"))
 
 
 def tag_value(xml: Column, tag: str) -> Column:
@@ -154,8 +175,9 @@ def paragraphs_html(paragraphs: Column) -> Column:
     return F.concat(F.lit("<html><body>"), body, F.lit("</body></html>"))
 
 
-def to_records(articles_df: DataFrame, tags: Sequence[str] = ()) -> DataFrame:
-    """Article rows as nested records, ``tags`` below ``processed``; null columns give no element."""
+def to_records(articles_df: DataFrame, tags: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """Article rows as nested records, ``tags`` below ``processed``; null columns give no element. ``keep`` are columns to
+    place the records by."""
     def text_of(column: str) -> Column:
         return legal(F.col(column).cast("string"))
 
@@ -183,6 +205,7 @@ def to_records(articles_df: DataFrame, tags: Sequence[str] = ()) -> DataFrame:
         F.when(F.col("paragraph_text").isNotNull() | F.col("word_count").isNotNull(), F.struct(body.alias("Text"))).alias("TextInfo"),
         some("publisher", F.struct(F.struct(F.array(text_of("publisher")).alias("SortTitle")).alias("PubFrosting"))).alias("DFS"),
         shown.alias("processed"),
+        *keep,
     )
 
 
@@ -197,4 +220,4 @@ def write_records(articles_df: DataFrame, path: str, tags: Sequence[str] = ()) -
 
 
 __all__ = ["PROPERTY_TAGS", "articles", "expected_columns", "file_columns", "list_files", "load", "load_errors",
-           "load_from_text", "parse_records", "read_records", "read_texts", "record_xml", "tag_value", "to_records", "write_records"]
+           "load_from_text", "malformed", "parse_records", "read_records", "read_texts", "record_xml", "tag_value", "to_records", "write_records"]

@@ -95,3 +95,26 @@ def test_properties():
     tags, names = properties()
     assert tags == PROPERTY_TAGS and names == PROPERTY_NAMES and len(tags) == len(names) == 13
     assert names[tags.index("Personal")] == "author"
+
+
+def test_malformed_records_are_quarantined(spark, tmp_path):
+    """A record cut short, wrong end tags, bare ampersands, illegal characters: no articles, and listed as such."""
+    files = {"a/good.xml": record("1"), "a/cut.xml": record("2")[:-20], "b/tag.xml": record("3").replace("</GOID>", "</GOIDS>"),
+             "b/amp.xml": record("4 & 5"), "b/none.xml": "<OTHER/>", "b/char.xml": record("\x01"),
+             "b/two.xml": "<R>" + record("6") + record("7").replace("</GOID>", "") + record("8") + "</R>"}
+    for path, xml in files.items():
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_text(xml)
+    rows = records.load(spark, str(tmp_path)).collect()
+    assert sorted(r.goid for r in rows) == ["1", "6"]
+    listed = {(r.corpus, r.name): r.error for r in records.load_errors(spark, str(tmp_path)).collect()}
+    bad = {(*p.split("/"),): "malformed" for p in ("a/cut.xml", "b/tag.xml", "b/amp.xml", "b/char.xml", "b/two.xml")}
+    assert listed == bad | {("b", "none.xml"): "no record"}
+    kept = records.malformed(records.read_records(spark, str(tmp_path))).collect()
+    assert {(r.corpus, r.name) for r in kept} == set(bad) and all("RECORD" in r.xml for r in kept)
+    manifest = spark.createDataFrame([("a", "good.xml"), ("b", "amp.xml"), ("b", "good.xml")], "corpus string, name string")
+    assert [r.goid for r in records.load(spark, str(tmp_path), manifest).collect()] == ["1"]
+
+
+def record(goid):
+    return f"<RECORD><GOID>{goid}</GOID><TextInfo><Text WordCount='2'>&lt;p&gt;one two&lt;/p&gt;</Text></TextInfo></RECORD>"
