@@ -39,7 +39,7 @@ def lexicon_sentiment(spark, sf):
     docs = documents(spark, sf).select("doc_id", "text")
     terms = tfidf.document_frequencies(docs, "text", ())
     lexicon = terms.select("term", term_mark(F.col("term")).alias("mark"), "df").filter(F.col("mark") != 0)
-    scorer = sentiment.LexiconScorer(materialise(lexicon, "lexicon"), 3, "df")
+    scorer = sentiment.LexiconScorer(materialise(lexicon, "lexicon"), 3)
     return sentiment.score_texts(docs, "text", ["doc_id"], scorer)
 
 

@@ -108,7 +108,7 @@ def labelled_sections(df: DataFrame, section: str = "section", content: str = "t
     )
 
 
-def lemmatise(tokens: DataFrame, lemmas: DataFrame, weight: str | None = None) -> DataFrame:
-    """Replace ``term`` by its lemma; unknown terms stay. ``lemmas`` has (term, lemma)."""
-    joined = lookup_join(tokens, lemmas, "term", weight, how="left")
-    return joined.withColumn("term", F.coalesce("lemma", "term")).drop("lemma", *([weight] if weight else []))
+def lemmatise(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """Replace ``term`` by its lemma; unknown terms, which may be the most frequent ones, stay. ``lemmas`` has (term, lemma)."""
+    joined = lookup_join(tokens, lemmas.select("term", "lemma"), "term", how="left", absent=True)
+    return joined.withColumn("term", F.coalesce("lemma", "term")).drop("lemma")

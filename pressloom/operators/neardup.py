@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
 from ..session import materialise, spread
-from .scale import BROADCAST_ROWS, lookup_join, salted_join, semi_join_counted
+from .scale import lookup_join, salted_join, semi_join_counted
 
 PERMUTATIONS = 128
 BANDS = 32
@@ -64,7 +64,7 @@ def first_in_bucket(banded: DataFrame, key: str = "doc_id", bands: int = BANDS)
     return firsts.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == bands).select(key)
 
 
-def greedy(banded: DataFrame, key: str = "doc_id", bands: int = BANDS, limit: int = BROADCAST_ROWS) -> DataFrame:
+def greedy(banded: DataFrame, key: str = "doc_id", bands: int = BANDS, limit: int | None = None) -> DataFrame:
     """(key) of documents kept by the sequential rule: keep a document unless an earlier *kept* one
     shares a bucket.
 
@@ -83,7 +83,7 @@ def greedy(banded: DataFrame, key: str = "doc_id", bands: int = BANDS, limit: in
         kept = winners if kept is None else kept.unionByName(winners)
         won = firsts.join(winners, key, "left_semi").select("bucket", "n")
         # one row per undecided document that touches a won bucket, winners included
-        touched = semi_join_counted(rows, materialise(won, "won"), "bucket", "n", limit=limit).select(key).distinct()
+        touched = semi_join_counted(rows, materialise(won, "won"), "bucket", "n", limit=limit, absent=True).select(key).distinct()
         rows = materialise(rows.join(touched, key, "left_anti"), "undecided")
         if rows.isEmpty():
             return kept

@@ -3,55 +3,96 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..session import materialise
 
-# A lookup side is broadcast up to this many rows (a few dozen MB of short strings).
+# A lookup side is broadcast up to this many rows and bytes of values.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
+# Keys with at least this share of the facts are sought by the sketch, and what it tracks: several times their number.
+HOT_KEYS, TRACKED = 1000, 16_384
+# Rows of a table that are broadcast as hot by their weights.
+HOT_ROWS = 20_000
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row's values take."""
+    fixed, parts = 0, []
+    for f in df.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.octet_length(F.col(f"`{f.name}`")))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            parts.append(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))))
+        else:
+            fixed += 8
+    return reduce(lambda x, y: x + F.coalesce(y, F.lit(0)), parts, F.lit(fixed))
+
+
+def hot_hashes(facts: DataFrame, key: str, share: int = HOT_KEYS) -> list[int]:
+    """Hashes of all keys that hold at least one in ``share`` of the facts, whether any table has them or not.
+
+    One pass over the keys: every task keeps a sketch of frequent hashes, of bounded size, and sketches are merged. It
+    counts a key too high by at most 4 / ``TRACKED`` of all facts, so no such key is missed, and what comes besides is
+    sent the same way without harm.
+    """
+    found = facts.select(F.xxhash64(key).alias("h")).agg(
+        F.expr(f"approx_top_k(h, {2 * share}, {max(TRACKED, 4 * share)})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    return [r["item"] for r in found["top"] or [] if 2 * share * r["count"] >= found["n"]]
+
+
+def _small(table: DataFrame, weight: str | None, limit: int) -> tuple[bool, int]:
+    """(whether a table may be broadcast, the sum of its weights)."""
+    found = table.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(table)).alias("b"),
+                      F.sum(weight if weight else F.lit(0)).alias("w")).first()
+    return found["n"] <= limit and (found["b"] or 0) <= BROADCAST_BYTES, found["w"] or 0
 
 
 def lookup_join(facts: DataFrame, table: DataFrame, key: str, weight: str | None = None,
-                how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join facts with a table that has one row per key.
+                how: str = "inner", limit: int | None = None, absent: bool = False) -> DataFrame:
+    """Join facts with a table that has one row per key; ``how`` is inner, left, left_semi or left_anti.
+
+    Up to ``limit`` rows and ``BROADCAST_BYTES`` the table is broadcast. A longer one is split, so that no hot key is
+    shuffled into one task and the rest is a shuffled join:
 
-    Up to ``limit`` rows the table is broadcast. A longer one is split by ``weight``, the number of
-    fact rows per key: keys holding at least 1/limit of all facts are at most ``limit`` by counting
-    and are broadcast, so no hot key is ever shuffled into one task; the rest is a shuffled join.
-    Without a weight the shuffled join is left to adaptive skew handling.
+    * by ``weight``, the number of fact rows per key, where the table knows all frequent keys: those with at least
+      1 / ``HOT_ROWS`` of all facts are at most ``HOT_ROWS`` by counting;
+    * with ``absent`` by a sketch over the facts' own keys, which finds frequent keys that the table lacks too. Facts
+      are read three times then and should be stored. Facts with a null key meet no row and are not shuffled.
+
+    Without either the shuffled join is left to adaptive skew handling.
     """
-    if weight is None:
-        rows = table.count()
-    else:
-        rows, total = table.agg(F.count(F.lit(1)), F.sum(weight)).first()
-    if rows <= limit:
+    limit = BROADCAST_ROWS if limit is None else limit
+    small, total = _small(table, weight, limit)
+    if small:
         return facts.join(F.broadcast(table), key, how)
+    if absent:
+        hashes = hot_hashes(facts, key, min(HOT_KEYS, limit))
+        in_hot = F.xxhash64(key).isin(hashes) if hashes else F.lit(False)
+        hot_part = facts.filter(F.col(key).isNull() | in_hot).join(F.broadcast(table.filter(in_hot)), key, how)
+        cold_part = facts.filter(F.col(key).isNotNull() & ~in_hot).join(table.filter(~in_hot), key, how)
+        return hot_part.unionByName(cold_part)
     if weight is None:
         return facts.join(table, key, how)
-    hot = F.col(weight) * limit >= F.lit(total)
+    hot = F.col(weight) * min(limit, HOT_ROWS) >= F.lit(total)
     hot_rows = F.broadcast(table.filter(hot))
-    hot_part = facts.join(hot_rows, key, "inner")
     cold_facts = facts.join(F.broadcast(table.filter(hot).select(key)), key, "left_anti")
-    return hot_part.unionByName(cold_facts.join(table.filter(~hot), key, how))
+    cold_part = cold_facts.join(table.filter(~hot), key, how)
+    if how == "left_anti":
+        return cold_part
+    return facts.join(hot_rows, key, "left_semi" if how == "left_semi" else "inner").unionByName(cold_part)
 
 
 def semi_join_counted(facts: DataFrame, keys: DataFrame, key: str, weight: str,
-                      how: str = "left_semi", limit: int = BROADCAST_ROWS) -> DataFrame:
+                      how: str = "left_semi", limit: int | None = None, absent: bool = False) -> DataFrame:
     """Semi or anti join on a key whose fact rows may pile up; ``weight`` counts them per key."""
-    rows, total = keys.agg(F.count(F.lit(1)), F.sum(weight)).first()
-    if rows <= limit:
-        return facts.join(F.broadcast(keys.select(key)), key, how)
-    hot = F.col(weight) * limit >= F.lit(total)
-    hot_keys = F.broadcast(keys.filter(hot).select(key))
-    cold = facts.join(hot_keys, key, "left_anti").join(keys.filter(~hot).select(key), key, how)
-    if how == "left_anti":
-        return cold
-    return facts.join(hot_keys, key, "left_semi").unionByName(cold)
+    return lookup_join(facts, keys, key, weight, how, limit, absent)
 
 
 def salted_join(facts: DataFrame, table: DataFrame, key: str, spread_by: str, weight: str = "n",
-                per_task: int = 10_000, limit: int = BROADCAST_ROWS) -> DataFrame:
+                per_task: int = 10_000, limit: int | None = None) -> DataFrame:
     """Inner join of facts with wide rows of a table, one per key, where keys may be hot.
 
     A key with many facts gets one copy of its row per ``per_task`` facts, and its facts are dealt out

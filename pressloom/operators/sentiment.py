@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import labels, text
+from ..session import materialise
 from .scale import lookup_join
 from .upsert import set_columns
 
@@ -52,7 +53,6 @@ class LexiconScorer:
 
     lexicon: DataFrame
     classes: int = 3
-    weight: str | None = None
 
     def __call__(self, df: DataFrame, text_col: str, key_cols: Sequence[str]) -> DataFrame:
         keys = list(key_cols)
@@ -61,7 +61,8 @@ class LexiconScorer:
             .select(*keys, F.explode_outer(text.tokens(F.col(text_col))).alias("term"))
             .groupBy(*keys, "term").agg(F.count("term").alias("n"))
         )
-        marked = lookup_join(rows, self.lexicon, "term", self.weight, how="left")
+        # most frequent words are neutral, so the lexicon lacks them
+        marked = lookup_join(materialise(rows, "term-counts"), self.lexicon.select("term", "mark"), "term", how="left", absent=True)
 
         def tokens_with(mark: Column) -> Column:
             return F.coalesce(F.sum(F.when(mark, F.col("n"))), F.lit(0))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import text
 from ..schema import STOP_WORDS
 from ..session import materialise, spread
-from .scale import BROADCAST_ROWS, lookup_join
+from .scale import lookup_join
 
 
 @dataclass
@@ -83,7 +83,7 @@ def term_rows(docs: DataFrame, key: str = "doc_id", content: str = "text",
 
 
 def transform(docs: DataFrame, model: TfidfModel, key: str = "doc_id", content: str = "text",
-              stop_words: Iterable[str] = STOP_WORDS, broadcast_limit: int = BROADCAST_ROWS) -> DataFrame:
+              stop_words: Iterable[str] = STOP_WORDS, broadcast_limit: int | None = None) -> DataFrame:
     """One row per document: ``weights`` as (term, raw) structs and their L2 ``norm``; known terms only."""
     rows = lookup_join(term_rows(docs, key, content, stop_words), model.terms, "term", "df", limit=broadcast_limit)
     weighted = rows.select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))

@@ -50,6 +50,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+ROW_GROUP = 16 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _scopes: ContextVar[tuple[list[str], ...]] = ContextVar("_scopes", default=())
 
@@ -65,7 +66,8 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        # a task buffers a whole row group, several times the size of what lies on disk
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)

@@ -98,3 +98,40 @@ def test_materialise_leaves_no_shuffle_files_and_the_setting_alone(spark):
     table = materialise(skewed(spark).groupBy("key").count(), "counted")
     assert spark.conf.get(CLEANUP, None) == before
     assert table.agg(F.sum("count")).first()[0] == 3000
+
+
+def test_frequent_keys_that_the_table_lacks_are_not_shuffled(spark):
+    """Half of all rows have a key that the table lacks, a fifth one that it has, a tenth none."""
+    key = F.when(F.col("id") % 2 == 0, 7_000_000).when(F.col("id") % 10 < 4, 1).when(F.col("id") % 10 == 5, None).otherwise(F.col("id"))
+    facts = materialise(spark.range(20_000).select("id", key.cast("long").alias("key")), "facts")
+    table = spark.range(0, 20_000, 3).select(F.col("id").alias("key"), (F.col("id") * 2).alias("v")).union(spark.sql("SELECT 1L, 2L"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hot = scale.hot_hashes(facts, "key")
+        want = {r.h for r in facts.filter("key IN (1, 7000000) OR key IS NULL").select(F.xxhash64("key").alias("h")).distinct().collect()}
+        assert set(hot) == want
+        for how in ("inner", "left", "left_semi", "left_anti"):
+            plain = facts.join(table, "key", how)
+            split = scale.lookup_join(facts, table, "key", how=how, limit=5, absent=True)
+            assert split.columns == plain.columns
+            assert sorted(map(tuple, split.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+            text = plan(split)
+            assert "BroadcastHashJoin" in text and "Union" in text
+            # what goes through the shuffle of facts has none of the hot keys
+            cold = facts.filter(F.col("key").isNotNull() & ~F.xxhash64("key").isin(hot))
+            assert cold.groupBy("key").count().agg(F.max("count")).first()[0] == 1
+            shuffled = text[text.index("SortMergeJoin") :] if "SortMergeJoin" in text else text[text.index("ShuffledHashJoin") :]
+            assert "INSET" in shuffled or "xxhash64(key" in shuffled
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tables_are_broadcast_by_bytes_too(spark, monkeypatch):
+    facts = skewed(spark)
+    table = spark.range(0, 500, 2).select(F.col("id").alias("key"), F.repeat(F.lit("x"), 1000).alias("v"), F.array(F.lit("ab")).alias("w"))
+    assert table.select(scale.row_bytes(table).alias("b")).first().b == 8 + 1000 + len('{"w":["ab"]}')
+    whole = scale.lookup_join(facts, table, "key")
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 100_000)
+    split = scale.lookup_join(facts, table, "key", absent=True)
+    assert "Union" not in plan(whole) and "Union" in plan(split)
+    assert sorted(map(tuple, whole.select("id", "key", "v").collect())) == sorted(map(tuple, split.select("id", "key", "v").collect()))

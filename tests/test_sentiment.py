@@ -49,7 +49,7 @@ def test_lexicon_table_equals_rule(spark):
     lexicon = words.select("term", term_mark(F.col("term")).alias("mark"), "df").filter("mark <> 0")
     for classes in (2, 3):
         rule = sorted(map(tuple, sentiment.RuleScorer(term_mark, classes)(docs, "t", ["k"]).collect()))
-        table = sorted(map(tuple, sentiment.LexiconScorer(lexicon, classes, "df")(docs, "t", ["k"]).collect()))
+        table = sorted(map(tuple, sentiment.LexiconScorer(lexicon, classes)(docs, "t", ["k"]).collect()))
         assert rule == table and len(rule) == 61
 
 
