@@ -187,6 +187,32 @@ def export_chunks(spark, sf):
     return tables.with_chunks(rows, ["date", "goid"], rows=100, highest=4).select("goid", "chunk")
 
 
+@query("append_chunks_twice", f"""WITH {ARTICLES}, h AS (SELECT goid, date, CAST(goid % 3 = 0 AS INT) AS part FROM articles),
+ r AS (SELECT goid, part, (row_number() OVER (PARTITION BY part ORDER BY date, goid) - 1) // 100 AS own FROM h)
+ SELECT goid, CAST(own + CASE WHEN part = 1 THEN 0 ELSE (SELECT max(own) + 1 FROM r WHERE part = 1) END AS BIGINT) AS chunk FROM r""")
+def append_chunks_twice(spark, sf):
+    """Two writers append to one folder; the second one's numbers go on where the first one's end."""
+    folder = shared_path(spark, "chunks")
+    rows = articles(spark, sf).select("goid", "date")
+    for part in ("goid % 3 = 0", "goid % 3 <> 0"):
+        tables.append_chunks(rows.filter(part), folder, ["date", "goid"], rows=100)
+    return tables.read_chunks(spark, folder, "goid bigint, date date").select("goid", "chunk")
+
+
+@query("chunk_file", """WITH l AS (SELECT doc_id, unnest(CASE WHEN doc_id % 10 = 0 THEN ['', concat('  ', doc_id, '.xml ')]
+ ELSE [concat('  ', doc_id, '.xml ')] END) AS value, generate_subscripts(CASE WHEN doc_id % 10 = 0 THEN ['', 'x'] ELSE ['x'] END, 1) AS part FROM documents),
+ n AS (SELECT trim(value) AS name, row_number() OVER (ORDER BY doc_id, part) AS line FROM l)
+ SELECT name, CAST((line - 1) // 100 AS BIGINT) AS chunk FROM n WHERE name <> ''""")
+def chunk_file(spark, sf):
+    """A written list file with blank lines, in chunks of 100 lines."""
+    path = shared_path(spark, "names")
+    name = F.concat(F.lit("  "), F.col("doc_id").cast("string"), F.lit(".xml "))
+    lines = documents(spark, sf).select("doc_id", F.explode(F.when(F.col("doc_id") % 10 == 0, F.array(F.lit(""), name)).otherwise(F.array(name))).alias("value"))
+    # one file is the feature: a list that is read in splits
+    lines.repartition(1).sortWithinPartitions("doc_id", F.col("value") != "").select("value").write.text(path)
+    return tables.chunks_of_file(spark, path, 100).select("name", "chunk")
+
+
 @query("csv_round_trip", f"""WITH {TITLED} SELECT goid, publisher, date, page, CAST(word_count AS INT) AS word_count, bert_sentiment, title,
  array_to_string(paragraph_text, '|') AS paragraph_text FROM titled""")
 def csv_round_trip(spark, sf):

@@ -8,7 +8,8 @@ from ..functions import labels
 from ..operators import classify, sentiment, tfidf
 from ..plans import steps
 from ..schema import BERT_PARAGRAPH, BERT_TITLE, ROBERTA_PARAGRAPH, ROBERTA_TITLE
-from ..session import materialise, spread
+from ..session import materialise, shared_path, spread
+from ..sources import enrichment
 from .base import ARTICLES, TITLED, articles, documents, query, table, term_mark, titled, tokens_sql
 from .cleaning import sections
 from .text import IDF, VOCABULARY
@@ -115,6 +116,22 @@ def three_label_step(spark, sf):
     return _step(spark, sf, THREE, ROBERTA_TITLE, ROBERTA_PARAGRAPH)
 
 
+@query("enriched_step", f"SELECT lang AS corpus, CAST(s.goid AS VARCHAR) AS goid, s.* EXCLUDE (goid) FROM ("
+       + _step_sql("ps", "ts", ROBERTA_TITLE, ROBERTA_PARAGRAPH) + ") s JOIN documents d ON s.goid = d.doc_id WHERE s.goid IN (SELECT doc_id FROM labels)")
+def enriched_step(spark, sf):
+    """The same columns as versions of an enrichment table: two halves, the second again, compacted and read back."""
+    path = shared_path(spark, "enrichment")
+    rows = titled(spark, sf).select(F.col("lang").alias("corpus"), F.col("goid").cast("string").alias("goid"), "title", "paragraph_text")
+    manifest = rows.join(table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("goid")), "goid", "left_semi").select("corpus", "goid")
+    first = F.col("goid").cast("long") % 2 == 0
+    for part in (first, ~first, ~first):
+        steps.enrich_sentiment(rows, THREE, ROBERTA_TITLE, ROBERTA_PARAGRAPH, path, manifest.filter(part))
+    columns = ", ".join(f"{c} double" for c in (*ROBERTA_TITLE.values(), *ROBERTA_PARAGRAPH.values()))
+    enrichment.compact(spark, path, columns)
+    enrichment.drop_compacted(spark, path)
+    return enrichment.read(spark, path, columns)
+
+
 @query("two_label_step", _step_sql("pair", "tpair", BERT_TITLE, BERT_PARAGRAPH))
 def two_label_step(spark, sf):
     return _step(spark, sf, TWO, BERT_TITLE, BERT_PARAGRAPH)
@@ -183,6 +200,27 @@ def economic_probability(spark, sf):
     return classify.score_with_coefficients(docs, model, coefficients, -0.25, "doc_id").select("doc_id", "is_economic")
 
 
+@query("economic_selection_run", f"""WITH {VOCABULARY}, r AS (SELECT w.doc_id, w.term, w.tf * ({IDF}) AS raw FROM w JOIN v1000 v ON w.term = v.term),
+ l AS (SELECT doc_id, sqrt(sum(raw * raw)) AS nrm FROM r GROUP BY doc_id),
+ m AS (SELECT r.doc_id, sum(raw / nrm * {_COEFFICIENT}) AS margin FROM r JOIN l ON r.doc_id = l.doc_id GROUP BY r.doc_id)
+ SELECT lang AS corpus, concat(d.doc_id, '.xml') AS name, round(1.0E0 / (1.0E0 + exp(-(coalesce(margin, 0) - 0.25E0))), 4) AS is_economic,
+ round(1.0E0 / (1.0E0 + exp(-(coalesce(margin, 0) - 0.25E0))), 4) > 0.5 AS selected FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id WHERE text IS NOT NULL""")
+def economic_selection_run(spark, sf):
+    """Two languages, then all: the second run scores what the log does not hold; choice and log are committed together."""
+    root = shared_path(spark, "selection")
+    docs = documents(spark, sf).select(F.col("lang").alias("corpus"), F.concat(F.col("doc_id").cast("string"), F.lit(".xml")).alias("name"), "doc_id", "text")
+    model = tfidf.fit(docs.select("doc_id", "text"), max_features=classify.FEATURES, key="doc_id")
+    digits = F.conv(F.substring(F.md5("term"), 1, 4), 16, 10).cast("long")
+    coefficients = model.terms.select("term", ((digits % 2001 - 1000) / F.lit(200.0)).alias("coefficient"))
+
+    def score(df):
+        return classify.score_with_coefficients(df, model, coefficients, -0.25, "doc_id")
+
+    for part in (docs.filter(F.col("corpus").isin("en", "fr")), docs):
+        steps.run_selection(part, score, f"{root}/data", f"{root}/progress")
+    return steps.selection(spark, f"{root}/data", f"{root}/progress")
+
+
 @query("economic_train_score")
 def economic_train_score(spark, sf):
     """Train on labelled sections, score every document."""

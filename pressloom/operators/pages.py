@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.salience import normalize_page
+from ..session import materialise
+from .scale import exact_quantiles
 
 MIN_ARTICLES = 20
 
@@ -44,10 +46,12 @@ def page_stats(articles: DataFrame, minimum: int = MIN_ARTICLES) -> DataFrame:
 
 
 def publisher_page_size(stats: DataFrame) -> DataFrame:
-    """Weighted mean, median and plain mean words per page, over the page table."""
+    """Weighted mean, median and plain mean words per page, over the page table, which is written once for both passes."""
+    stats = materialise(stats, "page-stats")
+    middle = exact_quantiles(stats, "mean_words", [0.5])[0]
     return stats.agg(
         (F.sum(F.col("mean_words") * F.col("count")) / F.sum("count")).alias("weighted_mean"),
-        F.median("mean_words").alias("median"), F.avg("mean_words").alias("plain_mean"),
+        F.lit(middle).cast("double").alias("median"), F.avg("mean_words").alias("plain_mean"),
     )
 
 

@@ -140,29 +140,64 @@ def hash_order(key: str, seed: int = 0) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")))
 
 
-def sample_rows(df: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
+def sample_rows(df: DataFrame, key: str, size: int, seed: int = 0, few: int = 100_000) -> DataFrame:
     """Exactly ``min(size, rows)`` rows without replacement, by hash order of a unique key.
 
-    A histogram over the first 16 hash bits finds the bucket in which the sample ends; only that
-    bucket is ranked, so a sample of millions needs no global sort.
+    The sample is the ``size`` least hashes. Counts by the first 16 bits of the hash find where it ends, then by the next
+    16 within that bucket, until at most ``few`` keys are left to put in order. Only hashes and keys move; the rows are
+    then filtered in place by the last hash and key that belong to the sample.
     """
-    hashed = df.withColumn("_h", hash_order(key, seed)).withColumn("_b", F.substring("_h", 1, 4))
-    # at most 65 536 buckets
-    counts = (
-        hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.sum("_n").over(W.orderBy("_b")) - F.col("_n"))
-        .filter(F.col("_before") < size)
-        .select("_b", "_before", (F.col("_before") + F.col("_n") > size).alias("_last"))
-    )
-    picked = hashed.join(F.broadcast(counts), "_b")
-    whole = picked.filter(~F.col("_last"))
-    edge = (
-        picked.filter("_last")
-        .withColumn("_rn", F.row_number().over(W.partitionBy("_b").orderBy("_h", key)))
-        .filter(F.col("_before") + F.col("_rn") <= size)
-        .drop("_rn")
-    )
-    return whole.unionByName(edge).drop("_h", "_b", "_before", "_last")
+    keys = df.select(F.col(key).alias("_key")).filter(F.col(key).isNotNull()).withColumn("_h", hash_order("_key", seed))
+    prefix, before = "", 0
+    while True:
+        within = keys.filter(F.startswith("_h", F.lit(prefix))) if prefix else keys
+        # at most 65 536 buckets
+        counts = within.groupBy(F.substring("_h", len(prefix) + 1, 4).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+        edge = (
+            counts.withColumn("_up_to", F.lit(before) + F.sum("_n").over(W.orderBy("_b")))
+            .filter(F.col("_up_to") >= size).orderBy("_b").first()
+        )
+        if edge is None:
+            return df.filter(F.col(key).isNotNull())  # fewer rows than asked for
+        before, prefix = edge["_up_to"] - edge["_n"], prefix + edge["_b"]
+        if edge["_n"] <= few or len(prefix) == 32:
+            break
+    if size <= before:
+        return df.limit(0)
+    last = keys.filter(F.startswith("_h", F.lit(prefix))).orderBy("_h", "_key").limit(size - before).agg(
+        F.max(F.struct("_h", "_key")).alias("m")).first()["m"]
+    own = hash_order(key, seed)
+    return df.filter((own < last["_h"]) | ((own == last["_h"]) & (F.col(key) <= F.lit(last["_key"]))))
+
+
+def exact_quantiles(df: DataFrame, column: str, quantiles: Sequence[float]) -> list[float | None]:
+    """Quantiles of a column as ``percentile`` gives them, between two values by their distance; nulls are left out.
+
+    Equal values are counted first. The counts lie in ranges of values, a row per range says where a rank falls, and only
+    that range is looked into: no task sees all values. None without values.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = materialise(counts.repartitionByRange("_v").withColumn("_part", F.spark_partition_id()), "values")
+    ranges = placed.groupBy("_part").agg(F.sum("_n").alias("n")).orderBy("_part").collect()  # one row per range
+    total = sum(r["n"] for r in ranges)
+    if not total:
+        return [None for _ in quantiles]
+
+    def value(rank: int) -> float:
+        part = 0
+        while rank >= ranges[part]["n"]:
+            rank -= ranges[part]["n"]
+            part += 1
+        within = placed.filter(F.col("_part") == ranges[part]["_part"]).withColumn(
+            "_up_to", F.sum("_n").over(W.partitionBy("_part").orderBy("_v")))
+        return within.filter(F.col("_up_to") > rank).agg(F.min("_v")).first()[0]
+
+    found = []
+    for q in quantiles:
+        low, share = divmod(q * (total - 1), 1)
+        a = value(int(low))
+        found.append(float(a) if not share else a + (value(int(low) + 1) - a) * share)
+    return found
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column]) -> DataFrame:

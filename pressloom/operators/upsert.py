@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 def set_columns(base: DataFrame, updates: DataFrame, columns: Mapping[str, str] | list[str],
                 key: str = "goid", modify: bool = True) -> DataFrame:
-    """Add or update columns from ``updates`` (one row per key); no row is ever lost.
+    """Add or update columns from ``updates``; no row is ever lost and none is multiplied.
 
     ``columns`` maps update column -> base column. With ``modify`` a new value wins over an old one,
-    without it an old value stays; a null never replaces a value.
+    without it an old value stays; a null never replaces a value. Of updates that repeat a key the greatest value per
+    column counts. Rows are joined as they are: where texts should stay in place, ``sources.enrichment`` keeps the
+    values as a table of their own.
     """
     names = dict(columns) if isinstance(columns, Mapping) else {c: c for c in columns}
-    new = updates.select(key, *[F.col(src).alias(f"_new_{dst}") for src, dst in names.items()])
+    new = updates.groupBy(key).agg(*[F.max(src).alias(f"_new_{dst}") for src, dst in names.items()])
     out = base.join(new, key, "left")
     for dst in names.values():
         old = F.col(dst) if dst in base.columns else F.lit(None).cast(new.schema[f"_new_{dst}"].dataType)
@@ -48,11 +50,10 @@ def table_to_records(records: DataFrame, table: DataFrame, columns: Mapping[str,
 
 
 def records_to_table(table: DataFrame, records: DataFrame, tags: list[str], key: str = "goid") -> DataFrame:
-    """Refresh table columns from records; a matched row takes the record's value even when null."""
-    fresh = records.select(
-        F.col(key).cast("string").alias("_key"), F.lit(True).alias("_hit"),
-        *[F.col(t).alias(f"_new_{t}") for t in tags],
-    )
+    """Refresh table columns from records; a matched row takes the record's value even when null, of records that repeat
+    a key the greatest."""
+    fresh = records.groupBy(F.col(key).cast("string").alias("_key")).agg(
+        F.lit(True).alias("_hit"), *[F.max(t).alias(f"_new_{t}") for t in tags])
     out = table.join(fresh, F.col(key).cast("string") == F.col("_key"), "left")
     for tag in tags:
         old = F.col(tag) if tag in table.columns else F.lit(None)

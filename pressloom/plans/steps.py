@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import labels, text
 from ..operators import classify, clean, sentiment, tfidf, trends, upsert
+from ..operators.scale import lookup_join
+from ..session import materialise
+from ..sources import enrichment, tables
+from ..streaming import commits, incremental
 
 
 def selected_names(scored: DataFrame, threshold: float, probability: str = "is_economic", key: str = "goid") -> DataFrame:
@@ -51,6 +55,51 @@ def score_sentiment(articles: DataFrame, scorer: sentiment.Scorer, title: Mappin
     return upsert.set_columns(articles, scored, [*title.values(), *paragraph.values()], key, modify=False)
 
 
+def enrich_sentiment(articles: DataFrame, scorer: sentiment.Scorer, title: Mapping[str, str], paragraph: Mapping[str, str],
+                     path: str, manifest: DataFrame | None = None) -> str | None:
+    """Score articles of (corpus, goid, title, paragraph_text) and commit the label columns as a version of the enrichment
+    table at ``path``; existing values stay. Only keys and shares are joined, so no text leaves its place.
+
+    A manifest of (corpus, goid) is broadcast while it is small; a longer one meets the articles in a shuffle.
+    """
+    wanted = articles.withColumn("_id", F.struct(*enrichment.KEYS))
+    if manifest is not None:
+        wanted = lookup_join(wanted, manifest.select(F.struct(*enrichment.KEYS).alias("_id")).distinct(), "_id", how="left_semi")
+    titles = sentiment.score_texts(wanted, "title", ["_id"], scorer).select(
+        "_id", *[F.col(label).alias(c) for label, c in title.items()])
+    bodies = sentiment.paragraph_average(wanted, scorer, "_id").select(
+        "_id", *[F.col(label).alias(c) for label, c in paragraph.items()])
+    values = bodies.join(titles, "_id", "left").select("_id.*", *title.values(), *paragraph.values())
+    return enrichment.write(materialise(values, "scores"), path, modify=False)
+
+
+def run_selection(articles: DataFrame, score: Callable[[DataFrame], DataFrame], sink: str, progress: str, threshold: float = 0.5,
+                  step: str = "economic", probability: str = "is_economic") -> tuple[dict, DataFrame]:
+    """Economic selection as one resumable step over (corpus, name, text): pending articles are scored, and probability,
+    choice and log are committed together. Articles without a text are errors. Returns counts and failures."""
+    def choose(df: DataFrame) -> DataFrame:
+        scored = score(df).select("corpus", "name", probability)
+        return scored.withColumn("selected", labels.above_threshold(F.col(probability), threshold)).withColumn(
+            "error", F.when(F.col(probability).isNull(), "no text"))
+
+    return incremental.run_steps(articles, [(choose, {})], sink, progress, step)
+
+
+def selection(spark: SparkSession, sink: str, progress: str, step: str = "economic", probability: str = "is_economic") -> DataFrame:
+    """(corpus, name, probability, selected) of all committed runs; the manifest is where ``selected`` holds."""
+    schema = f"corpus string, name string, {probability} double, selected boolean"
+    return commits.read_rows(spark, sink, progress, step, schema).select("corpus", "name", probability, "selected")
+
+
+def export_pending(articles: DataFrame, folder: str, progress: str, step: str = "export", rows: int = 2000) -> int:
+    """Append the articles of (corpus, name, …) that the log does not hold as chunks of a folder, then log them.
+    Returns how many chunks were written."""
+    todo = materialise(incremental.still_pending(articles, incremental.read_progress(articles.sparkSession, progress, step)), "export")
+    _, number = tables.append_chunks(todo, folder, ["corpus", "name"], rows)
+    incremental.append_progress(todo.select("corpus", "name"), progress, step)
+    return number
+
+
 def analysed(articles: DataFrame, after: int | None = 2003, before: int | None = 2024) -> DataFrame:
     """Cleaned, de-duplicated, salience-weighted rows: the input of every trend table.
 

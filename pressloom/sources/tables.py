@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions import text
 from ..operators.clean import union_all
 from ..operators.scale import global_rank, sample_rows
 from ..schema import CSV_TEXT_COLUMN, EXPORT_COLUMNS, PAGE_SIZES, PUBLISHER_ALIASES
+from ..streaming import commits
 from .records import list_files
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
@@ -30,6 +32,28 @@ def numbered_chunks(lines: DataFrame, size: int, order: Sequence[str], name: str
     )
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): every line of text files with its number in its file, from 1, blank lines counted.
+
+    A large file is read in splits. Lines stand in order within a split, so a count per split places them all: two
+    passes, no sort, and a join with one row per split.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"))
+    splits = lines.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(W.partitionBy("file").orderBy("_block")) - F.col("_n")
+    offsets = splits.select("file", "_block", "_first", before.alias("_before"))
+    return lines.join(F.broadcast(offsets), ["file", "_block"]).select(
+        "file", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line"), "value")
+
+
+def chunks_of_file(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """(file, chunk, name): names of list files in chunks of ``size`` lines; blank lines count and are left out."""
+    named = numbered_lines(spark, path).withColumn("name", text.strip(F.col("value")))
+    return named.filter(F.col("name") != "").select("file", F.floor((F.col("line") - 1) / size).cast("long").alias("chunk"), "name")
+
+
 def sample_files(spark: SparkSession, folder: str, size: int, seed: int = 0) -> DataFrame:
     """(path) ``corpus/name`` of min(size, files) files, repeatable; an empty folder is an error."""
     files = list_files(spark, folder).select(F.concat_ws("/", "corpus", "name").alias("path"))
@@ -85,8 +109,9 @@ def page_sizes(spark: SparkSession) -> DataFrame:
 
 
 def with_text(results: DataFrame, articles: DataFrame, key: str = "goid") -> DataFrame:
-    """Result rows with their article's text, by one join instead of a read per row."""
-    texts = articles.select(F.col(key).cast("string").alias("_key"), F.col("paragraph_text").alias("texts"))
+    """Result rows with their article's text, by one join instead of a read per row. Of articles that repeat a key the
+    least text counts, so no result row is multiplied."""
+    texts = articles.groupBy(F.col(key).cast("string").alias("_key")).agg(F.min("paragraph_text").alias("texts"))
     return results.join(texts, F.col(key).cast("string") == F.col("_key"), "left").drop("_key")
 
 
@@ -118,14 +143,45 @@ def with_chunks(df: DataFrame, order: Sequence[str], rows: int = 2000, highest:
     return ranked.withColumn("chunk", (F.floor((F.col("_rn") - 1) / rows) + 1 + highest).cast("long")).drop("_rn")
 
 
-def append_chunks(df: DataFrame, folder: str, order: Sequence[str], rows: int = 2000) -> None:
-    """Append ``chunk=<n>`` folders whose numbers continue after those already in the folder."""
-    spark = df.sparkSession
-    listed = list_files(spark, folder, "*.csv").select(
-        F.regexp_extract("path", r"/chunk=(\d+)/", 1).try_cast("int").alias("n")).agg(F.max("n")).first() \
-        if _exists(spark, folder) else None
-    highest = -1 if listed is None or listed[0] is None else listed[0]
-    printed(with_chunks(df, order, rows, highest)).write.mode("append").options(**CSV_OPTIONS).partitionBy("chunk").csv(folder)
+def reserve_chunks(spark: SparkSession, folder: str, count: int, wait: float = 10.0) -> int:
+    """First of ``count`` chunk numbers that are this caller's alone, after all that are written or reserved.
+
+    A range is claimed by creating ``_reserved/<first number>``, which one writer only can do; the file says how many
+    numbers go with it. Two writers never share a number; the numbers of a writer that failed stay unused.
+    """
+    held = f"{folder}/_reserved"
+    written = [int(n.removeprefix("chunk=")) + 1 for n in commits.children(spark, folder) if n.removeprefix("chunk=").isdigit()]
+    until = time.monotonic() + wait
+    while True:
+        lengths = {name: commits.text_of(spark, f"{held}/{name}") for name in commits.children(spark, held)}
+        unsaid = [name for name, length in lengths.items() if not length]
+        if not unsaid:
+            first = max([0, *written, *[int(name) + int(length) for name, length in lengths.items()]])
+            if commits.claim(spark, f"{held}/{first:012d}", str(count)):
+                return first
+        elif time.monotonic() > until:  # a writer takes a moment from making its file to writing it
+            raise RuntimeError(f"{held}/{unsaid[0]} reserves no numbers; delete it if its writer is gone")
+        time.sleep(0.05)
+
+
+def append_chunks(df: DataFrame, folder: str, order: Sequence[str], rows: int = 2000) -> tuple[int, int]:
+    """Append ``chunk=<n>`` folders whose numbers continue after those already in the folder, beside other writers too.
+
+    Returns the first number and how many there are.
+    """
+    ranked = global_rank(df, *[F.col(c) for c in order], name="_rn")
+    number = -(-(ranked.agg(F.max("_rn")).first()[0] or 0) // rows)
+    if not number:
+        return 0, 0
+    first = reserve_chunks(df.sparkSession, folder, number)
+    placed = ranked.withColumn("chunk", (F.floor((F.col("_rn") - 1) / rows) + first).cast("long")).drop("_rn")
+    printed(placed).write.mode("append").options(**CSV_OPTIONS).partitionBy("chunk").csv(folder)
+    return first, number
+
+
+def read_chunks(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Rows of ``chunk=<n>`` folders, with their number."""
+    return spark.read.options(**CSV_OPTIONS).schema(f"{schema}, chunk bigint").csv(folder)
 
 
 def _exists(spark: SparkSession, folder: str) -> bool:

@@ -11,6 +11,7 @@ One writer per step and progress folder is assumed; steps may share both folders
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 LOG = "step string, run string, corpus string, name string, status string, error string"
@@ -21,12 +22,40 @@ def _path(spark: SparkSession, path: str):
     return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
 
 
+def claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with a text unless it exists; whether this call made it."""
+    fs, found = _path(spark, path)
+    try:
+        out = fs.create(found, False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in str(e.java_exception) or "already exists" in str(e.java_exception):
+            return False
+        raise
+    out.writeBytes(text)
+    out.close()
+    return True
+
+
+def text_of(spark: SparkSession, path: str) -> str:
+    fs, found = _path(spark, path)
+    stream = fs.open(found)
+    try:
+        return stream.readLine() or ""
+    finally:
+        stream.close()
+
+
 def children(spark: SparkSession, folder: str) -> list[str]:
     """Names in a folder, sorted; none if it does not exist."""
     fs, path = _path(spark, folder)
     return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    fs, path = _path(spark, folder)
+    fs.delete(path, True)
+
+
 def _markers(progress: str, step: str) -> str:
     return f"{progress}/_commits/{step}"
 
@@ -124,8 +153,7 @@ def sweep(spark: SparkSession, sink: str, progress: str, step: str) -> list[str]
     for root in (f"{sink}/step={step}", f"{progress}/step={step}"):
         for name in children(spark, root):
             if name.startswith("run=") and name.removeprefix("run=") not in done:
-                fs, path = _path(spark, f"{root}/{name}")
-                fs.delete(path, True)
+                delete(spark, f"{root}/{name}")
                 gone.add(name.removeprefix("run="))
     return sorted(gone)
 

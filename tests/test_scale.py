@@ -135,3 +135,22 @@ def test_tables_are_broadcast_by_bytes_too(spark, monkeypatch):
     split = scale.lookup_join(facts, table, "key", absent=True)
     assert "Union" not in plan(whole) and "Union" in plan(split)
     assert sorted(map(tuple, whole.select("id", "key", "v").collect())) == sorted(map(tuple, split.select("id", "key", "v").collect()))
+
+
+def test_sample_moves_keys_only(spark):
+    """Two levels of buckets, and no exchange of the rows themselves."""
+    rows = spark.range(3000).select(F.concat(F.col("id").cast("string"), F.lit(".xml")).alias("name"), F.repeat(F.lit("x"), 100).alias("text"))
+    whole = scale.sample_rows(rows, "name", 1234, seed=3)
+    deep = scale.sample_rows(rows, "name", 1234, seed=3, few=0)
+    assert "Exchange" not in plan(whole)
+    assert sorted(r.name for r in whole.collect()) == sorted(r.name for r in deep.collect()) and whole.count() == 1234
+    assert scale.sample_rows(rows, "name", 0).count() == 0
+
+
+def test_exact_quantiles_equal_percentile(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 11 == 0, None).otherwise((F.col("id") * 7919 % 1013) / 8).alias("v"))
+    quantiles = [0.0, 0.1, 0.5, 0.501, 0.77, 1.0]
+    want = [rows.agg(F.percentile("v", q)).first()[0] for q in quantiles]
+    got = scale.exact_quantiles(rows, "v", quantiles)
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
+    assert scale.exact_quantiles(rows.limit(0), "v", [0.5]) == [None]

@@ -116,3 +116,44 @@ def test_first_copy_survives(spark):
     once = clean.distinct_by_text(rows, F.col("text"))
     assert sorted((r.goid, r.text) for r in once.collect()) == [("1", "a"), ("1", "b")]
     assert once.columns == rows.columns and clean.distinct_by_text(once, F.col("text")).count() == 2
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    """Files of several splits, with blank lines and without a last line end."""
+    want = {}
+    for name, n in (("a.txt", 5000), ("b.txt", 1), ("c.txt", 700)):
+        lines = ["" if i % 7 == 3 else f"name {i} " + "x" * (i % 50) for i in range(n)]
+        (tmp_path / name).write_text("\n".join(lines) + ("\n" if name == "a.txt" else ""))
+        want |= {(name, i + 1): line for i, line in enumerate(lines) if line or i < n}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        lines = tables.numbered_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 5
+        assert {(r.file.rsplit("/", 1)[1], r.line): r.value for r in lines.collect()} == want
+        chunks = [r for r in tables.chunks_of_file(spark, str(tmp_path / "a.txt"), 100).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r.name, r.chunk) for r in chunks} == {(v.strip(), (i - 1) // 100) for (f, i), v in want.items() if f == "a.txt" and v.strip()}
+
+
+def test_chunk_numbers_of_two_writers_never_clash(spark, tmp_path):
+    folder = str(tmp_path / "c")
+    assert [tables.reserve_chunks(spark, folder, n) for n in (3, 1, 2)] == [0, 3, 4]
+    rows = spark.range(10).select(F.col("id").alias("n"))
+    assert tables.append_chunks(rows, folder, ["n"], 4) == (6, 3)
+    (tmp_path / "c" / "chunk=20").mkdir()  # written by something that reserves nothing
+    assert tables.append_chunks(rows, folder, ["n"], 5) == (21, 2) and tables.append_chunks(rows.limit(0), folder, ["n"]) == (0, 0)
+    found = tables.read_chunks(spark, folder, "n bigint").groupBy("chunk").agg(F.count("n").alias("k")).collect()
+    assert {r.chunk: r.k for r in found} == {6: 4, 7: 4, 8: 2, 21: 5, 22: 5}
+    (tmp_path / "c" / "_reserved" / "000000000023").touch()
+    import pytest
+
+    with pytest.raises(RuntimeError, match="reserves no numbers"):
+        tables.reserve_chunks(spark, folder, 1, wait=0.2)
+
+
+def test_text_of_a_repeated_article_is_joined_once(spark):
+    articles = spark.createDataFrame([("1", ["b"]), ("1", ["a"])], "goid string, paragraph_text array<string>")
+    results = spark.createDataFrame([("1", 0.5)], "goid string, v double")
+    assert [r.texts for r in tables.with_text(results, articles).collect()] == [["a"]]

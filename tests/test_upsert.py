@@ -46,3 +46,10 @@ def test_records_to_table(spark):
 
 def test_rescore(spark):
     assert values(upsert.rescore_missing(base(spark), "score", F.lit(0.7))) == {"1": 0.5, "2": 0.7, "3": 0.7}
+
+
+def test_updates_that_repeat_a_key_multiply_nothing(spark):
+    base = spark.createDataFrame([("1", "old"), ("2", None)], "goid string, tag string")
+    updates = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "c"), ("2", None)], "goid string, tag string")
+    assert sorted(map(tuple, upsert.set_columns(base, updates, ["tag"]).collect())) == [("1", "b"), ("2", "c")]
+    assert sorted(map(tuple, upsert.records_to_table(base, updates, ["tag"]).collect())) == [("1", "b"), ("2", "c")]
