@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.scale import BROADCAST_ROWS, lookup_join
+from ..operators.scale import lookup_join
 from ..session import materialise
 
 
@@ -30,7 +30,7 @@ def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def components(edges: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def components(edges: DataFrame, limit: int | None = None) -> DataFrame:
     """(id, component) of every vertex that is not the least of its component.
 
     ``edges`` has columns (a, b); loops and repeated edges do no harm. Rounds follow the logarithm of the longest

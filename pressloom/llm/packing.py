@@ -27,7 +27,7 @@ from . import words
 
 CAPACITY = 4096
 GROUP_BYTES = 4 << 20
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 1 << 18
 
 
 class WordEncoder:

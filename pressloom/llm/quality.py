@@ -174,4 +174,4 @@ def keep_good(docs: DataFrame, model: QualityModel, content: str = "text") -> Da
         for batch in batches:
             yield batch.filter(pa.array(model.scores(words.texts_of(batch.column(at))) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return words.map_texts(docs, run, docs.schema)

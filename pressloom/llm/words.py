@@ -6,9 +6,11 @@ zero by the inverse power: the same 64 bits wherever the word stands, without a
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, types as T
 
 SEGMENT = 1 << 20  # bytes hashed at once
 BASE = 0x9E3779B97F4A7C15
@@ -106,6 +108,26 @@ def groups(texts: Sequence[bytes], limit: int = SEGMENT) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+SPARK_BATCH, TEXT_BATCH = "67108864b", "8m"
+
+
+def map_texts(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` over whole texts, in batches of a few MB: a batch is held several times over on its way.
+
+    The batch size is a setting of the session; it is lowered from Spark's own value once and left alone if it was set.
+    """
+    conf = rows.sparkSession.conf
+    if conf.get(BATCH) == SPARK_BATCH:
+        conf.set(BATCH, TEXT_BATCH)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return rows.mapInArrow(whole, schema)
+
+
 def ngrams(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k words, in order."""
     if len(words) < k:
@@ -118,8 +140,6 @@ def ngrams(words: np.ndarray, k: int) -> np.ndarray:
 
 def texts_of(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null is empty."""
-    import pyarrow as pa
-
     return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
 
 
