@@ -3,10 +3,11 @@
 Every text is sampled by minimizers: of any ``window`` word k-mers in a row the one of least hash is a seed, so two
 texts that share ``k + window - 1`` words in a row share a seed. A seed's first occurrence (least key, then place)
 stands for all: every other occurrence is matched with it, so a passage found in a third of all documents makes one
-match each and no pairs. A passage whose parts occur first in several places would be cut by that into pieces, so any
-two repeated seeds ``min_span`` to ``min_words`` words apart that do not occur first near each other in one text are
-a seed of their own, matched with the first text that holds both. What can still be missed is a passage of which every
-such two were held together before, by texts that do not share enough of it. Matches of a document with one earlier document are merged along diagonals and chained:
+match each and no pairs. A passage whose parts occur first in several places would be cut by that into pieces, so each
+repeated seed and the next one ``min_span`` to ``min_words`` words behind it, where the two do not occur first near each
+other in one text, are a seed of their own, matched with the first text that holds both. What can still be missed is a
+passage of which every such two were held together before, by texts that do not share enough of it, or were parted by
+edits in every place where the sources change. Matches of a document with one earlier document are merged along diagonals and chained:
 among matches in order in both texts, the chain with the best sum of matched words less a gap cost per word skipped,
 each step at most ``max_gap`` words in either text: a range maximum in a tree that matches leave once they are too far behind. A chain is then aligned: the words between its matches by longest
 common subsequence, its ends by extension over small edits. What is at least ``min_words`` long and ``min_identity``
@@ -69,8 +70,8 @@ def seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
 
 
 def seams(met: DataFrame, least: int, most: int) -> DataFrame:
-    """(seed of two, key, at, end) of every two repeated seeds of a text ``least`` to ``most`` words apart whose first
-    occurrences are not near each other in one text, which is the same for all texts that hold the two."""
+    """(seed of two, key, at, end) of every repeated seed of a text with the next one ``least`` to ``most`` words behind it,
+    if their first occurrences are not near each other in one text, which is the same for all texts that hold the two."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("_m")
@@ -81,19 +82,17 @@ def seams(met: DataFrame, least: int, most: int) -> DataFrame:
             at, seed, source_at, source = (x[bounds[0] : bounds[-1]].astype(np.int64) for x in (at, seed, source_at, source))
             order = np.lexsort((at, text))
             at, seed, source_at, source, text = (x[order] for x in (at, seed, source_at, source, text))
-            rows, both, start, end = [], [], [], []
-            for step in range(1, len(at)):
-                i, j = np.arange(len(at) - step), np.arange(step, len(at))
-                near = (text[i] == text[j]) & (at[j] - at[i] <= most)
-                if not near.any():
-                    break
-                apart = source_at[j] - source_at[i]
-                found = np.flatnonzero(near & (at[j] - at[i] >= least) & ((source[i] != source[j]) | (apart <= 0) | (apart > most + MAX_GAP)))
-                rows.append(text[found])
-                both.append(words.ngrams(np.stack((seed[found], seed[found + step]), 1).reshape(-1).view(np.uint64), 2)[::2])
-                start.append(at[found])
-                end.append(at[found + step])
-            whole = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, both, start, end)]
+            # the first seed far enough behind each seed, in the same text
+            width = int(at.max(initial=0)) + most + 2
+            line = text * width + at
+            i = np.arange(len(at))
+            j = np.searchsorted(line, line + least)
+            i, j = i[j < len(at)], j[j < len(at)]
+            apart = source_at[j] - source_at[i]
+            found = (text[i] == text[j]) & (at[j] - at[i] <= most) & ((source[i] != source[j]) | (apart <= 0) | (apart > most + MAX_GAP))
+            i, j = i[found], j[found]
+            both = words.ngrams(np.stack((seed[i], seed[j]), 1).reshape(-1).view(np.uint64), 2)[::2]
+            whole = [text[i], both, at[i], at[j]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(whole[1].view(np.int64)), batch.column("key").take(pa.array(whole[0].astype(np.int64))),
                  pa.array(whole[2].astype(np.int32)), pa.array(whole[3].astype(np.int32))], names=["seed", "key", "at", "end"])
