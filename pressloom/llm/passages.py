@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.scale import lookup_join, salted_join
-from ..session import materialise
+from ..session import materialise, scratch
 from . import words
 
 K, WINDOW = 4, 6
@@ -66,7 +66,7 @@ def seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
                     [pa.array(np.concatenate(found).view(np.int64)), batch.column("key").take(pa.array(np.concatenate(rows))),
                      pa.array(np.concatenate(places).astype(np.int32))], names=["seed", "key", "at"])
 
-    return docs.mapInArrow(run, T.StructType([T.StructField("seed", T.LongType()), docs.schema["key"], T.StructField("at", T.IntegerType())]))
+    return words.map_texts(docs, run, T.StructType([T.StructField("seed", T.LongType()), docs.schema["key"], T.StructField("at", T.IntegerType())]))
 
 
 def seams(met: DataFrame, least: int, most: int) -> DataFrame:
@@ -244,13 +244,29 @@ def _words(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(data)))
                 yield pa.RecordBatch.from_arrays([batch.column("key"), lists], names=["key", "words"])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema["key"], T.StructField("words", T.ArrayType(T.IntegerType()))]))
+    return words.map_texts(docs, run, T.StructType([docs.schema["key"], T.StructField("words", T.ArrayType(T.IntegerType()))]))
 
 
 def find(docs: DataFrame, key: str = "doc_id", content: str = "text", k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS,
          min_identity: float = MIN_IDENTITY, min_span: int = MIN_SPAN) -> DataFrame:
     """One row per repeated passage: key, start_word, end_word, source_id, source_start, source_end, matching_words, identity."""
+    spark = docs.sparkSession
     texts = docs.select(F.col(key).alias("key"), F.col(content).alias("text")).filter(F.col("key").isNotNull())
+    with scratch(spark):
+        with scratch(spark):
+            pairs = materialise(_pairs(texts, k, window, min_words, min_span), "pairs", keep=True)
+        needed = materialise(pairs.select(F.explode(F.array("key", "source")).alias("key")).distinct(), "needed")
+        read = lookup_join(texts, needed, "key").groupBy("key").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
+        held = materialise(_words(read), "words")
+        left = pairs.join(held.withColumnRenamed("words", "_a"), "key")
+        both = salted_join(left, held.select(F.col("key").alias("source"), F.col("words").alias("_b")), "source", "key", per_task=1000)
+        found = materialise(_aligned(both, texts.schema["key"], k, min_words, min_identity, min_span), "passages", keep=True)
+    return found.select(F.col("key").alias(key), "start_word", "end_word", F.col("source").alias("source_id"),
+                        "source_start", "source_end", "matching_words", "identity")
+
+
+def _pairs(texts: DataFrame, k: int, window: int, min_words: int, min_span: int) -> DataFrame:
+    """(key, source, at, source_at): documents with enough matches with one earlier document; its tables are the caller's to drop."""
     # made anew for each use: a table of all seeds would be as large as the texts
     all_seeds = seeds(texts, k, window)
     first = all_seeds.groupBy("seed").agg(F.min(F.struct("key", "at")).alias("_first"), F.count(F.lit(1)).alias("_n"))
@@ -267,15 +283,13 @@ def find(docs: DataFrame, key: str = "doc_id", content: str = "text", k: int = K
     pairs = matches.groupBy("key", "source").agg(
         F.collect_set(F.struct("at", "source_at")).alias("_m"), F.min("at").alias("_low"), F.max("at").alias("_high"))
     pairs = pairs.filter((F.size("_m") > 1) & (F.col("_high") - F.col("_low") + k >= min_span))
-    pairs = materialise(pairs.select("key", "source", F.col("_m.at").alias("at"), F.col("_m.source_at").alias("source_at")), "pairs")
-    needed = materialise(pairs.select(F.explode(F.array("key", "source")).alias("key")).distinct(), "needed")
-    read = lookup_join(texts, needed, "key").groupBy("key").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
-    held = materialise(_words(read), "words")
-    left = pairs.join(held.withColumnRenamed("words", "_a"), "key")
-    both = salted_join(left, held.select(F.col("key").alias("source"), F.col("words").alias("_b")), "source", "key", per_task=1000)
+    return pairs.select("key", "source", F.col("_m.at").alias("at"), F.col("_m.source_at").alias("source_at"))
 
+
+def _aligned(both: DataFrame, key: T.StructField, k: int, min_words: int, min_identity: float, min_span: int) -> DataFrame:
+    """Chains and alignments of pairs with both texts' words."""
     names = ("start_word", "end_word", "source_start", "source_end", "matching_words")
-    out = T.StructType([texts.schema["key"], T.StructField("source", texts.schema["key"].dataType)]
+    out = T.StructType([key, T.StructField("source", key.dataType)]
                        + [T.StructField(n, T.LongType()) for n in names] + [T.StructField("identity", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,5 +316,4 @@ def find(docs: DataFrame, key: str = "doc_id", content: str = "text", k: int = K
                 yield pa.RecordBatch.from_arrays([batch.column("key").take(pick), batch.column("source").take(pick)]
                                                  + [pa.array(c, t) for c, t in zip(columns, kinds)], names=out.names)
 
-    return both.mapInArrow(run, out).select(F.col("key").alias(key), "start_word", "end_word", F.col("source").alias("source_id"),
-                                            "source_start", "source_end", "matching_words", "identity")
+    return both.mapInArrow(run, out)
