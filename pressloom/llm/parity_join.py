@@ -4,7 +4,8 @@ A text's set of shingles is XOR-hashed into bits: every shingle flips one bit, s
 sketches never exceeds the size of the symmetric difference of the sets. At similarity t two sets of sizes a and
 b differ in at most D = (a + b)(1 - t)/(1 + t) shingles, and a set of n shingles differs from any partner in at most
 n(1 - t)/t. Within a band of sizes the sketch is cut into P parts, more than D; sets that link agree in at least
-P - D of them. The parts are the join keys.
+P - D of them. The parts are the join keys. A part has so many bits that two of them agree by chance as good as never,
+so what is found in a part does not grow with the number of texts; it is kept as a hash of its set bits.
 
 Most parts of most texts stand nowhere else. They are counted first, and a text leaves a band if fewer than P - D of
 its parts are found in other texts. This is done once more among the texts that are left. Of the rest, each is listed
@@ -39,7 +40,7 @@ from .components import components
 
 BAND_RATIO = 1.5
 SLACK = 1.35  # parts for each one that may differ
-PART_BITS = 128
+PART_BITS = 40  # a part is a sketch of 2^40 bits, of which few are set
 SKETCH_WORDS = 32  # longs of the whole sketch that guards pairs
 GLANCE = 64  # one listed row in so many is looked at to find hot buckets
 HOT = 10_000  # most buckets whose rows are dealt out
@@ -93,15 +94,15 @@ class Bands:
             parts = int((most + 1) * SLACK) + 2 if most else 1
             own = min(most, n * (100 - self.percent) // self.percent)
             part = (shingles % np.uint64(parts)).astype(np.int64)
-            bit = (shingles >> np.uint64(50)).astype(np.int64) % PART_BITS
-            flips = np.bincount(part * PART_BITS + bit, minlength=parts * PART_BITS) & 1
-            sketch = np.packbits(flips.astype(np.uint8)).view(np.uint64).reshape(parts, PART_BITS // 64)
-            held = np.flatnonzero(np.bincount(part, minlength=parts))
+            order = np.argsort(part, kind="stable")
+            first = np.flatnonzero(np.diff(part[order], prepend=-1))
+            held = part[order][first]
+            # the set bits of a part as the XOR of their numbers' hashes: a bit that is flipped twice cancels out
+            bits = np.zeros(parts, np.uint64)
+            bits[held] = np.bitwise_xor.reduceat(words.mixed(shingles >> np.uint64(64 - PART_BITS))[order], first)
             listed, need = (held, len(held) - own) if len(held) > own else (np.arange(parts), 1)
             key = words.mixed(np.uint64(band << 40) + listed.astype(np.uint64))
-            for j in range(PART_BITS // 64):
-                key = words.mixed(key * np.uint64(words.BASE) + sketch[listed, j])
-            found.append((band << 32 | need, key))
+            found.append((band << 32 | need, words.mixed(key * np.uint64(words.BASE) + bits[listed])))
         return found
 
 
