@@ -94,6 +94,20 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
 
 
+def term_counts(words: Column) -> Column:
+    """Distinct words of an array with how often they stand there, as structs (term, n), within the row: the words are
+    sorted and the runs of equal ones measured."""
+    def runs(ordered: Column) -> Column:
+        size = F.size(ordered)
+        at = F.transform(ordered, lambda w, i: F.when((i == 0) | (w != F.get(ordered, i - 1)), i))
+        def measured(starts: Column) -> Column:
+            ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(size))
+            return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(ordered, a).alias("term"), (b - a).cast("long").alias("n")))
+        found = let(F.filter(at, lambda i: i.isNotNull()), measured)
+        return F.when(size > 0, found).otherwise(F.array().cast("array<struct<term:string,n:bigint>>"))
+    return F.when(words.isNotNull(), let(F.array_sort(words), runs))
+
+
 def without(words: Column, stop_words: Iterable[str]) -> Column:
     """Drop stop words from an array; the list is small, fixed and part of the plan."""
     stop = sorted(set(stop_words))

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
 from ..schema import STOP_WORDS
-from ..session import shared_path
+from ..session import materialise, shared_path, spread
 from . import clean, tfidf
+from .scale import lookup_join
 
 FEATURES = 1000
 
@@ -72,16 +73,25 @@ def score(df: DataFrame, model: PipelineModel, content: str = "text", name: str
 
 def score_with_coefficients(docs: DataFrame, model: tfidf.TfidfModel, coefficients: DataFrame, intercept: float,
                             key: str = "goid", content: str = "text", name: str = "is_economic") -> DataFrame:
-    """The same probability from a (term, coefficient) table of bounded size, without an ML model."""
-    weights = tfidf.scores(tfidf.transform(docs, model, key, content), key)
-    margins = weights.join(F.broadcast(coefficients), "term").groupBy(key).agg(
-        F.sum(F.col("score") * F.col("coefficient")).alias("_margin"))
+    """The same probability from a (term, coefficient) table of bounded size, without an ML model.
+
+    Terms are counted within their row and meet the small vocabulary by broadcast, so each task adds up its own documents
+    and the shuffle holds two sums a document.
+    """
+    terms = model.terms.select("term", "idf").join(coefficients.select("term", "coefficient"), "term", "left")
+    rows = spread(docs.select(key, content), key).select(key, F.inline(text.term_counts(tfidf.term_array(F.col(content), STOP_WORDS))))
+    raw = F.col("n") * F.col("idf")
+    sums = lookup_join(rows, materialise(terms, "coefficients"), "term").groupBy(key).agg(
+        F.sum(raw * raw).alias("_square"), F.sum(raw * F.col("coefficient")).alias("_sum"))
+    margins = sums.select(key, (F.col("_sum") / F.sqrt("_square")).alias("_margin"))
+    # the text itself is not needed beside the margin
+    docs = docs.withColumn("_there", F.col(content).isNotNull())
     margin = F.coalesce("_margin", F.lit(0.0)) + F.lit(intercept)
     probability = F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)), 4)
     return (
         docs.join(margins, key, "left")
-        .withColumn(name, F.when(F.col(content).isNotNull(), probability))
-        .drop("_margin")
+        .withColumn(name, F.when(F.col("_there"), probability))
+        .drop("_margin", "_there")
     )
 
 

@@ -56,11 +56,8 @@ class LexiconScorer:
 
     def __call__(self, df: DataFrame, text_col: str, key_cols: Sequence[str]) -> DataFrame:
         keys = list(key_cols)
-        rows = (
-            df.filter(F.col(text_col).isNotNull()).select(*keys, text_col).repartition(*keys)
-            .select(*keys, F.explode_outer(text.tokens(F.col(text_col))).alias("term"))
-            .groupBy(*keys, "term").agg(F.count("term").alias("n"))
-        )
+        # words are counted within their text; only keys and counts are written and moved
+        rows = df.filter(F.col(text_col).isNotNull()).select(*keys, F.inline_outer(text.term_counts(text.tokens(F.col(text_col)))))
         # most frequent words are neutral, so the lexicon lacks them
         marked = lookup_join(materialise(rows, "term-counts"), self.lexicon.select("term", "mark"), "term", how="left", absent=True)
 
@@ -69,7 +66,7 @@ class LexiconScorer:
 
         counts = marked.groupBy(*keys).agg(
             tokens_with(F.col("mark") == 1).alias("_p"), tokens_with(F.col("mark") == -1).alias("_m"),
-            F.sum("n").alias("_all"),
+            F.coalesce(F.sum("n"), F.lit(0)).alias("_all"),
         )
         shares = distribution(F.col("_p"), F.col("_m"), F.col("_all") - F.col("_p") - F.col("_m"), self.classes)
         return counts.select(*keys, *[c.alias(k) for k, c in shares.items()])

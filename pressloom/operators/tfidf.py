@@ -52,9 +52,9 @@ def document_frequencies(docs: DataFrame, content: str = "text", stop_words: Ite
 
 def term_totals(docs: DataFrame, key: str = "doc_id", content: str = "text",
                 stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
-    """(term, tf, df): occurrences and documents per term."""
-    return term_rows(docs, key, content, stop_words).groupBy("term").agg(
-        F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+    """(term, tf, df): occurrences and documents per term, counted within each text first; no text is moved."""
+    rows = spread(docs.select(content)).select(F.inline(text.term_counts(term_array(F.col(content), stop_words))))
+    return rows.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
 def bounded_vocabulary(totals: DataFrame, size: int) -> DataFrame:

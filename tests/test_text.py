@@ -116,3 +116,9 @@ def test_paragraphs_decode_references_once_and_after_the_markup(spark):
     page = "<p>it&#8217;s caf&eacute; &mdash; time</p><p>a &lt;b&gt; &amp;lt;c</p><p>no&nbsp;break&#160;space &copy 2020</p>"
     got = spark.createDataFrame([(page,)], "h string").select(text.html_paragraphs(F.col("h")).alias("p")).first().p
     assert got == ["it’s café — time", "a <b> &lt;c", "no break space © 2020"]
+
+
+def test_terms_are_counted_within_the_row(spark):
+    rows = [(["b", "a", "b", "c", "b"],), (["x"],), ([],), (None,), (["y", "y"],)]
+    got = [r.c for r in spark.createDataFrame(rows, "w array<string>").select(text.term_counts(F.col("w")).alias("c")).collect()]
+    assert [None if c is None else [tuple(x) for x in c] for c in got] == [[("a", 1), ("b", 3), ("c", 1)], [("x", 1)], [], None, [("y", 2)]]
