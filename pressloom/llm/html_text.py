@@ -4,7 +4,9 @@ A page is read into leaf blocks: runs of text between the edges of block-level e
 above it. The field labels the blocks of a page in order, from the tags and the class, id and role words of a
 block's ancestors, its length, link share, punctuation and place; Viterbi decoding picks the main blocks. It is
 trained on labelled pages that are laid out here from common page furniture (menus, headers, sidebars, notices,
-adverts, forms, comments, related links) around articles, filled with texts of a bounded sample of the given pages.
+adverts, forms, comments, related links), around articles and within them, shown and hidden, under usual names and
+under none. They are filled with texts of a bounded sample: the first ``SAMPLE_CHARS`` characters of ``SAMPLE_PAGES``
+pages. Pages are read whole when their text is extracted.
 
 Scripts, styles and comments are no blocks. Character references are decoded, white space in a block becomes one
 space, blocks are trimmed and joined by a line feed; nothing else is dropped or capped.
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .crf import Chain
 
-SAMPLE_PAGES = 200
+SAMPLE_PAGES, SAMPLE_CHARS = 200, 20_000
 TRAIN_PAGES = 500
 
 # fixed values: HTML elements by how they are read
@@ -36,12 +38,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("""html body address article aside blockquote button caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr label legend li main menu nav ol p pre search section summary table tbody td tfoot
 th thead tr ul""".split())
+CONTAINERS = frozenset("body article aside div dialog fieldset footer form header ins main menu nav section td".split())
 CLOSES_P = BLOCK - frozenset("body html button caption dd dt label legend li summary tbody td tfoot th thead tr".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
             "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]{0,20000}"|'[^']{0,20000}')*+|[^>]*)>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.S)
 NAME = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDE = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none""", re.I)
@@ -132,6 +135,13 @@ def path_features(path: tuple) -> set[str]:
                 out.add(f"s:{w[:4]}")
         if depth == len(path) - 1:
             out.add(f"leaf:{tag}")
+    # the innermost container says more than those around it
+    tag, names = next(((t, n) for t, n in reversed(path) if t in CONTAINERS), ("", ""))
+    out.add(f"near:{tag}")
+    for w in WORD.findall(names):
+        out.add(f"nearc:{w.lower()}")
+    if any(n == "HIDDEN" for _, n in path):
+        out.add("unseen")
     return out
 
 
@@ -192,14 +202,23 @@ div:comment|div:replies|ul:comments|div:respond|article:comment|div:reader-comme
 }
 
 
-def _open(spec: str, rng: random.Random) -> tuple[str, str]:
+HIDINGS = (" hidden", ' style="display:none"', ' style="color:red; display: none"', ' hidden="hidden"')
+# Containers that tell by their tag alone what they hold.
+TELLING = frozenset("nav menu header footer aside form fieldset dialog ins".split())
+
+
+def _open(spec: str, rng: random.Random, strange: float = 0.0, hide: float = 0.0) -> tuple[str, str]:
+    """Start and end tag of a container; a share of them has names of no meaning, or none where the tag tells, or is hidden."""
     tag, _, names = spec.partition(":")
-    if rng.random() < 0.3:
+    if rng.random() < strange:
+        names = "" if tag in TELLING and rng.random() < 0.5 else "".join(rng.choices("bdfgkmprtvz", k=1) + rng.choices("aeiou", k=1) + rng.choices("bdfgkmprtvz0123456789", k=4))
+    elif rng.random() < 0.3:
         names = f"{names} {rng.choice(('box', 'row', 'col', 'wrap', 'inner', 'clearfix', 'x1', 'block', 'container'))}".strip()
     if tag == "body":
         return "", ""
     at = rng.choice(("class", "class", "id"))
-    return (f'<{tag} {at}="{names}">' if names else f"<{tag}>"), f"</{tag}>"
+    hidden = rng.choice(HIDINGS) if rng.random() < hide else ""
+    return (f'<{tag} {at}="{names}"{hidden}>' if names else f"<{tag}{hidden}>"), f"</{tag}>"
 
 
 def labelled_page(rng: random.Random, texts: Sequence[str]) -> tuple[str, set[str]]:
@@ -216,13 +235,17 @@ def labelled_page(rng: random.Random, texts: Sequence[str]) -> tuple[str, set[st
             main.add(" ".join(words))
         return html.escape(" ".join(words), quote=False)
 
-    def furniture(kind: str) -> str:
-        start, end = _open(rng.choice(FURNITURE[kind].replace("\n", "").split("|")), rng)
+    def furniture(kind: str, inside: bool = False) -> str:
+        spec = rng.choice(FURNITURE[kind].replace("\n", "").split("|"))
+        # a plain container without a name cannot be told from the article that it stands in
+        strange = 0.4 if spec.partition(":")[0] in TELLING else 0.0 if inside else 0.1
+        start, end = _open(spec, rng, strange, 0.05)
         few = rng.randint(1, 6)
         if kind == "menu" or kind in ("foot", "side", "head") and rng.random() < 0.5:
             body = "<ul>" + "".join(f'<li><a href="/{i}">{fill(rng.randint(1, 3))}</a></li>' for i in range(few)) + "</ul>"
         elif kind == "form":
             body = "".join(f"<label>{fill(3)}</label><input>" for _ in range(few // 2 + 1)) + f"<button>{fill(2)}</button>"
+            body = f"<p>{fill()}</p>{body if rng.random() < 0.5 else ''}" if rng.random() < 0.3 else body
         elif kind == "talk":
             tag = rng.choice(("p", "li", "div", "article"))
             body = f"<h3>{fill(2)}</h3>" + "".join(f"<{tag}>{fill(rng.choice((8, 30, None)))}</{tag}>" for _ in range(few))
@@ -231,8 +254,14 @@ def labelled_page(rng: random.Random, texts: Sequence[str]) -> tuple[str, set[st
             body = "".join(f"<{tag}>{fill(rng.choice((3, 10, None)))}</{tag}>" if tag else fill(12) for _ in range(few if tag else 1))
         return f"{start}{body}{end}"
 
+    def unseen() -> str:
+        """A hidden block that looks like a part of the article."""
+        tag = rng.choice(("div", "p", "section", "span", "div"))
+        tag = "div" if tag == "span" else tag
+        return f"<{tag}{rng.choice(HIDINGS)}>" + (f"<p>{fill()}</p>" if tag != "p" else fill()) + f"</{tag}>"
+
     def article() -> str:
-        start, end = _open(rng.choice(ARTICLES), rng)
+        start, end = _open(rng.choice(ARTICLES), rng, 0.1)
         title = f"<h1>{fill(12, True)}</h1>"
         body = [f"<header>{title}</header>" if start.startswith("<article") and rng.random() < 0.3 else title]
         for _ in range(rng.randint(1, 14)):
@@ -245,12 +274,14 @@ def labelled_page(rng: random.Random, texts: Sequence[str]) -> tuple[str, set[st
                 body.append(f"<blockquote><p>{fill(None, True)}</p></blockquote>")
             elif kind < 0.93:
                 body.append("<ul>" + "".join(f"<li>{fill(rng.choice((4, 15)), True)}</li>" for _ in range(3)) + "</ul>")
-            elif kind < 0.96:
-                body.append("<table><tr>" + "".join(f"<td>{fill(3, True)}</td>" for _ in range(4)) + "</tr></table>")
             else:
-                body.append(furniture(rng.choice(("ad", "side", "notice", "form"))))
-        if rng.random() < 0.15:
-            body.append(furniture("talk"))
+                body.append("<table><tr>" + "".join(f"<td>{fill(3, True)}</td>" for _ in range(4)) + "</tr></table>")
+            if rng.random() < 0.25:
+                body.append(furniture(rng.choice(("ad", "ad", "side", "side", "notice", "form", "talk", "talk")), True))
+            elif rng.random() < 0.05:
+                body.append(unseen())
+        if rng.random() < 0.4:
+            body.append(furniture(rng.choice(("ad", "talk", "talk", "side")), True))
         return f"{start}{''.join(body)}{end}"
 
     before = [furniture(rng.choice(("menu", "menu", "head", "head", "notice", "ad", "form", "side"))) for _ in range(rng.randint(0, 4))]
@@ -262,9 +293,10 @@ def labelled_page(rng: random.Random, texts: Sequence[str]) -> tuple[str, set[st
 
 
 def train(pages: DataFrame, key: str = "page_id", content: str = "html", sample_pages: int = SAMPLE_PAGES,
-          train_pages: int = TRAIN_PAGES, seed: int = 0) -> Extractor:
-    """Fit on ``train_pages`` laid-out pages, filled with block texts of ``sample_pages`` pages (least hash first)."""
-    chosen = pages.select(F.col(key), F.substring(content, 1, 20_000).alias("_html")).orderBy(
+          train_pages: int = TRAIN_PAGES, seed: int = 0, sample_chars: int = SAMPLE_CHARS) -> Extractor:
+    """Fit on ``train_pages`` laid-out pages, filled with block texts from the first ``sample_chars`` characters of
+    ``sample_pages`` pages (least hash first)."""
+    chosen = pages.select(F.col(key), F.substring(content, 1, sample_chars).alias("_html")).orderBy(
         F.xxhash64(key), F.xxhash64("_html")).limit(sample_pages)
     texts = sorted({b.text for r in chosen.toLocalIterator() for b in blocks(r["_html"] or "")}) or ["a text of some words."]
     rng = random.Random(seed)
@@ -278,7 +310,7 @@ def train(pages: DataFrame, key: str = "page_id", content: str = "html", sample_
         for i, own in enumerate(features):
             x[i, [rows[f] for f in own]] = 1
         chains.append((x, np.array([b.text in main for b in found], float)))
-    return Extractor(Chain(len(rows)).fit(chains, steps=120), rows)
+    return Extractor(Chain(len(rows)).fit(chains, steps=200), rows)
 
 
 def extract(pages: DataFrame, model: Extractor, key: str = "page_id", content: str = "html") -> DataFrame:
