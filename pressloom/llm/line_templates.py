@@ -1,14 +1,13 @@
 """Line de-duplication by a log-template tree, in DataFrame operations only.
 
-A line of ``min_tokens`` tokens or more belongs to a leaf of a fixed-depth tree: its number of tokens, then its
+A line of ``min_tokens`` tokens or more (any line with a token, unless asked otherwise) belongs to a leaf of a fixed-depth tree: its number of tokens, then its
 first ``depth`` tokens, where a token with a digit counts as a variable. In a leaf a token is constant at its place
 if ``min_docs`` distinct lines' occurrences or more have it there, and a variable field otherwise; a line's template
 is its constants with <*> for the rest, and it is a template at all only if constants fill ``min_constant`` of it.
-A template found in ``min_docs`` documents or more recurs: its first line (least key, then least line number)
-stays, and every other line of it is dropped. Shorter lines are left alone. With ``min_tokens`` 1 none is shorter:
-lines of at most ``depth`` tokens share a leaf only if they are equal but for tokens with digits. With ``each_text``
-the first line of every wording of the template stays, wordings being equal if they differ in digits only: a line
-whose fields hold words found nowhere else is then never dropped.
+A template found in ``min_docs`` documents or more recurs: the first line (least key, then least line number) of each of its wordings
+stays, wordings being equal if they differ in digits only, and every other line of it is dropped. So a line whose fields
+hold words found nowhere else is never dropped; without ``each_text`` only the first line of the template stays. Lines of
+at most ``depth`` tokens share a leaf only if they are equal but for tokens with digits.
 
 Only lines of leaves that reach ``min_docs`` are read further; equal lines of a leaf are one row with a count before
 tokens are compared. All joins split hot keys off by their counts, so a line found in a third of all documents
@@ -16,8 +15,8 @@ meets nothing but a broadcast of that line.
 
 Cases: null text stays null, and empty text or text without a line long enough stays as it is; rows that repeat get
 the same decision, and copies count as documents of their own when their keys differ; a null key is a document like
-any other; an empty table gives an empty result; extra columns are kept by ``clean``. A column named like one of
-the working columns is not touched, as those are prefixed and live in frames of their own.
+any other; an empty table gives an empty result; extra columns are kept by ``clean``, also those named like working columns;
+``n_lines`` and ``n_dropped`` of the input give way to the counts.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ from ..operators.scale import lookup_join
 from ..session import materialise, scratch
 
 MIN_DOCS = 8
-MIN_TOKENS = 4
+MIN_TOKENS = 1
 DEPTH = 3
 MIN_CONSTANT = 0.5
 FIELD = "<*>"
@@ -45,7 +44,7 @@ def _lines(docs: DataFrame, key: str, content: str, min_tokens: int, depth: int)
 
 
 def templates(docs: DataFrame, key: str = "doc_id", content: str = "text", min_docs: int = MIN_DOCS,
-              min_tokens: int = MIN_TOKENS, depth: int = DEPTH, min_constant: float = MIN_CONSTANT, each_text: bool = False) -> DataFrame:
+              min_tokens: int = MIN_TOKENS, depth: int = DEPTH, min_constant: float = MIN_CONSTANT, each_text: bool = True) -> DataFrame:
     """Every line that follows a recurring template: _key, _text (hash of the document), _at, _template, _first. With
     ``each_text`` lines that are alone in their wording are left out, and _template is the wording's."""
     lines = _lines(docs, key, content, min_tokens, depth)
@@ -101,12 +100,14 @@ def clean(docs: DataFrame, key: str = "doc_id", content: str = "text", counts: b
         drop = materialise(dropped_lines(docs, key, content, **options), "drop", keep=True)
     met = docs.join(drop, docs[key].eqNullSafe(drop["_key"]) & (F.xxhash64(docs[content]) == drop["_text"]), "left")
     lines = F.split(docs[content], "\n")
-    rest = F.filter(lines, lambda line, at: ~F.array_contains(F.col("_drop"), at))
-    text = F.when(F.col("_drop").isNull(), docs[content]).otherwise(F.array_join(rest, "\n"))
+    gone = drop["_drop"]
+    rest = F.filter(lines, lambda line, at: ~F.array_contains(gone, at))
+    text = F.when(gone.isNull(), docs[content]).otherwise(F.array_join(rest, "\n"))
     if drop_emptied:
-        met = met.filter(F.col("_drop").isNull() | (F.regexp_replace(text, SPACE, "") != ""))
-    columns = [text.alias(content) if c == content else docs[c] for c in docs.columns]
+        met = met.filter(gone.isNull() | (F.regexp_replace(text, SPACE, "") != ""))
+    replaced = ("n_lines", "n_dropped") if counts else ()
+    columns = [text.alias(content) if c == content else docs[c] for c in docs.columns if c not in replaced]
     if counts:
         columns += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-                    F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped")]
+                    F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped")]
     return met.select(*columns)

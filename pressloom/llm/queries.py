@@ -54,19 +54,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES_SQL = r"""
 WITH split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
  FROM documents),
-tokened AS (SELECT doc_id, pos, string_split(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' ') AS tokens FROM split),
+tokened AS (SELECT doc_id, pos, list_filter(string_split(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda t: t <> '') AS tokens FROM split),
 leaved AS (SELECT *, list_transform(tokens[1:3], lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS lead
- FROM tokened WHERE len(tokens) >= 4),
+ FROM tokened WHERE len(tokens) >= 1),
 leaves AS (SELECT len(tokens) AS size, lead FROM leaved GROUP BY ALL HAVING count(*) >= 8),
 held AS (SELECT l.doc_id, l.pos, l.tokens, l.lead FROM leaved l JOIN leaves v ON len(l.tokens) = v.size AND l.lead = v.lead),
-words AS (SELECT doc_id, pos, lead, len(tokens) AS size, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM held),
+words AS (SELECT doc_id, pos, lead, list_transform(tokens, lambda t: regexp_replace(t, '[0-9]+', '0', 'g')) AS wording, len(tokens) AS size, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM held),
 constants AS (SELECT lead, size, place, token FROM words GROUP BY ALL HAVING count(*) >= 8),
-marked AS (SELECT doc_id, pos, lead, size, list({'p': place, 't': token} ORDER BY place) AS fixed
- FROM words JOIN constants USING (lead, size, place, token) GROUP BY doc_id, pos, lead, size HAVING count(*) >= 0.5 * size),
-recurring AS (SELECT lead, size, fixed, min({'d': doc_id, 'a': pos}) AS head FROM marked
- GROUP BY lead, size, fixed HAVING count(DISTINCT doc_id) >= 8),
-gone AS (SELECT m.doc_id, list(m.pos) AS ats FROM marked m JOIN recurring r ON m.lead = r.lead AND m.size = r.size AND m.fixed = r.fixed
- WHERE {'d': m.doc_id, 'a': m.pos} <> r.head GROUP BY m.doc_id)
+marked AS (SELECT doc_id, pos, lead, size, wording, list({'p': place, 't': token} ORDER BY place) AS fixed
+ FROM words JOIN constants USING (lead, size, place, token) GROUP BY doc_id, pos, lead, size, wording HAVING count(*) >= 0.5 * size),
+recurring AS (SELECT lead, size, fixed FROM marked GROUP BY lead, size, fixed HAVING count(DISTINCT doc_id) >= 8),
+worded AS (SELECT m.*, min({'d': doc_id, 'a': pos}) OVER (PARTITION BY lead, size, fixed, wording) AS head
+ FROM marked m JOIN recurring USING (lead, size, fixed)),
+gone AS (SELECT doc_id, list(pos) AS ats FROM worded WHERE {'d': doc_id, 'a': pos} <> head GROUP BY doc_id)
 SELECT doc_id, CASE WHEN ats IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(
  list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10))))), lambda z: NOT list_contains(ats, z[2])), lambda z: z[1]), chr(10)), '') END AS text,
  len(string_split(text, chr(10))) AS n_lines, coalesce(len(ats), 0) AS n_dropped

@@ -92,13 +92,32 @@ def test_line_templates(make):
     texts = [f"{body[i]}\nPage {i} of {i * 7} by printed office\nshort one" for i in range(20)] + [None, "", "only this line stands here alone"]
     rows = {r.doc_id: r for r in line_templates.clean(make(texts)).collect()}
     assert rows[0].text == texts[0] and rows[0].n_dropped == 0  # the first occurrence stays
-    assert all(rows[i].text.split("\n")[-1] == "short one" and "Page" not in rows[i].text for i in range(1, 20))
+    assert all(rows[i].text == body[i] and rows[i].n_dropped == 2 for i in range(1, 20))  # short lines recur too
+    longer = {r.doc_id: r.text for r in line_templates.clean(make(texts), min_tokens=4).collect()}
+    assert all(longer[i] == f"{body[i]}\nshort one" for i in range(1, 20))
     assert rows[20].text is None and rows[21].text == "" and rows[22].text == texts[22] and rows[20].key == "x"
     copies = line_templates.clean(make(["the same four words here"] * 9), drop_emptied=True).collect()
     assert [r.doc_id for r in copies] == [0]
     assert line_templates.clean(make([])).count() == 0
 
 
+def test_lines_with_words_of_their_own_stay(make):
+    texts = [f"Was it that {w}" for w in VOCAB[:9]] + [f"Was it that {i}" for i in range(9)]
+    kept = [r.text for r in line_templates.clean(make(texts)).collect() if r.text]
+    assert sorted(kept) == sorted(texts[:9] + texts[9:10])  # digits are no words
+    loose = line_templates.clean(make(texts), each_text=False).collect()
+    assert [r.text for r in loose if r.text] == texts[:1]
+
+
+def test_line_templates_beside_clashing_columns_null_and_repeated_keys(make):
+    texts = [(None if i < 3 else 5, f"own {w} words of this line\nAll the same here 7") for i, w in enumerate(VOCAB[:12])] + [(5, "x " * 50_000 + "\nAll the same here 7")]
+    docs = make(texts).withColumnsRenamed({"key": "_drop", "size": "n_dropped", "lang": "_key", "source": "_text"})
+    rows = line_templates.clean(docs).collect()
+    assert rows[0].asDict().keys() == {"doc_id", "text", "_key", "_text", "n_chars", "_drop", "n_lines", "n_dropped"}
+    assert sum(r.n_dropped for r in rows) == 12 and sum("All the same" in r.text for r in rows) == 1 and len(rows) == 13
+    assert {r._drop for r in rows} == {"x"} and max(len(r.text) for r in rows) == 100_000
+
+
 def test_passages_cover_every_repeated_run(make):
     rng = random.Random(5)
     run = prose(rng, 70)
