@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pressloom.catalog import QUERIES
@@ -29,7 +30,8 @@ def main() -> None:
     partitions = str(os.cpu_count() if cpus == "*" else int(cpus))
     spark = build_session(
         "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=partitions, spark__driver__memory="12g",
-        spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
+        spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="pressloom-bench-"))
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     times = {}

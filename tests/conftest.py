@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -14,7 +15,8 @@ from pressloom.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="6g",
-        spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
+        spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="pressloom-tests-"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
