@@ -9,6 +9,7 @@ from ..operators import clean, pages, scale
 from ..schema import (
     ECONOMIC_TAGS_INDEXED, ECONOMIC_TAGS_OBSERVED, ONLINE_ALIASES, PAGE_SIZES, PUBLISHER_ALIASES,
 )
+from ..session import shared_path
 from ..sources import tables
 from .base import ARTICLES, articles, clean_sql, documents, names, query, quoted, table
 
@@ -170,6 +171,15 @@ def dedup_text_md5(spark, sf):
     return clean.distinct_by_text(rows, F.col("text")).select("goid", "date", F.col("word_count").cast("long").alias("word_count"))
 
 
+@query("dedup_text_written", f"""WITH {ARTICLES} SELECT goid, date, text, md5(text) AS text_hash FROM (SELECT *,
+ row_number() OVER (PARTITION BY md5(text) ORDER BY date, goid) AS rn FROM articles WHERE text IS NOT NULL) WHERE rn = 1""")
+def dedup_text_written(spark, sf):
+    """The de-duplicated table with its texts, written and read back."""
+    path = shared_path(spark, "with-text")
+    tables.write_distinct(articles(spark, sf).select("goid", "date", "text").filter("text IS NOT NULL"), path)
+    return tables.read_csv_folder(spark, path, "goid bigint, date date, text string, text_hash string")
+
+
 @query("manifest_pending", """SELECT concat(w.doc_id, '.xml') AS name FROM documents w WHERE doc_id % 3 <> 0 AND NOT EXISTS (
  SELECT 1 FROM labels d WHERE d.doc_id = w.doc_id)""")
 def manifest_pending(spark, sf):

@@ -291,6 +291,15 @@ def page_size_json(spark, sf):
     return rounded(lines.select(F.from_json("value", "page string, mean_words double, count bigint").alias("v")).select("v.*"), "mean_words")
 
 
+@query("page_size_plan", f"""WITH {PAGES.replace('FROM articles WHERE page IS NOT NULL', "FROM articles WHERE page IS NOT NULL AND publisher <> 'New York Times Español'")}
+ SELECT page, round(mean_words, 6) AS mean_words, count FROM stats""")
+def page_size_plan(spark, sf):
+    """Every fifth article once more, a year later and on another page: the earliest copy counts."""
+    rows = articles(spark, sf).select("goid", "date", "page", "publisher", "word_count")
+    again = rows.filter("goid % 5 = 0").withColumn("date", F.date_add("date", 365)).withColumn("page", F.lit("Z.9"))
+    return rounded(steps.page_sizes(rows.unionByName(again)), "mean_words")
+
+
 @query("publisher_page_size", f"""WITH {PAGES} SELECT round(sum(mean_words * count) / sum(count), 6) AS weighted_mean,
  round(median(mean_words), 6) AS median, round(avg(mean_words), 6) AS plain_mean FROM stats""")
 def publisher_page_size(spark, sf):

@@ -8,8 +8,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import labels, text
-from ..operators import classify, clean, sentiment, tfidf, trends, upsert
+from ..operators import classify, clean, pages, sentiment, tfidf, trends, upsert
 from ..operators.scale import lookup_join
+from ..schema import ONLINE_ALIASES
 from ..session import materialise
 from ..sources import enrichment, tables
 from ..streaming import commits, incremental
@@ -122,6 +123,13 @@ def quarterly_sentiment(articles: DataFrame) -> DataFrame:
     return means.select("quarter", "normalized_sentiment", "normalized_adjusted_sentiment")
 
 
+def page_sizes(articles: DataFrame, aliases: Mapping[str, str] = ONLINE_ALIASES, minimum: int = pages.MIN_ARTICLES) -> DataFrame:
+    """(page, mean_words, count): one row per article, publishers folded with their online editions, placeholder pages left
+    out, pages with enough articles. Its rows go into ``tables.page_size_json`` and ``pages.publisher_page_size``."""
+    rows = clean.exclude_publisher(clean.fold_publishers(clean.distinct_by_key(articles), aliases=aliases))
+    return pages.page_stats(pages.normalized_pages(rows), minimum)
+
+
 def described(articles: DataFrame) -> DataFrame:
     """Rows of the descriptive tables: year range, folded publishers, complete, distinct texts."""
     rows = clean.years(articles, 2003, 2024)

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions import text
-from ..operators.clean import union_all
+from ..operators.clean import distinct_by_text, union_all
 from ..operators.scale import global_rank, sample_rows
 from ..schema import CSV_TEXT_COLUMN, EXPORT_COLUMNS, PAGE_SIZES, PUBLISHER_ALIASES
 from ..streaming import commits
@@ -143,6 +143,14 @@ def with_chunks(df: DataFrame, order: Sequence[str], rows: int = 2000, highest:
     return ranked.withColumn("chunk", (F.floor((F.col("_rn") - 1) / rows) + 1 + highest).cast("long")).drop("_rn")
 
 
+def write_distinct(df: DataFrame, path: str, content: str = "text", order: Sequence[str] = ("date", "goid")) -> None:
+    """One row per text, the earliest, with its text and ``text_hash``, as a CSV folder that is there whole or not at all.
+    Only one row per text and task goes through the shuffle."""
+    joined = F.array_join(content, " ") if isinstance(df.schema[content].dataType, T.ArrayType) else F.col(content)
+    rows = distinct_by_text(df, joined, order).withColumn("text_hash", F.md5(joined))
+    printed(rows).write.options(**CSV_OPTIONS).csv(path)
+
+
 def reserve_chunks(spark: SparkSession, folder: str, count: int, wait: float = 10.0) -> int:
     """First of ``count`` chunk numbers that are this caller's alone, after all that are written or reserved.
 
