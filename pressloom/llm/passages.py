@@ -21,6 +21,7 @@ whole; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 
@@ -157,6 +158,8 @@ def segments(at: np.ndarray, source: np.ndarray, k: int, max_gap: int = MAX_GAP)
 
 def chains(parts: list[tuple[int, int, int]], gap_cost: float = GAP_COST, max_gap: int = MAX_GAP) -> list[list[tuple[int, int, int]]]:
     """Disjoint chains of segments in order in both texts, best first."""
+    if len(parts) == 1:
+        return [parts]
     ends = sorted({s + n for _, s, n in parts})
     rank = {e: i for i, e in enumerate(ends)}
     starts = np.searchsorted(ends, [s for _, s, _ in parts], side="right").tolist()
@@ -200,16 +203,21 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+@functools.cache
+def _edits(most: int) -> list[tuple[int, int]]:
+    """Edits of up to so many words on either side, the smallest first."""
+    return sorted(((i, j) for i in range(most + 1) for j in range(most + 1) if i or j), key=lambda s: (max(s), sum(s)))
+
+
 def _extend(a: np.ndarray, b: np.ndarray, edits: int = 3, proof: int = 3) -> tuple[int, int, int]:
     """(words of a, words of b, matches) of a common start, over edits of up to so many words that ``proof`` equal words follow."""
     x = y = matches = 0
-    steps = sorted(((i, j) for i in range(edits + 1) for j in range(edits + 1) if i or j), key=lambda s: (max(s), sum(s)))
     while True:
         n = min(len(a) - x, len(b) - y)
         differ = np.flatnonzero(a[x : x + n] != b[y : y + n])
         run = int(differ[0]) if len(differ) else n
         x, y, matches = x + run, y + run, matches + run
-        for i, j in steps:
+        for i, j in _edits(edits):
             p, q = a[x + i : x + i + proof], b[y + j : y + j + proof]
             if len(p) == proof == len(q) and (p == q).all():
                 x, y = x + i, y + j
