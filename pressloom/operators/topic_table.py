@@ -1,25 +1,26 @@
 """Topics whose term matrix is a table: variational Bayes for LDA over a vocabulary of any size.
 
-A round joins the (document, term, count) rows with their terms' topic weights, works out each document's topic shares
-from its own terms, and sums the expected counts back per term and topic. Only the topics' totals, one number each, meet
-the driver; a task holds the documents of one batch. Documents are grouped by key: a group is one document's distinct
-terms.
+Documents are placed once, by a hash of their key, in blocks of a bounded number of (document, term) entries; a block is
+stored with its own numbering of its terms. A round gives every block the topic weights of its own terms, works out each
+document's topic shares from them, and sums the expected counts back per term and topic. What moves in a round is a row per
+block and term, not one per document and term. Only the topics' totals, one number each, meet the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..session import materialise, scratch
 from .scale import lookup_join
 
 INNER, CLOSE = 100, 1e-3
-DOCS_AT_ONCE = 256
+# Entries of a block, on average, and the least for more blocks than needed; cells that are worked on at once.
+BLOCK_ENTRIES, LEAST_ENTRIES, CELLS = 4_000_000, 100_000, 200_000
 
 
 class TopicTable(NamedTuple):
@@ -40,34 +41,143 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return shift + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
 
 
-def document_topics(beta: np.ndarray, counts: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """(variational topic weights of a document, expected counts per term and topic) from its terms' exp E[log beta]."""
-    gamma = np.ones(beta.shape[1])
-    for _ in range(INNER):
-        theta = np.exp(digamma(gamma) - digamma(gamma.sum()))
-        per_word = counts / (beta @ theta + 1e-100)
-        before, gamma = gamma, alpha + theta * (beta.T @ per_word)
-        if np.abs(gamma - before).mean() < CLOSE:
-            break
-    theta = np.exp(digamma(gamma) - digamma(gamma.sum()))
-    return gamma, beta * theta * (counts / (beta @ theta + 1e-100))[:, None]
-
+def _theta(gamma: np.ndarray) -> np.ndarray:
+    return np.exp(digamma(gamma) - digamma(gamma.sum(1, keepdims=True)))
 
-def _documents(counts: DataFrame, model: TopicTable, key: str) -> DataFrame:
-    """(_key, _terms): a document's terms with counts and weights, in order of term."""
-    met = lookup_join(counts.select(F.col(key).alias("_key"), "term", "n"), model.terms, "term", "df")
-    return met.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("term", "n", "weights"))).alias("_terms"))
 
-
-def _beta(lists: pa.ListArray, totals: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bounds, counts, exp E[log beta]) of a batch's documents."""
-    bounds, flat = lists.offsets.to_numpy(), lists.flatten()
-    weights = flat.field("weights").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(totals))
-    return bounds - bounds[0], flat.field("n").to_numpy(zero_copy_only=False).astype(float), np.exp(digamma(weights) - digamma(np.array(totals)))
+def _solve(beta: np.ndarray, counts: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(topic weights, expected counts) of documents x terms of equal width; a count of zero fills up. Each document
+    ends with its own last step, whatever the others do."""
+    size, _, topics = beta.shape
+    found = np.ones((size, topics))
+    open_, b, c, gamma = np.arange(size), beta, counts, found.copy()
+    for _ in range(INNER):
+        theta = _theta(gamma)
+        per_word = c / ((b @ theta[:, :, None])[:, :, 0] + 1e-100)
+        before, gamma = gamma, alpha + theta * (per_word[:, None, :] @ b)[:, 0, :]
+        found[open_] = gamma
+        going = np.abs(gamma - before).mean(1) >= CLOSE
+        if not going.all():
+            open_, b, c, gamma = open_[going], b[going], c[going], gamma[going]
+            if not len(open_):
+                break
+    theta = _theta(found)
+    per_word = counts / ((beta @ theta[:, :, None])[:, :, 0] + 1e-100)
+    return found, beta * theta[:, None, :] * per_word[:, :, None]
 
 
-def _totals(terms: DataFrame, topics: int) -> list[float]:
-    return list(terms.agg(*[F.sum(F.col("weights")[k]) for k in range(topics)]).first())
+def document_topics(beta: np.ndarray, counts: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(variational topic weights of a document, expected counts per term and topic) from its terms' exp E[log beta]."""
+    gamma, found = _solve(beta[None], np.asarray(counts, float)[None], alpha)
+    return gamma[0], found[0]
+
+
+def _batches(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Documents with terms, those of like length together, up to ``CELLS`` cells at once."""
+    order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * sizes[order[end]] <= CELLS:
+            end += 1
+        yield order[at:end]
+        at = end
+
+
+def block_topics(beta: np.ndarray, ends: np.ndarray, at: np.ndarray, n: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(topic weights per document, expected counts per term) of documents whose entries end at ``ends``: term numbers
+    ``at`` and counts ``n``. A document without entries keeps zeros."""
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    sizes = ends - starts
+    gamma, sums = np.zeros((len(ends), beta.shape[1])), np.zeros(beta.shape)
+    for docs in _batches(sizes):
+        inside = np.arange(sizes[docs].max()) < sizes[docs][:, None]
+        cells = np.where(inside, starts[docs][:, None] + np.arange(inside.shape[1]), starts[docs][:, None])
+        ids = at[cells]
+        gamma[docs], found = _solve(beta[ids], np.where(inside, n[cells], 0.0), alpha)
+        for k in range(beta.shape[1]):
+            sums[:, k] += np.bincount(ids.ravel(), found[:, :, k].ravel(), len(beta))
+    return gamma, sums
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: type, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, size * np.dtype(kind).itemsize, "zstd"), kind)
+
+
+def _blocks(counts: DataFrame, key: str) -> DataFrame:
+    """(block, keys, ends, entries, at, n, terms): a row per block, its documents in one list of entries."""
+    cores = counts.sparkSession.sparkContext.defaultParallelism
+    entries = counts.count()
+    blocks = max(1, -(-entries // BLOCK_ENTRIES), min(4 * cores, entries // LEAST_ENTRIES))
+    out = T.StructType([
+        T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(counts.schema[key].dataType)),
+        T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("entries", T.LongType()),
+        T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType()),
+        T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("dfs", T.ArrayType(T.LongType()))])
+
+    def pack(rows: pa.Table) -> pa.Table:
+        keys = rows["_key"].combine_chunks().dictionary_encode(null_encoding="encode")
+        terms = rows["term"].combine_chunks().dictionary_encode()
+        documents, at = keys.indices.to_numpy(), terms.indices.to_numpy().astype(np.int32)
+        order = np.lexsort((at, documents))
+        ends = np.cumsum(np.bincount(documents, minlength=len(keys.dictionary)))
+        # a one-row table: lists of this block's documents and terms
+        return pa.table({
+            "block": pa.array([rows["_block"][0].as_py()], pa.int64()),
+            "keys": pa.ListArray.from_arrays(pa.array([0, len(keys.dictionary)], pa.int32()), keys.dictionary),
+            "ends": pa.array([ends], pa.list_(pa.int64())), "entries": pa.array([len(at)], pa.int64()),
+            "at": pa.array([_packed(at[order])], pa.binary()),
+            "n": pa.array([_packed(rows["n"].to_numpy().astype(np.int64)[order])], pa.binary()),
+            "terms": pa.ListArray.from_arrays(pa.array([0, len(terms.dictionary)], pa.int32()), terms.dictionary),
+            "dfs": pa.array([np.bincount(at, minlength=len(terms.dictionary))], pa.list_(pa.int64()))})
+
+    rows = counts.filter(F.col("term").isNotNull()).select(
+        F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block"), F.col(key).alias("_key"), "term", "n")
+    return materialise(rows.groupBy("_block").applyInArrow(pack, out), "topic-blocks")
+
+
+def _places(blocks: DataFrame) -> DataFrame:
+    """(block, at, term, df): the terms of each block by their number there, and their documents there."""
+    return blocks.select("block", F.posexplode(F.arrays_zip("terms", "dfs")).alias("at", "t")).select(
+        "block", "at", F.col("t.terms").alias("term"), F.col("t.dfs").alias("df"))
+
+
+def _met(block: pa.Table, rows: pa.Table, totals: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(exp E[log beta] by term number, ends, at, n) of a block; entries of terms without weights are left out."""
+    size, ends = block["entries"][0].as_py(), block["ends"].combine_chunks().flatten().to_numpy()
+    at, n = _unpacked(block["at"][0].as_py(), np.int32, size), _unpacked(block["n"][0].as_py(), np.int64, size)
+    places = rows["at"].to_numpy()
+    beta = np.zeros((len(block["terms"][0]), len(totals)))
+    weights = np.stack([rows[f"w{k}"].to_numpy() for k in range(len(totals))], 1)
+    beta[places] = np.exp(digamma(weights) - digamma(np.array(totals)))
+    if len(places) < len(beta):
+        known = np.zeros(len(beta), bool)
+        known[places] = True
+        kept = known[at]
+        ends = np.concatenate([[0], np.cumsum(kept)])[ends]
+        at, n = at[kept], n[kept]
+    return beta, ends, at, n
+
+
+def _columns(letter: str, topics: int) -> list[str]:
+    return [f"{letter}{k}" for k in range(topics)]
+
+
+def _totals(rows: DataFrame, values: list[Column]) -> list[float]:
+    return [x or 0.0 for x in rows.agg(*[F.sum(x) for x in values]).first()]
+
+
+def _expected(totals: list[float], alpha: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(block: pa.Table, own: pa.Table) -> pa.Table:
+        sums = block_topics(*_met(block, own, totals), alpha)[1][own["at"].to_numpy()]
+        return pa.table([own["block"], own["at"], own["term"], *map(pa.array, sums.T)], names=["block", "at", "term", *_columns("s", len(totals))])
+
+    return run
 
 
 def fit(counts: DataFrame, topics: int = 5, rounds: int = 10, seed: int = 42, key: str = "doc_id", alpha: float | None = None,
@@ -75,51 +185,51 @@ def fit(counts: DataFrame, topics: int = 5, rounds: int = 10, seed: int = 42, ke
     """Fit on rows of (key, term, n). Start weights are drawn by hash, the same on every cluster."""
     alpha, eta = (1 / topics if x is None else x for x in (alpha, eta))
     spark = counts.sparkSession
-    draws = F.array(*[0.5 + F.pmod(F.xxhash64("term", F.lit(seed), F.lit(k)), F.lit(10_007)) / F.lit(10_007.0) for k in range(topics)])
-    terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = materialise(terms.withColumn("weights", draws), "topics")
-    if terms.isEmpty():
-        raise ValueError("no terms to fit topics on")
-    for _ in range(rounds):
-        with scratch(spark):
-            model = TopicTable(terms, _totals(terms, topics), alpha)
-            documents = _documents(counts, model, key)
-
-            def expected(batches: Iterator[pa.RecordBatch], totals=tuple(model.totals)) -> Iterator[pa.RecordBatch]:
-                for whole in batches:
-                    for at in range(0, whole.num_rows, DOCS_AT_ONCE):
-                        lists = whole.slice(at, DOCS_AT_ONCE).column("_terms")
-                        bounds, n, beta = _beta(lists, list(totals))
-                        found = np.concatenate([document_topics(beta[s:e], n[s:e], alpha)[1] for s, e in zip(bounds[:-1], bounds[1:])])
-                        names = lists.flatten().field("term").dictionary_encode()
-                        sums = np.zeros((len(names.dictionary), len(totals)))
-                        np.add.at(sums, names.indices.to_numpy(), found)
-                        yield pa.RecordBatch.from_arrays([names.dictionary, *map(pa.array, sums.T)], names=["term", *[f"s{k}" for k in range(len(totals))]])
-
-            schema = "term string, " + ", ".join(f"s{k} double" for k in range(topics))
-            sums = documents.mapInArrow(expected, schema).groupBy("term").agg(
-                F.array(*[F.lit(eta) + F.sum(f"s{k}") for k in range(topics)]).alias("weights"))
-            terms = materialise(terms.select("term", "df").join(sums, "term"), "topics", keep=True)
-    return TopicTable(terms, _totals(terms, topics), alpha)
+    draws = [0.5 + F.pmod(F.xxhash64("term", F.lit(seed), F.lit(k)), F.lit(10_007)) / F.lit(10_007.0) for k in range(topics)]
+    with scratch(spark):
+        blocks = _blocks(counts, key)
+        places = _places(blocks)
+        known = materialise(places.groupBy("term").agg(F.sum("df").alias("df")), "terms")
+        size = known.count()
+        if not size:
+            raise ValueError("no terms to fit topics on")
+        totals = _totals(known, draws)
+        rows = places.select("block", "at", "term", *[d.alias(w) for d, w in zip(draws, _columns("w", topics))])
+        terms = known.select("term", "df", F.array(*draws).alias("weights"))
+        schema = "block long, at int, term string, " + ", ".join(f"s{k} double" for k in range(topics))
+        each = W.partitionBy("term")
+        for _ in range(rounds):
+            packed = blocks.select(F.col("block").alias("block"), "ends", "entries", "at", "n", "terms")
+            sums = materialise(packed.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(_expected(totals, alpha), schema), "topic-sums")
+            totals = [size * eta + x for x in _totals(sums, [F.col(s) for s in _columns("s", topics)])]
+            # a term has a row per block, so a window's group is as small as the number of blocks
+            rows = sums.select("block", "at", "term", *[(F.lit(eta) + F.sum(s).over(each)).alias(f"w{k}") for k, s in enumerate(_columns("s", topics))])
+            terms = known.join(sums.groupBy("term").agg(F.array(*[F.lit(eta) + F.sum(s) for s in _columns("s", topics)]).alias("weights")), "term")
+        terms = materialise(terms, "topics", keep=True)
+    return TopicTable(terms, totals, alpha)
 
 
 def shares(counts: DataFrame, model: TopicTable, key: str = "doc_id") -> DataFrame:
     """(key, shares, tokens): topic shares of each document that has a known term, and how many known tokens it has."""
     totals, alpha = list(model.totals), model.alpha
-    out = T.StructType([T.StructField("_key", counts.schema[key].dataType), T.StructField("shares", T.ArrayType(T.DoubleType())),
+    kind = counts.schema[key].dataType
+    out = T.StructType([T.StructField("_key", kind), T.StructField("shares", T.ArrayType(T.DoubleType())),
                         T.StructField("tokens", T.LongType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, DOCS_AT_ONCE):
-                batch = whole.slice(at, DOCS_AT_ONCE)
-                bounds, n, beta = _beta(batch.column("_terms"), totals)
-                found = [document_topics(beta[s:e], n[s:e], alpha)[0] for s, e in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("_key"), pa.array([(g / g.sum()).tolist() for g in found], pa.list_(pa.float64())),
-                     pa.array([int(n[s:e].sum()) for s, e in zip(bounds[:-1], bounds[1:])], pa.int64())], names=out.names)
-
-    return _documents(counts, model, key).mapInArrow(run, out).withColumnRenamed("_key", key)
+    def run(block: pa.Table, own: pa.Table) -> pa.Table:
+        beta, ends, at, n = _met(block, own, totals)
+        gamma = block_topics(beta, ends, at, n, alpha)[0]
+        has = np.diff(ends, prepend=0) > 0
+        found = gamma[has] / gamma[has].sum(1, keepdims=True)
+        tokens = np.diff(np.concatenate([[0], np.cumsum(n)])[ends], prepend=0)[has]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * len(totals), pa.int32()), pa.array(found.ravel()))
+        return pa.table([block["keys"].combine_chunks().flatten().filter(pa.array(has)), lists, pa.array(tokens, pa.int64())], names=out.names)
+
+    blocks = _blocks(counts, key)
+    weights = [F.col("weights")[k].alias(w) for k, w in enumerate(_columns("w", len(totals)))]
+    rows = lookup_join(_places(blocks).drop("df"), model.terms, "term", "df").select("block", "at", *weights)
+    packed = blocks.select(F.col("block").alias("block"), "keys", "ends", "entries", "at", "n", "terms")
+    return packed.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run, out).withColumnRenamed("_key", key)
 
 
 def dominant(shared: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -81,3 +81,41 @@ def test_empty_and_unknown_terms(spark):
     assert sorted((r.doc_id, r.tokens) for r in topic_table.shares(other, model).collect() if r.doc_id) == [(2, 2)]
     assert topic_table.shares(other.limit(0), model).count() == 0
     assert topic_table.dominant(topic_table.shares(other.filter("doc_id = 2"), model)).select(F.col("topic").between(1, 2).alias("x")).first().x
+
+
+def test_documents_of_a_block_are_solved_as_each_alone():
+    """Together, with terms of other documents and none between them, as by the plain loop over one document."""
+    rng = np.random.default_rng(4)
+    beta = rng.random((50, 3))
+    docs = [(np.sort(rng.choice(50, size, replace=False)), rng.integers(1, 5, size)) for size in (7, 0, 50, 1, 7, 30)]
+    ends = np.cumsum([len(ids) for ids, _ in docs])
+    at, n = (np.concatenate([d[i] for d in docs]) for i in (0, 1))
+    gamma, sums = topic_table.block_topics(beta, ends, at, n, 0.3)
+    want = np.zeros_like(beta)
+    for d, (ids, counts) in enumerate(docs):
+        if not len(ids):
+            assert (gamma[d] == 0).all()
+            continue
+        own = np.ones(3)
+        for _ in range(topic_table.INNER):
+            theta = np.exp(topic_table.digamma(own) - topic_table.digamma(own.sum()))
+            before, own = own, 0.3 + theta * (beta[ids].T @ (counts / (beta[ids] @ theta)))
+            if np.abs(own - before).mean() < topic_table.CLOSE:
+                break
+        theta = np.exp(topic_table.digamma(own) - topic_table.digamma(own.sum()))
+        want[ids] += beta[ids] * theta * (counts / (beta[ids] @ theta))[:, None]
+        assert np.allclose(gamma[d], own)
+    assert np.allclose(sums, want)
+
+
+def test_a_round_moves_a_row_per_block_and_term(spark, monkeypatch):
+    """Not one per document and term: 60 documents of few words meet their weights in as many rows as there are words."""
+    written = []
+    keep = topic_table.materialise
+    monkeypatch.setattr(topic_table, "materialise", lambda df, name, **more: (written.append((name, keep(df, name, **more))), written[-1][1])[1])
+    sizes = []
+    totals = topic_table._totals
+    monkeypatch.setattr(topic_table, "_totals", lambda rows, values: (sizes.append(rows.count()), totals(rows, values))[1])
+    counts = themed(spark)
+    topic_table.fit(counts, 3, rounds=2)
+    assert sizes == [12, 12, 12] and counts.count() > 200 and {n for n, _ in written} == {"topic-blocks", "terms", "topic-sums", "topics"}
