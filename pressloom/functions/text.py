@@ -105,7 +105,7 @@ def term_counts(words: Column) -> Column:
             return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(ordered, a).alias("term"), (b - a).cast("long").alias("n")))
         found = let(F.filter(at, lambda i: i.isNotNull()), measured)
         return F.when(size > 0, found).otherwise(F.array().cast("array<struct<term:string,n:bigint>>"))
-    return F.when(words.isNotNull(), let(F.array_sort(words), runs))
+    return F.when(words.isNotNull(), let(F.sort_array(words), runs))
 
 
 def without(words: Column, stop_words: Iterable[str]) -> Column:

@@ -50,6 +50,23 @@ def _small(table: DataFrame, weight: str | None, limit: int) -> tuple[bool, int]
     return found["n"] <= limit and (found["b"] or 0) <= BROADCAST_BYTES, found["w"] or 0
 
 
+def frequent_rows(table: DataFrame, weight: str, limit: int | None = None) -> Column | None:
+    """Which rows of a table to broadcast: all that weigh at least a power of two, as many as the bounds allow; None if all.
+
+    The rows are counted by power of two, so at most 64 counts meet the driver.
+    """
+    limit = BROADCAST_ROWS if limit is None else limit
+    power = F.floor(F.log2(F.greatest(F.col(weight), F.lit(1)).cast("double"))).cast("int")
+    sizes = table.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(table)).alias("b")).orderBy(F.desc("p")).collect()
+    least, rows, held = None, 0, 0
+    for size in sizes:
+        rows, held = rows + size["n"], held + size["b"]
+        if rows > limit or held > BROADCAST_BYTES:
+            return power >= least if least is not None else F.lit(False)
+        least = size["p"]
+    return None
+
+
 def lookup_join(facts: DataFrame, table: DataFrame, key: str, weight: str | None = None,
                 how: str = "inner", limit: int | None = None, absent: bool = False) -> DataFrame:
     """Join facts with a table that has one row per key; ``how`` is inner, left, left_semi or left_anti.

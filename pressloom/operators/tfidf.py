@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import text
 from ..schema import STOP_WORDS
 from ..session import materialise, spread
-from .scale import lookup_join
+from .scale import frequent_rows
 
 
 @dataclass
@@ -76,22 +76,43 @@ def fit(docs: DataFrame, content: str = "text", stop_words: Iterable[str] = STOP
 
 def term_rows(docs: DataFrame, key: str = "doc_id", content: str = "text",
               stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
-    """(key, term, tf). Documents are spread by key first, so nothing below needs a second shuffle."""
-    placed = docs.select(key, content).repartition(key)
-    exploded = placed.select(key, F.explode(term_array(F.col(content), stop_words)).alias("term"))
-    return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, term, tf), counted within each text; no text is moved."""
+    counts = text.term_counts(term_array(F.col(content), stop_words))
+    return spread(docs.select(key, content)).select(key, F.inline(counts)).withColumnRenamed("n", "tf")
+
+
+# Text of a task that places documents: its (document, term) rows are sorted there, some ten times the size.
+PLACED_BYTES = 16 << 20
 
 
 def transform(docs: DataFrame, model: TfidfModel, key: str = "doc_id", content: str = "text",
               stop_words: Iterable[str] = STOP_WORDS, broadcast_limit: int | None = None) -> DataFrame:
-    """One row per document: ``weights`` as (term, raw) structs and their L2 ``norm``; known terms only."""
-    rows = lookup_join(term_rows(docs, key, content, stop_words), model.terms, "term", "df", limit=broadcast_limit)
-    weighted = rows.select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    # a group is one document's vocabulary, bounded by the row it came from
-    return weighted.groupBy(key).agg(
-        F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"),
-        F.collect_list(F.struct("term", "raw")).alias("weights"),
-    )
+    """One row per document: ``weights`` as (term, raw) structs and their L2 ``norm``; known terms only.
+
+    Texts are placed by document, in parts small enough to be grouped in memory. Frequent terms are broadcast; a vocabulary
+    beyond that is met by its rare terms' rows alone in a shuffle, and their weights come back to the documents.
+    """
+    read = docs.select(key, content)
+    size = read.agg(F.sum(F.octet_length(F.col(content)))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PLACED_BYTES))
+    words = read.repartition(parts, key).select(key, F.explode(term_array(F.col(content), stop_words)).alias("term"))
+    rows = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+    def grouped(met: DataFrame) -> DataFrame:
+        # a group is one document's vocabulary, bounded by the row it came from
+        raw = met.select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
+        return raw.groupBy(key).agg(F.sum(F.col("raw") * F.col("raw")).alias("square"), F.collect_list(F.struct("term", "raw")).alias("weights"))
+
+    frequent = frequent_rows(model.terms, "df", broadcast_limit)
+    if frequent is None:
+        return grouped(rows.join(F.broadcast(model.terms), "term")).select(key, F.sqrt("square").alias("norm"), "weights")
+    common = model.terms.filter(frequent)
+    rare = rows.join(F.broadcast(common.select("term")), "term", "left_anti").join(model.terms.filter(~frequent), "term")
+    a, b = grouped(rows.join(F.broadcast(common), "term")).alias("a"), grouped(rare.repartition(parts, key)).alias("b")
+    none = F.array().cast(a.schema["weights"].dataType)
+    return a.join(b, key, "full").select(
+        key, F.sqrt(F.coalesce("a.square", F.lit(0.0)) + F.coalesce("b.square", F.lit(0.0))).alias("norm"),
+        F.concat(F.coalesce("a.weights", none), F.coalesce("b.weights", none)).alias("weights"))
 
 
 def scores(transformed: DataFrame, key: str = "doc_id", digits: int | None = None) -> DataFrame:

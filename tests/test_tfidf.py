@@ -67,3 +67,24 @@ def test_one_shuffle_of_the_texts(spark):
     model = tfidf.fit(docs(spark))
     plan = tfidf.keywords(tfidf.transform(docs(spark), model))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+
+
+def test_only_rare_terms_are_shuffled(spark, monkeypatch):
+    """Beyond the broadcast bounds: the frequent terms' rows stay with their documents."""
+    from pressloom.operators import scale
+
+    rows = spark.createDataFrame([(d, f"rates banks rise w{d} w{d // 2}x") for d in range(40)], "doc_id bigint, text string")
+    model = tfidf.fit(rows)
+    assert scale.frequent_rows(model.terms, "df") is None
+    kept = model.terms.filter(scale.frequent_rows(model.terms, "df", 30)).collect()
+    assert {r.term for r in kept} == {"rates", "banks", "rise", *(f"w{d}x" for d in range(20))}
+    assert model.terms.filter(scale.frequent_rows(model.terms, "df", 2)).isEmpty()
+    whole, split, none = (sorted((r.doc_id, round(r.norm, 12), sorted((w.term, round(w.raw, 12)) for w in r.weights))
+                                 for r in tfidf.transform(rows, model, broadcast_limit=n).collect()) for n in (None, 30, 2))
+    assert whole == split == none and len(whole) == 40
+
+
+def test_rows_are_counted_in_place(spark):
+    plan = tfidf.term_rows(docs(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan
+    assert {(r.term, r.tf) for r in tfidf.term_rows(docs(spark)).collect() if r.doc_id == 1} == {("rates", 2), ("rise", 2)}
