@@ -122,3 +122,9 @@ def test_terms_are_counted_within_the_row(spark):
     rows = [(["b", "a", "b", "c", "b"],), (["x"],), ([],), (None,), (["y", "y"],)]
     got = [r.c for r in spark.createDataFrame(rows, "w array<string>").select(text.term_counts(F.col("w")).alias("c")).collect()]
     assert [None if c is None else [tuple(x) for x in c] for c in got] == [[("a", 1), ("b", 3), ("c", 1)], [("x", 1)], [], None, [("y", 2)]]
+
+
+def test_counted_words_are_sorted_natively(spark):
+    """Not by a comparison written as an expression, which is worked out for every two words."""
+    plan = spark.range(1).select(text.term_counts(F.array(F.col("id").cast("string"))).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan
