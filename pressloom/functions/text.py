@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
 
 from ..schema import STOP_WORDS
 from . import entities
+from .binding import let
 
 HIDDEN_HTML = r"(?is)<!--.*?-->|<(script|style)(\s[^>]*)?>.*?</(script|style)\s*>"
 PARAGRAPH_OPEN = r"(?i)<p(?:\s[^>]*)?>"
@@ -16,33 +17,38 @@ PARAGRAPH_BODY = (
     r"(?is)^(.*?)(?:</p\s*>|</?(?:address|article|aside|blockquote|body|center|dd|div|dl|dt|fieldset"
     r"|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|pre|section|table|td|th|tr|ul)(?:[\s/][^>]*)?>|\z)"
 )
+# The same two as they are run: all alternatives begin with one character, which is sought first.
+_HIDDEN = r"(?is)<(?:!--.*?-->|(?:script|style)(?:\s[^>]*)?>.*?</(?:script|style)\s*>)"
+_FROM_END = (
+    r"(?is)<(?:/p\s*>|/?(?:address|article|aside|blockquote|body|center|dd|div|dl|dt|fieldset"
+    r"|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|pre|section|table|td|th|tr|ul)(?:[\s/][^>]*)?>).*"
+)
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind a value used many times in one expression, so that the plan holds and computes it once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def strip(text: Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
+def inner_texts(html: Column) -> Column:
+    """Pieces of an array with markup removed, references decoded (no-break spaces to spaces) and ends trimmed; the white
+    space around inner tags stays."""
+    bare = entities.unescape_all(F.transform(html, lambda piece: F.regexp_replace(piece, r"<[^>]*>", "")))
+    return F.transform(bare, lambda t: strip(F.replace(t, F.lit("\u00a0"), F.lit(" "))))
 
 
 def inner_text(html: Column) -> Column:
-    """Markup removed, references decoded (no-break spaces to spaces), ends trimmed; the white space around inner tags stays."""
-    bare = entities.unescape(F.regexp_replace(html, r"<[^>]*>", ""))
-    return strip(F.translate(bare, "\u00a0", " "))
+    return F.when(html.isNotNull(), inner_texts(F.array(html))[0])
 
 
 def html_paragraphs(html: Column) -> Column:
     """All ``<p>`` texts of a page in order, closed or not, before any filter."""
-    visible = F.regexp_replace(html, HIDDEN_HTML, "")
-    pieces = F.split(visible, PARAGRAPH_OPEN)
-    return F.transform(
-        F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))),
-        lambda piece: inner_text(F.regexp_extract(piece, PARAGRAPH_BODY, 1)),
-    )
+    def bodies(pieces: Column) -> Column:
+        opened = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+        return F.transform(opened, lambda piece: F.regexp_replace(piece, _FROM_END, ""))
+    pieces = F.split(F.regexp_replace(html, _HIDDEN, ""), PARAGRAPH_OPEN)
+    return let(let(pieces, bodies), inner_texts)
 
 
 def word_list(text: Column) -> Column:
@@ -58,7 +64,7 @@ def valid_paragraphs(paragraphs: Column) -> Column:
     kept = F.filter(
         paragraphs,
         lambda p: ~F.contains(p, F.lit("@"))
-        & (count_words(p) >= 2)
+        & p.rlike(r"\S\s+\S")
         & ~F.contains(F.lower(p), F.lit("credit:")),
     )
     return F.nullif(F.transform(kept, lambda p: F.lower(p)), F.array().cast("array<string>"))

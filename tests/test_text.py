@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pressloom.functions import labels, text
+from pressloom.functions import entities, labels, text
 
 
 def one(spark, value, column, schema="x string"):
@@ -101,7 +101,6 @@ def test_article_polarity(spark):
 
 def test_character_references_equal_the_standard(spark):
     """Against the standard library, which leaves noncharacters and most control characters out."""
-    from pressloom.functions import entities
     from html.entities import html5
 
     rng = random.Random(1)
@@ -128,3 +127,32 @@ def test_counted_words_are_sorted_natively(spark):
     """Not by a comparison written as an expression, which is worked out for every two words."""
     plan = spark.range(1).select(text.term_counts(F.array(F.col("id").cast("string"))).alias("c"))._jdf.queryExecution().analyzed().toString()
     assert "sort_array(" in plan and "array_sort(" not in plan
+
+
+def test_references_of_many_texts_equal_the_standard_one_by_one(spark):
+    """Decoded characters, marks and neighbours never complete a reference."""
+    parts = ["&", "amp", "lt", ";", "#38", "#x26", "l", "t", "am", "\0", "\0a", "\0b", "\0c", "\0d", "&#112;", "&#108;", "&amp;", "&lt", "&alpha",
+             "&alpha;", "&copyx", "&notit;", " ", "é", "&#381;", "&#38", "1", "&bne;", "&nbsp;", "&#x110000;", "&#59;"]
+    pick = random.Random(7)
+    texts = [["".join(pick.choice(parts) for _ in range(pick.randint(0, 10))) for _ in range(pick.randint(0, 3))] for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t array<string>").select("i", entities.unescape_all(F.col("t")).alias("u")).collect()
+    assert {r.i: r.u for r in rows} == {i: [html.unescape(t) for t in ts] for i, ts in enumerate(texts)}
+
+
+def test_a_paragraph_is_cut_and_decoded_once(spark):
+    """The costly expressions of a page stand once in the plan, and a reference is decoded once however often it stands there."""
+    rows = spark.createDataFrame([("<p>a &amp; b",)], "h string").select(text.html_paragraphs(F.col("h")).alias("p"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("blockquote") == 1 and plan.count("array_distinct") == 1 and rows.first().p == ["a & b"]
+
+
+def test_paragraph_ends_equal_the_pattern(spark):
+    """What cuts a paragraph is the end that ``PARAGRAPH_BODY`` names."""
+    tags = ["</p>", "</P >", "<div>", "</div", "<hr/>", "<b>", "</b>", "<h3 class='x'>", "<h7>", "<p>", "\n", "x y", "<", ">", "<!-- a -->", "<table\n>", "</section >"]
+    pick = random.Random(3)
+    pages = ["".join(pick.choice(tags) for _ in range(pick.randint(0, 12))) for _ in range(2000)]
+    rows = spark.createDataFrame([(p,) for p in pages], "h string")
+    pieces = F.split(F.regexp_replace("h", text.HIDDEN_HTML, ""), text.PARAGRAPH_OPEN)
+    want = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.regexp_replace(F.regexp_replace(
+        F.regexp_extract(p, text.PARAGRAPH_BODY, 1), "<[^>]*>", ""), r"^\s+|\s+$", ""))
+    assert rows.filter(~text.html_paragraphs(F.col("h")).eqNullSafe(want)).count() == 0
