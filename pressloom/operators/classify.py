@@ -28,9 +28,9 @@ def split_by_key(df: DataFrame, key: str, train_share: float = 0.8, seed: int =
 
 
 def prepared(df: DataFrame, content: str, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
-    """Cleaned text as the token column the vectoriser reads."""
-    cleaned = text.clean_text(F.col(content))
-    return df.withColumn("terms", F.coalesce(tfidf.term_array(cleaned, stop_words), F.array().cast("array<string>")))
+    """The token column the vectoriser reads. Cleaning a text first would change none of its tokens: what it takes away
+    stands in no token."""
+    return df.withColumn("terms", F.coalesce(tfidf.term_array(F.col(content), stop_words), F.array().cast("array<string>")))
 
 
 def train(df: DataFrame, key: str = "goid", content: str = "text", section: str = "section",
@@ -41,8 +41,9 @@ def train(df: DataFrame, key: str = "goid", content: str = "text", section: str
     The vocabulary comes from the training rows; ``fit_on_all`` takes all rows. The penalty is
     1/n, i.e. unit strength on the summed loss.
     """
-    rows = clean.labelled_sections(df, section, content, strict_reference=strict_reference).select(
-        key, "label", F.col("processed_text").alias("text"))
+    # read by the counts, the vocabulary and the fit
+    rows = materialise(clean.labelled_sections(df, section, content, strict_reference=strict_reference).select(
+        key, "label", F.col("processed_text").alias("text")), "labelled")
     train_rows, test_rows = split_by_key(rows, key)
     vocabulary = tfidf.fit(rows if fit_on_all else train_rows, "text", stop_words, features, key)
     # at most ``features`` rows: the vectoriser needs its vocabulary on the driver
@@ -65,10 +66,10 @@ def train(df: DataFrame, key: str = "goid", content: str = "text", section: str
 
 def score(df: DataFrame, model: PipelineModel, content: str = "text", name: str = "is_economic",
           stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
-    """Add the probability, rounded to 4; null where the text is null. No shuffle."""
+    """Add the probability, rounded to 4; null where the text is null. No shuffle; a filter on it does not run the model again."""
     scored = model.transform(prepared(df, content, stop_words))
     probability = F.round(vector_to_array("probability")[1], 4)
-    return scored.select(*df.columns, F.when(F.col(content).isNotNull(), probability).alias(name))
+    return scored.select(*df.columns, F.explode(F.array(F.when(F.col(content).isNotNull(), probability))).alias(name))
 
 
 def score_with_coefficients(docs: DataFrame, model: tfidf.TfidfModel, coefficients: DataFrame, intercept: float,

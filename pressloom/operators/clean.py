@@ -101,11 +101,9 @@ def section_label(section: Column, strict_reference: bool = False) -> Column:
 def labelled_sections(df: DataFrame, section: str = "section", content: str = "text",
                       min_length: int = 40, strict_reference: bool = False) -> DataFrame:
     """Training rows: known section, text of at least ``min_length`` cleaned characters."""
-    return (
-        df.withColumn("label", section_label(F.col(section), strict_reference))
-        .withColumn("processed_text", text.clean_text(F.col(content)))
-        .filter(F.col("label").isNotNull() & (F.length("processed_text") >= min_length))
-    )
+    known = df.withColumn("label", section_label(F.col(section), strict_reference)).filter(F.col("label").isNotNull())
+    long_enough = text.let(text.clean_text(F.col(content)), lambda t: F.when(F.length(t) >= min_length, t))
+    return with_required(known.drop("processed_text"), "processed_text", long_enough)
 
 
 def lemmatise(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:

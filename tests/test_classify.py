@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
+from pressloom.functions import text
 from pressloom.operators import classify, clean, tfidf
+from pressloom.plans import steps
 
 
 def test_section_labels(spark):
@@ -67,3 +69,21 @@ def test_report_without_predictions_of_a_class(spark):
     rows = spark.createDataFrame([(1, 0.9), (0, 0.9)], "label int, probability double")
     zero = {r["class"]: r for r in classify.classification_report(rows).collect()}["0"]
     assert (zero.precision, zero.recall, zero.f1, zero.support) == (0.0, 0.0, 0.0, 1)
+
+
+def test_texts_are_cleaned_once_and_a_choice_runs_the_model_once(spark):
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert plan(clean.labelled_sections(training(spark))).count("lower(text") == 1
+    model, _ = classify.train(training(spark))
+    rows = training(spark).select("goid", "text")
+    scored, names = steps.select_economic(rows, model)
+    assert plan(names).count("UDF(") == plan(scored).count("UDF(") > 0
+
+
+def test_tokens_of_a_text_are_those_of_its_cleaned_form(spark):
+    texts = ["ΑΣ ΣΑΣ", "İstanbul I.İ", "ǅabc ß_x", "a-b c'd e1", "x́y ÄÖ", "  ", "", None, "日本 語", "Ω​AB CD", "a\u0085bc de"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("cleaned", text.clean_text(F.col("text")))
+    got = classify.prepared(rows, "text").drop("text").select("i", F.col("terms").alias("a"), "cleaned")
+    assert all(r.a == r.terms for r in classify.prepared(got, "cleaned").collect())
