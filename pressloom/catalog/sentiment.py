@@ -231,7 +231,7 @@ def economic_train_score(spark, sf):
 @query("economic_train_report")
 def economic_train_report(spark, sf):
     model, test = classify.train(sections(spark, sf))
-    scored = classify.score(test, model, name="probability")
+    scored = materialise(classify.score(test, model, name="probability").select("label", "probability"), "scored")
     reports = [classify.classification_report(scored, threshold=t).withColumn("threshold", F.lit(t)) for t in (0.5, 0.7)]
     return reports[0].unionByName(reports[1])
 
