@@ -49,9 +49,13 @@ def read_records(spark: SparkSession, folder: str, glob: str = "*.xml") -> DataF
 
 
 def parse_records(df: DataFrame, xml: str) -> DataFrame:
-    """Nested records from a column of XML text; ``_corrupt`` holds a text that is no XML."""
-    return df.withColumn("_r", F.from_xml(F.col(xml), READ_SCHEMA, READ_OPTIONS)).select(
-        *[c for c in df.columns if c != xml], "_r.*")
+    """Nested records from a column of XML text; ``_corrupt`` holds a text that is no XML.
+
+    A filter on a parsed column would be pushed below the parse, with a second parse of its own.
+    """
+    parsed = F.explode(F.array(F.from_xml(F.col(xml), READ_SCHEMA, READ_OPTIONS))).alias("_r")
+    keep = [c for c in df.columns if c != xml]
+    return df.select(*keep, parsed).select(*keep, "_r.*")
 
 
 def article_columns(paragraph_sep: str | None = None) -> list[Column]:
@@ -210,8 +214,9 @@ def to_records(articles_df: DataFrame, tags: Sequence[str] = (), keep: Sequence[
 
 
 def record_xml(records: DataFrame) -> DataFrame:
-    """(goid, xml): each nested record printed as one RECORD text."""
-    return records.select(F.col("GOID").alias("goid"), F.to_xml(F.struct(*records.columns), {"rowTag": "RECORD"}).alias("xml"))
+    """(goid, xml): each nested record printed as one RECORD text, once, whatever filter follows."""
+    printed = F.to_xml(F.struct(*records.columns), {"rowTag": "RECORD"})
+    return records.select(F.col("GOID").alias("goid"), F.explode(F.array(printed)).alias("xml"))
 
 
 def write_records(articles_df: DataFrame, path: str, tags: Sequence[str] = ()) -> None:

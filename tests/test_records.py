@@ -118,3 +118,14 @@ def test_malformed_records_are_quarantined(spark, tmp_path):
 
 def record(goid):
     return f"<RECORD><GOID>{goid}</GOID><TextInfo><Text WordCount='2'>&lt;p&gt;one two&lt;/p&gt;</Text></TextInfo></RECORD>"
+
+
+def test_a_record_is_printed_and_parsed_once(spark):
+    """A filter on what was read from a record neither parses nor prints it again."""
+    rows = spark.createDataFrame([("1", ["a b"])], "goid string, paragraph_text array<string>")
+    full = records.expected_columns(rows)
+    printed = records.record_xml(records.to_records(full)).filter(F.contains("xml", F.lit("<RECORD")))
+    out = records.load_from_text(printed.select("xml"), "xml")
+    plan = out.select("goid", "paragraph_text")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("xmltostructs(") + plan.count("from_xml(") == 1 and plan.count("structstoxml(") + plan.count("to_xml(") == 1
+    assert [(r.goid, r.paragraph_text) for r in out.collect()] == [("1", ["a b"])]
