@@ -110,8 +110,10 @@ def term_counts(words: Column) -> Column:
             ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(size))
             return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(ordered, a).alias("term"), (b - a).cast("long").alias("n")))
         found = let(F.filter(at, lambda i: i.isNotNull()), measured)
-        return F.when(size > 0, found).otherwise(F.array().cast("array<struct<term:string,n:bigint>>"))
-    return F.when(words.isNotNull(), let(F.sort_array(words), runs))
+        none = F.when(ordered.isNotNull(), F.array().cast("array<struct<term:string,n:bigint>>"))
+        return F.when(size > 0, found).otherwise(none)
+    # the words are named once: a second mention outside the binding would make them again
+    return let(F.sort_array(words), runs)
 
 
 def without(words: Column, stop_words: Iterable[str]) -> Column:

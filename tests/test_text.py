@@ -156,3 +156,11 @@ def test_paragraph_ends_equal_the_pattern(spark):
     want = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.regexp_replace(F.regexp_replace(
         F.regexp_extract(p, text.PARAGRAPH_BODY, 1), "<[^>]*>", ""), r"^\s+|\s+$", ""))
     assert rows.filter(~text.html_paragraphs(F.col("h")).eqNullSafe(want)).count() == 0
+
+
+def test_counted_words_are_made_once(spark):
+    """The words stand once in the plan, with no second copy outside the binding."""
+    rows = spark.createDataFrame([("b a b",), (None,)], "t string")
+    counted = rows.select(text.term_counts(text.topic_tokens(F.col("t"), ())).alias("c"))
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [r.c and [tuple(x) for x in r.c] for r in counted.collect()] == [[("a", 1), ("b", 2)], None]
