@@ -78,8 +78,12 @@ def unescape_all(texts: Column) -> Column:
         out = F.aggregate(F.array_sort(F.transform(refs, pair)), joined, lambda t, p: F.replace(t, p["ref"], p["value"]))
         return F.transform(F.split(out, "\0c"), lambda t: F.replace(F.replace(
             F.replace(t, F.lit("\0a"), F.lit("&")), F.lit("\0b"), F.lit("")), F.lit("\0d"), F.lit("\0")))
-    whole = let(F.array_join(F.transform(texts, lambda t: F.replace(t, F.lit("\0"), F.lit("\0d"))), "\0c"), decoded)
-    return F.when(F.size(texts) == 0, texts).otherwise(whole)
+
+    def all_of(texts: Column) -> Column:
+        whole = let(F.array_join(F.transform(texts, lambda t: F.replace(t, F.lit("\0"), F.lit("\0d"))), "\0c"), decoded)
+        # a reference begins with an ampersand: texts without one are as they are
+        return F.when(F.exists(texts, lambda t: F.contains(t, F.lit("&"))), whole).otherwise(texts)
+    return let(texts, all_of)
 
 
 def unescape(text: Column) -> Column:

@@ -164,3 +164,14 @@ def test_counted_words_are_made_once(spark):
     counted = rows.select(text.term_counts(text.topic_tokens(F.col("t"), ())).alias("c"))
     assert counted._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     assert [r.c and [tuple(x) for x in r.c] for r in counted.collect()] == [[("a", 1), ("b", 2)], None]
+
+
+def test_markup_is_removed_once(spark):
+    """Markup is cut and a paragraph is lowered once; a page without references comes out like one with them."""
+    pages = ["<p>X <i>y</i> Z</p><p>Credit: A b</p>", "<p>X &amp; <i>y</i></p><p>a &lt;b</p>", None, "no paragraph"]
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, h string").select("i", text.article_paragraphs(F.col("h")).alias("p"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<[^>]*>") == 1 and plan.count("lower(") == 1
+    assert [r.p for r in rows.orderBy("i").collect()] == [["x y z"], ["x & y", "a <b"], None, None]
+    texts = spark.createDataFrame([(["a", None, "\0b"],), ([],), (None,)], "t array<string>")
+    assert [r.u for r in texts.select(entities.unescape_all(F.col("t")).alias("u")).collect()] == [["a", None, "\0b"], [], None]
