@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..operators.scale import lookup_join
 from ..schema import ARTICLE_SCHEMA
 from ..streaming import commits
 from . import records
@@ -40,6 +41,12 @@ def schema(tags: Sequence[str] = ()) -> T.StructType:
                          T.StructField("corpus", text), T.StructField("bucket", T.IntegerType())])
 
 
+def _records_of(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Records of listed files. Few files hold many records, so the list goes to the records while it is small."""
+    listed = files.select(F.struct("corpus", "name").alias("_file")).distinct()
+    return lookup_join(rows.withColumn("_file", F.struct("corpus", "name")), listed, "_file", how="left_semi").drop("_file")
+
+
 def add(spark: SparkSession, folder: str, path: str, tags: Sequence[str] = (), glob: str = "*.xml", buckets: int = BUCKETS,
         retry_errors: bool = False) -> dict:
     """Parse the files of a folder that the store does not hold yet. Returns counts of files and of those with an error."""
@@ -51,7 +58,7 @@ def add(spark: SparkSession, folder: str, path: str, tags: Sequence[str] = (), g
     run = commits.run_id(todo, path, STEP)
     if run is None:
         return {"files": 0, "errors": 0}
-    parsed = records.read_records(spark, folder, glob).join(todo.select("corpus", "name"), ["corpus", "name"], "left_semi")
+    parsed = _records_of(records.read_records(spark, folder, glob), todo)
     rows = records.articles(parsed, tags).withColumn("name", record_name(F.col("goid"))).filter(F.col("goid").isNotNull())
     placed = rows.withColumn("bucket", _bucket(F.col("name"), buckets)).select(*schema(tags).names)
     target = f"{path}/articles/run={run}"

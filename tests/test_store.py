@@ -63,3 +63,29 @@ def test_pending_rows_of_a_step(spark, tmp_path):
     incremental.append_progress(manifest.filter("name IN ('0.xml', '2.xml')"), log, "s")
     assert goids(store.pending(spark, path, manifest, log, "s")) == ["1", "3"]
     assert goids(store.pending(spark, path, manifest, log, "t")) == ["0", "1", "2", "3"]
+
+
+def test_records_stay_where_they_are_read(spark, tmp_path):
+    files = tmp_path / "files"
+    write(files, {"a/1.xml": record("1"), "a/2.xml": record("2"), "b/3.xml": record("3")})
+    listed = records.list_files(spark, str(files))
+    wanted = listed.filter("name <> '2.xml'").repartition(3)  # of unknown size
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = store._records_of(records.read_records(spark, str(files)), wanted)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(r.GOID for r in rows.collect()) == ["1", "3"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_stored_records_take_their_language_without_a_join(spark, monkeypatch):
+    from pressloom.catalog import records as queries
+
+    seen = []
+    monkeypatch.setattr(store, "add", lambda *_: None)
+    monkeypatch.setattr(records, "to_records", lambda df, *_, **__: seen.append(df) or df.select("goid", "corpus"))
+    queries._stored(spark, "/root/testdata/sf0.001")
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation [") == 1
