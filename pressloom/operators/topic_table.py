@@ -1,9 +1,10 @@
 """Topics whose term matrix is a table: variational Bayes for LDA over a vocabulary of any size.
 
 Documents are placed once, by a hash of their key, in blocks of a bounded number of (document, term) entries; a block is
-stored with its own numbering of its terms. A round gives every block the topic weights of its own terms, works out each
-document's topic shares from them, and sums the expected counts back per term and topic. What moves in a round is a row per
-block and term, not one per document and term. Only the topics' totals, one number each, meet the driver.
+stored with its own numbering of its terms, which are divided by a hash into as many parts as there are blocks. A round
+gives every block the topic weights of its own terms, works out each document's topic shares from them, and sums the
+expected counts back per part. What moves in a round is a row per block and part, with the numbers of the terms they share
+in one piece. Only the topics' totals, one number each, meet the driver.
 """
 
 from __future__ import annotations
@@ -13,63 +14,85 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..session import materialise, scratch
+from ..session import materialise, release, scratch, setting
 from .scale import lookup_join
 
 INNER, CLOSE = 100, 1e-3
 # Entries of a block, on average, and the least for more blocks than needed; cells that are worked on at once.
-BLOCK_ENTRIES, LEAST_ENTRIES, CELLS = 4_000_000, 100_000, 200_000
+BLOCK_ENTRIES, LEAST_ENTRIES, CELLS = 4_000_000, 100_000, 80_000
+# Documents that are done are set aside when so many of a batch are.
+SET_ASIDE = 0.2
+
+# Rows of a term are small, and a bound on a batch's bytes, beside that on its rows, would weigh the batch again for each row.
+BATCH, ANY = "spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1)
 
 
 class TopicTable(NamedTuple):
-    """``terms``: (term, df, weights), the variational weights of the topics; ``totals``: their sums over all terms."""
+    """``terms``: (term, df, weights), the variational weights of the topics; ``totals``: their sums over all terms.
+    ``counts``, ``blocks`` and ``state``: what the fit has read, its blocks and their weights, for shares of the same rows."""
 
     terms: DataFrame
     totals: list[float]
     alpha: float
+    inner: int | None = INNER
+    counts: DataFrame | None = None
+    blocks: DataFrame | None = None
+    state: DataFrame | None = None
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
-    """Logarithmic derivative of the gamma function for positive x: shifted above 6, then its asymptotic series."""
-    x, shift = np.array(x, float), np.zeros(np.shape(x))
-    while (low := x < 6).any():
-        shift[low] -= 1 / x[low]
-        x[low] += 1
+    """Logarithmic derivative of the gamma function for positive x: six steps up, then its asymptotic series."""
+    x = np.asarray(x, float)
+    # 1/x + 1/(x+5), 1/(x+1) + 1/(x+4) and 1/(x+2) + 1/(x+3) have one numerator
+    pairs = x * (x + 5)
+    shift = (2 * x + 5) * (1 / pairs + 1 / (pairs + 4) + 1 / (pairs + 6))
+    x = x + 6
     y = 1 / (x * x)
-    return shift + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
+    return np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132)))) - shift
 
 
 def _theta(gamma: np.ndarray) -> np.ndarray:
-    return np.exp(digamma(gamma) - digamma(gamma.sum(1, keepdims=True)))
-
-
-def _solve(beta: np.ndarray, counts: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """(topic weights, expected counts) of documents x terms of equal width; a count of zero fills up. Each document
-    ends with its own last step, whatever the others do."""
-    size, _, topics = beta.shape
-    found = np.ones((size, topics))
-    open_, b, c, gamma = np.arange(size), beta, counts, found.copy()
-    for _ in range(INNER):
+    found = digamma(np.concatenate([gamma, gamma.sum(1, keepdims=True)], 1))
+    return np.exp(found[:, :-1] - found[:, -1:])
+
+
+def _per_word(theta: np.ndarray, beta: np.ndarray, counts: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Counts over the weights of their terms, in ``out``: (documents, 1, terms)."""
+    found = np.matmul(theta[:, None, :], beta, out=out)[:, 0, :]
+    found += 1e-100
+    return np.divide(counts, found, out=found)
+
+
+def _solve(beta: np.ndarray, counts: np.ndarray, alpha: float, inner: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(topic weights, theta, count per weight) of documents x topics x terms of equal width; a count of zero fills up.
+    Each document ends with its own last step, whatever the others do."""
+    size, topics, width = beta.shape
+    found, room = np.ones((size, topics)), np.empty((size, 1, width))
+    open_, b, c, gamma, going = np.arange(size), beta, counts, found.copy(), np.ones(size, bool)
+    step = 0
+    while inner is None or step < inner:
+        step += 1
         theta = _theta(gamma)
-        per_word = c / ((b @ theta[:, :, None])[:, :, 0] + 1e-100)
-        before, gamma = gamma, alpha + theta * (per_word[:, None, :] @ b)[:, 0, :]
-        found[open_] = gamma
-        going = np.abs(gamma - before).mean(1) >= CLOSE
-        if not going.all():
-            open_, b, c, gamma = open_[going], b[going], c[going], gamma[going]
-            if not len(open_):
-                break
+        per_word = _per_word(theta, b, c, room[:len(b)])
+        before, gamma = gamma, alpha + theta * np.matmul(b, per_word[:, :, None])[:, :, 0]
+        found[open_[going]] = gamma[going]
+        going &= np.abs(gamma - before).mean(1) >= CLOSE
+        left = np.count_nonzero(going)
+        if not left:
+            break
+        # those that are done go on unread until it pays to copy the others
+        if left <= (1 - SET_ASIDE) * len(going):
+            open_, b, c, gamma, going = open_[going], b[going], c[going], gamma[going], np.ones(left, bool)
     theta = _theta(found)
-    per_word = counts / ((beta @ theta[:, :, None])[:, :, 0] + 1e-100)
-    return found, beta * theta[:, None, :] * per_word[:, :, None]
+    return found, theta, _per_word(theta, beta, counts, room)
 
 
 def document_topics(beta: np.ndarray, counts: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """(variational topic weights of a document, expected counts per term and topic) from its terms' exp E[log beta]."""
-    gamma, found = _solve(beta[None], np.asarray(counts, float)[None], alpha)
-    return gamma[0], found[0]
+    gamma, theta, per_word = _solve(np.ascontiguousarray(beta.T)[None], np.asarray(counts, float)[None], alpha, INNER)
+    return gamma[0], beta * theta[0] * per_word[0][:, None]
 
 
 def _batches(sizes: np.ndarray) -> Iterator[np.ndarray]:
@@ -78,27 +101,33 @@ def _batches(sizes: np.ndarray) -> Iterator[np.ndarray]:
     order = order[sizes[order] > 0]
     at = 0
     while at < len(order):
-        end = at + 1
-        while end < len(order) and (end + 1 - at) * sizes[order[end]] <= CELLS:
-            end += 1
+        widths = sizes[order[at:at + CELLS]]
+        cells = widths * np.arange(1, len(widths) + 1)  # they never fall
+        end = at + max(1, int(np.searchsorted(cells, CELLS, "right")))
         yield order[at:end]
         at = end
 
 
-def block_topics(beta: np.ndarray, ends: np.ndarray, at: np.ndarray, n: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+def block_topics(beta: np.ndarray, ends: np.ndarray, at: np.ndarray, n: np.ndarray, alpha: float,
+                 inner: int | None = INNER) -> tuple[np.ndarray, np.ndarray]:
     """(topic weights per document, expected counts per term) of documents whose entries end at ``ends``: term numbers
     ``at`` and counts ``n``. A document without entries keeps zeros."""
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     sizes = ends - starts
-    gamma, sums = np.zeros((len(ends), beta.shape[1])), np.zeros(beta.shape)
+    by_topic = np.ascontiguousarray(beta.T)
+    topics, size = by_topic.shape
+    gamma, sums = np.zeros((len(ends), topics)), np.zeros((topics, size))
     for docs in _batches(sizes):
         inside = np.arange(sizes[docs].max()) < sizes[docs][:, None]
         cells = np.where(inside, starts[docs][:, None] + np.arange(inside.shape[1]), starts[docs][:, None])
         ids = at[cells]
-        gamma[docs], found = _solve(beta[ids], np.where(inside, n[cells], 0.0), alpha)
-        for k in range(beta.shape[1]):
-            sums[:, k] += np.bincount(ids.ravel(), found[:, :, k].ravel(), len(beta))
-    return gamma, sums
+        own = np.empty((len(docs), topics, inside.shape[1]))
+        for k in range(topics):
+            own[:, k] = by_topic[k][ids]
+        gamma[docs], theta, per_word = _solve(own, np.where(inside, n[cells], 0.0), alpha, inner)
+        for k in range(topics):
+            sums[k] += np.bincount(ids.ravel(), (theta[:, k, None] * per_word).ravel(), size)
+    return gamma, (sums * by_topic).T
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -109,59 +138,153 @@ def _unpacked(data: bytes, kind: type, size: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, size * np.dtype(kind).itemsize, "zstd"), kind)
 
 
+def _floats(data: pa.BinaryScalar, topics: int) -> np.ndarray:
+    """Topics x terms."""
+    return np.frombuffer(data.as_buffer(), float).reshape(topics, -1)
+
+
+def _one_list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _lists(ends: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
+
+
 def _blocks(counts: DataFrame, key: str) -> DataFrame:
-    """(block, keys, ends, entries, at, n, terms): a row per block, its documents in one list of entries."""
+    """(block, keys, ends, entries, at, n, starts, terms, dfs): a row per block, its documents in one list of entries.
+    Terms are numbered part by part: part k begins at ``starts[k]``, and ``terms`` and ``dfs`` have a list for each."""
     cores = counts.sparkSession.sparkContext.defaultParallelism
     entries = counts.count()
     blocks = max(1, -(-entries // BLOCK_ENTRIES), min(4 * cores, entries // LEAST_ENTRIES))
     out = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(counts.schema[key].dataType)),
         T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("entries", T.LongType()),
-        T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType()),
-        T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("dfs", T.ArrayType(T.LongType()))])
-
-    def pack(rows: pa.Table) -> pa.Table:
+        T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType()), T.StructField("starts", T.ArrayType(T.LongType())),
+        T.StructField("terms", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("dfs", T.ArrayType(T.ArrayType(T.LongType())))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [x for x in batches if len(x)]
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches)
         keys = rows["_key"].combine_chunks().dictionary_encode(null_encoding="encode")
         terms = rows["term"].combine_chunks().dictionary_encode()
-        documents, at = keys.indices.to_numpy(), terms.indices.to_numpy().astype(np.int32)
-        order = np.lexsort((at, documents))
+        documents, at = keys.indices.to_numpy(), terms.indices.to_numpy()
+        size = len(terms.dictionary)
+        part = np.empty(size, np.int64)
+        part[at] = rows["_part"].to_numpy()
+        order = np.argsort(part, kind="stable")
+        number = np.empty(size, np.int64)
+        number[order] = np.arange(size)
+        cells = documents.astype(np.int64) * size + number[at]
+        sorted_ = np.argsort(cells, kind="stable")
+        at = (cells[sorted_] % size).astype(np.int32)
         ends = np.cumsum(np.bincount(documents, minlength=len(keys.dictionary)))
-        # a one-row table: lists of this block's documents and terms
-        return pa.table({
-            "block": pa.array([rows["_block"][0].as_py()], pa.int64()),
-            "keys": pa.ListArray.from_arrays(pa.array([0, len(keys.dictionary)], pa.int32()), keys.dictionary),
+        parts = np.cumsum(np.bincount(part, minlength=blocks))
+        dfs = pa.array(np.bincount(at, minlength=size))
+        yield from pa.table({
+            "block": pa.array([rows["_block"][0].as_py()], pa.int64()), "keys": _one_list(keys.dictionary),
             "ends": pa.array([ends], pa.list_(pa.int64())), "entries": pa.array([len(at)], pa.int64()),
-            "at": pa.array([_packed(at[order])], pa.binary()),
-            "n": pa.array([_packed(rows["n"].to_numpy().astype(np.int64)[order])], pa.binary()),
-            "terms": pa.ListArray.from_arrays(pa.array([0, len(terms.dictionary)], pa.int32()), terms.dictionary),
-            "dfs": pa.array([np.bincount(at, minlength=len(terms.dictionary))], pa.list_(pa.int64()))})
+            "at": pa.array([_packed(at)], pa.binary()),
+            "n": pa.array([_packed(rows["n"].to_numpy().astype(np.int64)[sorted_])], pa.binary()),
+            "starts": pa.array([np.concatenate([[0], parts])], pa.list_(pa.int64())),
+            "terms": _one_list(_lists(parts, terms.dictionary.take(pa.array(order)))), "dfs": _one_list(_lists(parts, dfs))}).to_batches()
 
+    # a task gets one block, in any order
     rows = counts.filter(F.col("term").isNotNull()).select(
-        F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block"), F.col(key).alias("_key"), "term", "n")
-    return materialise(rows.groupBy("_block").applyInArrow(pack, out), "topic-blocks")
+        F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block"), F.col(key).alias("_key"), "term", "n",
+        F.pmod(F.xxhash64("term"), F.lit(blocks)).alias("_part"))
+    with setting(counts.sparkSession, BATCH, ANY):
+        return materialise(rows.repartitionById(blocks, F.col("_block").cast("int")).mapInArrow(pack, out), "topic-blocks", keep=True)
+
+
+def _shared(blocks: DataFrame) -> DataFrame:
+    """(part, block, terms, dfs): the terms of each part in each block, in the order of their numbers there."""
+    return blocks.select("block", F.posexplode(F.arrays_zip("terms", "dfs")).alias("part", "t")).select(
+        F.col("part").cast("long").alias("part"), "block", F.col("t.terms").alias("terms"), F.col("t.dfs").alias("dfs")).filter(F.size("terms") > 0)
+
+
+_WIRE = "part long, terms array<string>, dfs array<long>, blocks array<long>, ends array<long>, at binary"
+# A row per part and block with the weights of their terms (``w``), and one per part without a block with its terms.
+_STATE = "part long, block long, w binary, terms array<string>, dfs array<long>, weights array<array<double>>"
+
+
+def _wire(rows: pa.Table) -> pa.Table:
+    """A part's terms and, for each of its blocks, which of them stand there."""
+    rows = rows.sort_by("block").combine_chunks()
+    terms = rows["terms"].combine_chunks().flatten().dictionary_encode()
+    at = terms.indices.to_numpy()
+    dfs = np.bincount(at, rows["dfs"].combine_chunks().flatten().to_numpy(), len(terms.dictionary)).astype(np.int64)
+    ends = np.cumsum(rows["terms"].combine_chunks().value_lengths().to_numpy())
+    return pa.table({
+        "part": rows["part"][:1], "terms": _one_list(terms.dictionary), "dfs": pa.array([dfs], pa.list_(pa.int64())),
+        "blocks": _one_list(rows["block"].combine_chunks()), "ends": pa.array([ends], pa.list_(pa.int64())),
+        "at": pa.array([at.astype(np.int32).tobytes()], pa.binary())})
+
+
+class _Part:
+    """A part's row of ``_WIRE``."""
+
+    def __init__(self, row: pa.Table) -> None:
+        row = row.combine_chunks()
+        self.part, self.terms, self.dfs = (row[x].combine_chunks() for x in ("part", "terms", "dfs"))
+        self.blocks, ends = (row[x].combine_chunks().flatten().to_numpy() for x in ("blocks", "ends"))
+        self.at = dict(zip(self.blocks.tolist(), np.split(np.frombuffer(row["at"][0].as_buffer(), np.int32), ends[:-1]), strict=True))
+
+    def sums(self, rows: pa.Table, topics: int) -> np.ndarray:
+        found = np.zeros((topics, len(self.terms.values)))
+        rows = rows.sort_by("block")
+        for block, w in zip(rows["block"].to_pylist(), rows["w"], strict=True):
+            found[:, self.at[block]] += _floats(w, topics)
+        return found
+
+    def state(self, weights: np.ndarray) -> pa.Table:
+        """Rows of ``_STATE``; blocks get exp E[log beta] but for the topics' totals."""
+        topics, size = weights.shape
+        sent = np.exp(digamma(weights))
+        w = [np.take(sent, ids, 1).tobytes() for ids in self.at.values()] + [None]
+        none = [None] * len(self.at)
+        lists = _one_list(_lists(np.arange(1, size + 1) * topics, pa.array(weights.T.ravel())))
+        kinds = pa.nulls(len(none), self.terms.type), pa.nulls(len(none), self.dfs.type), pa.nulls(len(none), lists.type)
+        own = self.terms, self.dfs, lists
+        return pa.table({
+            "part": pa.array([self.part[0].as_py()] * len(w), pa.int64()), "block": pa.array([*self.at, None], pa.int64()), "w": pa.array(w, pa.binary()),
+            **{x: pa.chunked_array([a, b]) for x, a, b in zip(("terms", "dfs", "weights"), kinds, own, strict=True)}})
+
 
+def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state before any round, from rows of ``_WIRE`` with weights."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        for i in range(len(table)):
+            weights = table["weights"][i].values
+            found = weights.flatten().to_numpy().reshape(len(weights), -1).T
+            yield from _Part(table.slice(i, 1)).state(np.ascontiguousarray(found)).to_batches()
 
-def _places(blocks: DataFrame) -> DataFrame:
-    """(block, at, term, df): the terms of each block by their number there, and their documents there."""
-    return blocks.select("block", F.posexplode(F.arrays_zip("terms", "dfs")).alias("at", "t")).select(
-        "block", "at", F.col("t.terms").alias("term"), F.col("t.dfs").alias("df"))
 
+def _met(block: pa.Table, rows: pa.Table, totals: list[float]) -> np.ndarray:
+    """exp E[log beta], topics x terms by their number in the block, of a block of the fit."""
+    starts = block["starts"].combine_chunks().flatten().to_numpy()
+    beta = np.empty((len(totals), starts[-1]))
+    for part, w in zip(rows["part"].to_pylist(), rows["w"], strict=True):
+        beta[:, starts[part]:starts[part + 1]] = _floats(w, len(totals))
+    return beta * np.exp(-digamma(np.array(totals)))[:, None]
 
-def _met(block: pa.Table, rows: pa.Table, totals: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(exp E[log beta] by term number, ends, at, n) of a block; entries of terms without weights are left out."""
-    size, ends = block["entries"][0].as_py(), block["ends"].combine_chunks().flatten().to_numpy()
-    at, n = _unpacked(block["at"][0].as_py(), np.int32, size), _unpacked(block["n"][0].as_py(), np.int64, size)
+
+def _found(block: pa.Table, rows: pa.Table, totals: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """(exp E[log beta] of other documents' terms, the numbers of those that have weights)."""
     places = rows["at"].to_numpy()
-    beta = np.zeros((len(block["terms"][0]), len(totals)))
-    weights = np.stack([rows[f"w{k}"].to_numpy() for k in range(len(totals))], 1)
-    beta[places] = np.exp(digamma(weights) - digamma(np.array(totals)))
-    if len(places) < len(beta):
-        known = np.zeros(len(beta), bool)
-        known[places] = True
-        kept = known[at]
-        ends = np.concatenate([[0], np.cumsum(kept)])[ends]
-        at, n = at[kept], n[kept]
-    return beta, ends, at, n
+    beta = np.zeros((len(totals), block["starts"].combine_chunks().flatten()[-1].as_py()))
+    weights = np.stack([rows[w].to_numpy() for w in _columns("w", len(totals))])
+    beta[:, places] = np.exp(digamma(weights) - digamma(np.array(totals))[:, None])
+    return beta, places
+
+
+def _entries(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ends, at, n)."""
+    size = block["entries"][0].as_py()
+    return block["ends"].combine_chunks().flatten().to_numpy(), _unpacked(block["at"][0].as_py(), np.int32, size), _unpacked(block["n"][0].as_py(), np.int64, size)
 
 
 def _columns(letter: str, topics: int) -> list[str]:
@@ -172,63 +295,98 @@ def _totals(rows: DataFrame, values: list[Column]) -> list[float]:
     return [x or 0.0 for x in rows.agg(*[F.sum(x) for x in values]).first()]
 
 
-def _expected(totals: list[float], alpha: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _expected(totals: list[float], alpha: float, inner: int | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(block: pa.Table, own: pa.Table) -> pa.Table:
-        sums = block_topics(*_met(block, own, totals), alpha)[1][own["at"].to_numpy()]
-        return pa.table([own["block"], own["at"], own["term"], *map(pa.array, sums.T)], names=["block", "at", "term", *_columns("s", len(totals))])
+        sums = block_topics(_met(block, own, totals).T, *_entries(block), alpha, inner)[1].T
+        starts, parts = block["starts"].combine_chunks().flatten().to_numpy(), own["part"].to_pylist()
+        w = [sums[:, starts[p]:starts[p + 1]].tobytes() for p in parts]
+        return pa.table({"part": pa.array(parts, pa.int64()), "block": pa.array([block["block"][0].as_py()] * len(w), pa.int64()), "w": pa.array(w, pa.binary())})
+
+    return run
+
+
+def _updated(topics: int, eta: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(wire: pa.Table, sums: pa.Table) -> pa.Table:
+        part = _Part(wire)
+        return part.state(eta + part.sums(sums, topics))
 
     return run
 
 
+def _terms(state: DataFrame) -> DataFrame:
+    """(term, df, weights)."""
+    return state.filter(F.col("block").isNull()).select(F.explode(F.arrays_zip("terms", "dfs", "weights")).alias("t")).select(
+        F.col("t.terms").alias("term"), F.col("t.dfs").alias("df"), F.col("t.weights").alias("weights"))
+
+
+def _sent(state: DataFrame) -> DataFrame:
+    return state.filter(F.col("block").isNotNull()).select("part", F.col("block").alias("block"), "w")
+
+
+def _drawn(term: Column, seed: int, k: int) -> Column:
+    return 0.5 + F.pmod(F.xxhash64(term, F.lit(seed), F.lit(k)), F.lit(10_007)) / F.lit(10_007.0)
+
+
 def fit(counts: DataFrame, topics: int = 5, rounds: int = 10, seed: int = 42, key: str = "doc_id", alpha: float | None = None,
         eta: float | None = None) -> TopicTable:
     """Fit on rows of (key, term, n). Start weights are drawn by hash, the same on every cluster."""
     alpha, eta = (1 / topics if x is None else x for x in (alpha, eta))
     spark = counts.sparkSession
-    draws = [0.5 + F.pmod(F.xxhash64("term", F.lit(seed), F.lit(k)), F.lit(10_007)) / F.lit(10_007.0) for k in range(topics)]
+    weights = [F.col("weights")[k] for k in range(topics)]
     with scratch(spark):
         blocks = _blocks(counts, key)
-        places = _places(blocks)
-        known = materialise(places.groupBy("term").agg(F.sum("df").alias("df")), "terms")
-        size = known.count()
-        if not size:
+        if blocks.isEmpty():
             raise ValueError("no terms to fit topics on")
-        totals = _totals(known, draws)
-        rows = places.select("block", "at", "term", *[d.alias(w) for d, w in zip(draws, _columns("w", topics))])
-        terms = known.select("term", "df", F.array(*draws).alias("weights"))
-        schema = "block long, at int, term string, " + ", ".join(f"s{k} double" for k in range(topics))
-        each = W.partitionBy("term")
-        for _ in range(rounds):
-            packed = blocks.select(F.col("block").alias("block"), "ends", "entries", "at", "n", "terms")
-            sums = materialise(packed.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(_expected(totals, alpha), schema), "topic-sums")
-            totals = [size * eta + x for x in _totals(sums, [F.col(s) for s in _columns("s", topics)])]
-            # a term has a row per block, so a window's group is as small as the number of blocks
-            rows = sums.select("block", "at", "term", *[(F.lit(eta) + F.sum(s).over(each)).alias(f"w{k}") for k, s in enumerate(_columns("s", topics))])
-            terms = known.join(sums.groupBy("term").agg(F.array(*[F.lit(eta) + F.sum(s) for s in _columns("s", topics)]).alias("weights")), "term")
-        terms = materialise(terms, "topics", keep=True)
-    return TopicTable(terms, totals, alpha)
+        wired = materialise(_shared(blocks).groupBy("part").applyInArrow(_wire, _WIRE), "terms")
+        drawn = F.transform("terms", lambda t: F.array(*[_drawn(t, seed, k) for k in range(topics)]))
+        packed = blocks.select(F.col("block").alias("block"), "ends", "entries", "at", "n", "starts").groupBy("block")
+        state = materialise(wired.withColumn("weights", drawn).mapInArrow(_first, _STATE), "topic-sums", keep=not rounds)
+        totals = _totals(_terms(state), weights)
+        for left in reversed(range(rounds)):
+            sums = packed.cogroup(_sent(state).groupBy("block")).applyInArrow(_expected(totals, alpha, INNER), "part long, block long, w binary")
+            before, state = state, materialise(wired.groupBy("part").cogroup(sums.groupBy("part")).applyInArrow(_updated(topics, eta), _STATE),
+                                               "topic-sums", keep=not left)
+            totals = _totals(_terms(state), weights)
+            release(before)
+        terms = materialise(_terms(state), "topics", keep=True)
+    return TopicTable(terms, totals, alpha, INNER, counts, blocks, state)
 
 
 def shares(counts: DataFrame, model: TopicTable, key: str = "doc_id") -> DataFrame:
     """(key, shares, tokens): topic shares of each document that has a known term, and how many known tokens it has."""
-    totals, alpha = list(model.totals), model.alpha
+    totals, alpha, inner = list(model.totals), model.alpha, model.inner
     kind = counts.schema[key].dataType
     out = T.StructType([T.StructField("_key", kind), T.StructField("shares", T.ArrayType(T.DoubleType())),
                         T.StructField("tokens", T.LongType())])
+    same = model.state is not None and counts is model.counts
 
     def run(block: pa.Table, own: pa.Table) -> pa.Table:
-        beta, ends, at, n = _met(block, own, totals)
-        gamma = block_topics(beta, ends, at, n, alpha)[0]
+        ends, at, n = _entries(block)
+        if same:
+            beta = _met(block, own, totals)
+        else:
+            beta, places = _found(block, own, totals)
+            if len(places) < beta.shape[1]:  # entries of terms without weights are left out
+                known = np.zeros(beta.shape[1], bool)
+                known[places] = True
+                kept = known[at]
+                ends = np.concatenate([[0], np.cumsum(kept)])[ends]
+                at, n = at[kept], n[kept]
+        gamma = block_topics(beta.T, ends, at, n, alpha, inner)[0]
         has = np.diff(ends, prepend=0) > 0
         found = gamma[has] / gamma[has].sum(1, keepdims=True)
         tokens = np.diff(np.concatenate([[0], np.cumsum(n)])[ends], prepend=0)[has]
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * len(totals), pa.int32()), pa.array(found.ravel()))
+        lists = _lists(np.arange(1, len(found) + 1) * len(totals), pa.array(found.ravel()))
         return pa.table([block["keys"].combine_chunks().flatten().filter(pa.array(has)), lists, pa.array(tokens, pa.int64())], names=out.names)
 
-    blocks = _blocks(counts, key)
-    weights = [F.col("weights")[k].alias(w) for k, w in enumerate(_columns("w", len(totals)))]
-    rows = lookup_join(_places(blocks).drop("df"), model.terms, "term", "df").select("block", "at", *weights)
-    packed = blocks.select(F.col("block").alias("block"), "keys", "ends", "entries", "at", "n", "terms")
+    blocks = model.blocks if same else _blocks(counts, key)
+    if same:
+        rows = _sent(model.state)
+    else:
+        weights = [F.col("weights")[k].alias(w) for k, w in enumerate(_columns("w", len(totals)))]
+        places = blocks.select("block", F.posexplode(F.flatten("terms")).alias("at", "term"))
+        rows = lookup_join(places, model.terms, "term", "df").select("block", "at", *weights)
+    packed = blocks.select(F.col("block").alias("block"), "keys", "ends", "entries", "at", "n", "starts")
     return packed.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run, out).withColumnRenamed("_key", key)
 
 

@@ -55,6 +55,20 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _scopes: ContextVar[tuple[list[str], ...]] = ContextVar("_scopes", default=())
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for what runs inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a frame once to the shared folder and read it back: lineage ends, executors may die.
 
@@ -63,22 +77,26 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with setting(spark, CLEANUP, "true"):
         # a task buffers a whole row group, several times the size of what lies on disk
         df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
     owners = _scopes.get()[:-1] if keep else _scopes.get()
     if owners:
         owners[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(table: DataFrame) -> None:
+    """Drop a table written by ``materialise`` before its scope ends; nothing may read it any more."""
+    for path in {os.path.dirname(file) for file in table.inputFiles()}:
+        _delete(table.sparkSession, path)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Drop the tables written by ``materialise`` inside, at the end or when the work fails.
@@ -92,8 +110,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _scopes.reset(token)
         for path in paths:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            _delete(spark, path)
 
 
 def spread(scan: DataFrame, *keys) -> DataFrame:

@@ -119,3 +119,40 @@ def test_a_round_moves_a_row_per_block_and_term(spark, monkeypatch):
     counts = themed(spark)
     topic_table.fit(counts, 3, rounds=2)
     assert sizes == [12, 12, 12] and counts.count() > 200 and {n for n, _ in written} == {"topic-blocks", "terms", "topic-sums", "topics"}
+
+
+def by_term(model):
+    return {r.term: (r.df, r.weights) for r in model.terms.collect()}
+
+
+def test_a_round_moves_a_row_per_block_and_part(spark, monkeypatch):
+    """Not one per block and term; many blocks fit as one does."""
+    counts = themed(spark)
+    one = topic_table.fit(counts, 3, rounds=3)
+    monkeypatch.setattr(topic_table, "BLOCK_ENTRIES", counts.count() // 3)
+    rows, keep = [], topic_table.materialise
+
+    def watched(df, name, **more):
+        out = keep(df, name, **more)
+        rows.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(topic_table, "materialise", watched)
+    many = topic_table.fit(counts, 3, rounds=3)
+    blocks = dict(rows)["topic-blocks"]
+    assert blocks > 1 and all(n <= blocks * (blocks + 1) for name, n in rows if name == "topic-sums") and len([n for n, _ in rows if n == "topic-sums"]) == 4
+    a, b = by_term(one), by_term(many)
+    assert a.keys() == b.keys() and all(a[t][0] == b[t][0] and np.allclose(a[t][1], b[t][1]) for t in a)
+
+
+@pytest.mark.parametrize("entries", [10_000, 40])
+def test_shares_of_the_fitted_rows_use_its_blocks(spark, monkeypatch, entries):
+    """They are not placed again, and come out as for the same rows from elsewhere."""
+    monkeypatch.setattr(topic_table, "BLOCK_ENTRIES", entries)
+    counts = themed(spark, 12)
+    model = topic_table.fit(counts, 3, rounds=2)
+    other = {r.doc_id: r for r in topic_table.shares(counts.select("*"), model).collect()}
+    monkeypatch.setattr(topic_table, "_blocks", None)
+    own = {r.doc_id: r for r in topic_table.shares(counts, model).collect()}
+    assert own.keys() == other.keys() == set(range(12))
+    assert all(own[d].tokens == other[d].tokens and np.allclose(own[d].shares, other[d].shares) for d in own)
