@@ -9,11 +9,13 @@ in one piece. Only the topics' totals, one number each, meet the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import materialise, release, scratch, setting
@@ -22,8 +24,8 @@ from .scale import lookup_join
 INNER, CLOSE = 100, 1e-3
 # Entries of a block, on average, and the least for more blocks than needed; cells that are worked on at once.
 BLOCK_ENTRIES, LEAST_ENTRIES, CELLS = 4_000_000, 100_000, 80_000
-# Documents that are done are set aside when so many of a batch are.
-SET_ASIDE = 0.2
+# Documents that are done are set aside when so many of a batch are; the steps after which batches are first made anew.
+SET_ASIDE, SPAN = 0.2, 32
 
 # Rows of a term are small, and a bound on a batch's bytes, beside that on its rows, would weigh the batch again for each row.
 BATCH, ANY = "spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1)
@@ -65,40 +67,41 @@ def _per_word(theta: np.ndarray, beta: np.ndarray, counts: np.ndarray, out: np.n
     return np.divide(counts, found, out=found)
 
 
-def _solve(beta: np.ndarray, counts: np.ndarray, alpha: float, inner: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(topic weights, theta, count per weight) of documents x topics x terms of equal width; a count of zero fills up.
-    Each document ends with its own last step, whatever the others do."""
-    size, topics, width = beta.shape
-    found, room = np.ones((size, topics)), np.empty((size, 1, width))
-    open_, b, c, gamma, going = np.arange(size), beta, counts, found.copy(), np.ones(size, bool)
-    step = 0
-    while inner is None or step < inner:
-        step += 1
+def _steps(beta: np.ndarray, counts: np.ndarray, gamma: np.ndarray, alpha: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(topic weights, whether more steps are needed) of documents x topics x terms of equal width after up to ``most`` steps;
+    a count of zero fills up. Each document ends with its own last step, whatever the others do."""
+    size, _, width = beta.shape
+    found, room = gamma.copy(), np.empty((size, 1, width))
+    open_, b, c, going = np.arange(size), beta, counts, np.ones(size, bool)
+    for _ in range(most):
         theta = _theta(gamma)
         per_word = _per_word(theta, b, c, room[:len(b)])
         before, gamma = gamma, alpha + theta * np.matmul(b, per_word[:, :, None])[:, :, 0]
-        found[open_[going]] = gamma[going]
-        going &= np.abs(gamma - before).mean(1) >= CLOSE
-        left = np.count_nonzero(going)
-        if not left:
-            break
-        # those that are done go on unread until it pays to copy the others
-        if left <= (1 - SET_ASIDE) * len(going):
-            open_, b, c, gamma, going = open_[going], b[going], c[going], gamma[going], np.ones(left, bool)
-    theta = _theta(found)
-    return found, theta, _per_word(theta, beta, counts, room)
+        done = going & (np.abs(gamma - before).mean(1) < CLOSE)
+        if done.any():
+            found[open_[done]] = gamma[done]
+            going &= ~done
+            left = np.count_nonzero(going)
+            if not left:
+                break
+            # those that are done go on unread until it pays to copy the others
+            if left <= (1 - SET_ASIDE) * len(going):
+                open_, b, c, gamma, going = open_[going], b[going], c[going], gamma[going], np.ones(left, bool)
+    found[open_[going]] = gamma[going]
+    more = np.zeros(size, bool)
+    more[open_[going]] = True
+    return found, more
 
 
 def document_topics(beta: np.ndarray, counts: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """(variational topic weights of a document, expected counts per term and topic) from its terms' exp E[log beta]."""
-    gamma, theta, per_word = _solve(np.ascontiguousarray(beta.T)[None], np.asarray(counts, float)[None], alpha, INNER)
-    return gamma[0], beta * theta[0] * per_word[0][:, None]
+    gamma, found = block_topics(beta, np.array([len(beta)]), np.arange(len(beta)), counts, alpha)
+    return gamma[0], found
 
 
-def _batches(sizes: np.ndarray) -> Iterator[np.ndarray]:
-    """Documents with terms, those of like length together, up to ``CELLS`` cells at once."""
-    order = np.argsort(sizes, kind="stable")
-    order = order[sizes[order] > 0]
+def _batches(documents: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Documents, those of like length together, up to ``CELLS`` cells at once."""
+    order = documents[np.argsort(sizes[documents], kind="stable")]
     at = 0
     while at < len(order):
         widths = sizes[order[at:at + CELLS]]
@@ -116,15 +119,31 @@ def block_topics(beta: np.ndarray, ends: np.ndarray, at: np.ndarray, n: np.ndarr
     sizes = ends - starts
     by_topic = np.ascontiguousarray(beta.T)
     topics, size = by_topic.shape
+    has = np.flatnonzero(sizes)
     gamma, sums = np.zeros((len(ends), topics)), np.zeros((topics, size))
-    for docs in _batches(sizes):
-        inside = np.arange(sizes[docs].max()) < sizes[docs][:, None]
-        cells = np.where(inside, starts[docs][:, None] + np.arange(inside.shape[1]), starts[docs][:, None])
-        ids = at[cells]
-        own = np.empty((len(docs), topics, inside.shape[1]))
-        for k in range(topics):
-            own[:, k] = by_topic[k][ids]
-        gamma[docs], theta, per_word = _solve(own, np.where(inside, n[cells], 0.0), alpha, inner)
+
+    def together(documents: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for docs in _batches(documents, sizes):
+            inside = np.arange(sizes[docs].max()) < sizes[docs][:, None]
+            cells = np.where(inside, starts[docs][:, None] + np.arange(inside.shape[1]), starts[docs][:, None])
+            ids = at[cells]
+            own = np.empty((len(docs), topics, inside.shape[1]))
+            for k in range(topics):
+                own[:, k] = by_topic[k][ids]
+            yield docs, ids, own, np.where(inside, n[cells], 0.0)
+
+    # documents that need more steps meet again in full batches
+    gamma[has], open_, span, taken = 1.0, has, SPAN, 0
+    while len(open_) and (inner is None or taken < inner):
+        most = span if inner is None else min(span, inner - taken)
+        left = []
+        for docs, _, own, counts in together(open_):
+            gamma[docs], more = _steps(own, counts, gamma[docs], alpha, most)
+            left.append(docs[more])
+        open_, span, taken = np.concatenate(left), 2 * span, taken + most
+    for docs, ids, own, counts in together(has):
+        theta = _theta(gamma[docs])
+        per_word = _per_word(theta, own, counts, np.empty((len(docs), 1, ids.shape[1])))
         for k in range(topics):
             sums[k] += np.bincount(ids.ravel(), (theta[:, k, None] * per_word).ravel(), size)
     return gamma, (sums * by_topic).T
@@ -305,10 +324,14 @@ def _expected(totals: list[float], alpha: float, inner: int | None) -> Callable[
     return run
 
 
-def _updated(topics: int, eta: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _updated(topics: int, eta: float, share: float | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(wire: pa.Table, sums: pa.Table) -> pa.Table:
         part = _Part(wire)
-        return part.state(eta + part.sums(sums, topics))
+        if share is None:
+            return part.state(eta + part.sums(sums, topics))
+        own = pc.is_null(sums["block"])
+        before = sums.filter(own)["weights"].combine_chunks().flatten().flatten().to_numpy().reshape(-1, topics).T
+        return part.state((1 - share) * before + share * (eta + part.sums(sums.filter(pc.invert(own)), topics)))
 
     return run
 
@@ -327,9 +350,21 @@ def _drawn(term: Column, seed: int, k: int) -> Column:
     return 0.5 + F.pmod(F.xxhash64(term, F.lit(seed), F.lit(k)), F.lit(10_007)) / F.lit(10_007.0)
 
 
+def gamma_drawn(term: Column, seed: int, k: int) -> Column:
+    """A gamma variable of shape 100 and mean 1, from a normal one by its cube root (Wilson and Hilferty)."""
+    a, b = ((F.pmod(F.xxhash64(term, F.lit(seed), F.lit(k), F.lit(i)), F.lit(2**31 - 1)) + 1) / F.lit(2.0**31) for i in (1, 2))
+    normal = F.sqrt(-2 * F.log(a)) * F.cos(2 * math.pi * b)
+    return F.pow(1 - 1 / 900 + normal / 30, F.lit(3.0))
+
+
 def fit(counts: DataFrame, topics: int = 5, rounds: int = 10, seed: int = 42, key: str = "doc_id", alpha: float | None = None,
-        eta: float | None = None) -> TopicTable:
-    """Fit on rows of (key, term, n). Start weights are drawn by hash, the same on every cluster."""
+        eta: float | None = None, drawn: Callable[[Column, int, int], Column] = _drawn,
+        rate: Callable[[int], float] | None = None, inner: int | None = INNER) -> TopicTable:
+    """Fit on rows of (key, term, n). Start weights are drawn by hash, the same on every cluster.
+
+    With ``rate`` a round moves the weights by that share of the way, the online form of the updates; rounds count from 1.
+    A document takes up to ``inner`` steps, or as many as it needs.
+    """
     alpha, eta = (1 / topics if x is None else x for x in (alpha, eta))
     spark = counts.sparkSession
     weights = [F.col("weights")[k] for k in range(topics)]
@@ -338,18 +373,20 @@ def fit(counts: DataFrame, topics: int = 5, rounds: int = 10, seed: int = 42, ke
         if blocks.isEmpty():
             raise ValueError("no terms to fit topics on")
         wired = materialise(_shared(blocks).groupBy("part").applyInArrow(_wire, _WIRE), "terms")
-        drawn = F.transform("terms", lambda t: F.array(*[_drawn(t, seed, k) for k in range(topics)]))
+        drawn = F.transform("terms", lambda t: F.array(*[drawn(t, seed, k) for k in range(topics)]))
         packed = blocks.select(F.col("block").alias("block"), "ends", "entries", "at", "n", "starts").groupBy("block")
         state = materialise(wired.withColumn("weights", drawn).mapInArrow(_first, _STATE), "topic-sums", keep=not rounds)
         totals = _totals(_terms(state), weights)
-        for left in reversed(range(rounds)):
-            sums = packed.cogroup(_sent(state).groupBy("block")).applyInArrow(_expected(totals, alpha, INNER), "part long, block long, w binary")
-            before, state = state, materialise(wired.groupBy("part").cogroup(sums.groupBy("part")).applyInArrow(_updated(topics, eta), _STATE),
-                                               "topic-sums", keep=not left)
+        for step in range(1, rounds + 1):
+            sums = packed.cogroup(_sent(state).groupBy("block")).applyInArrow(_expected(totals, alpha, inner), "part long, block long, w binary")
+            if rate:
+                sums = sums.unionByName(state.filter(F.col("block").isNull()).select("part", "block", "weights"), allowMissingColumns=True)
+            met = wired.groupBy("part").cogroup(sums.groupBy("part")).applyInArrow(_updated(topics, eta, rate and rate(step)), _STATE)
+            before, state = state, materialise(met, "topic-sums", keep=step == rounds)
             totals = _totals(_terms(state), weights)
             release(before)
         terms = materialise(_terms(state), "topics", keep=True)
-    return TopicTable(terms, totals, alpha, INNER, counts, blocks, state)
+    return TopicTable(terms, totals, alpha, inner, counts, blocks, state)
 
 
 def shares(counts: DataFrame, model: TopicTable, key: str = "doc_id") -> DataFrame:
