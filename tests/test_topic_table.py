@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,16 @@ def test_shares_of_the_fitted_rows_use_its_blocks(spark, monkeypatch, entries):
     own = {r.doc_id: r for r in topic_table.shares(counts, model).collect()}
     assert own.keys() == other.keys() == set(range(12))
     assert all(own[d].tokens == other[d].tokens and np.allclose(own[d].shares, other[d].shares) for d in own)
+
+
+def test_a_task_has_one_key(spark):
+    """By its number and not by a hash of it; the columns of the two sides stay apart."""
+    rows = spark.createDataFrame([(k, k * 10) for k in range(7)], "block long, x long")
+    others = spark.createDataFrame([(k, f"{k}{i}") for k in range(6) for i in range(3)], "block long, w string").repartition(4)
+
+    def run(row, more):
+        return pa.table({"x": row["x"], "n": pa.array([len(more)] * len(row)), "w": pa.array(["".join(sorted(more["w"].to_pylist()))] * len(row))})
+
+    met = topic_table._meet(rows, others, "block", 7, run, "x long, n long, w string")
+    assert sorted(tuple(r) for r in met.collect()) == [(k * 10, 3 if k < 6 else 0, "".join(f"{k}{i}" for i in range(3)) if k < 6 else "") for k in range(7)]
+    assert [r[0] for r in met.groupBy(F.spark_partition_id()).count().select("count").collect()] == [1] * 7
